@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 IGNORED = -100
 
 
@@ -26,15 +28,20 @@ def mask_labels(ids: Column, marker: Sequence[int], pad_id: int | None) -> Colum
     wanted = F.array(*[F.lit(int(m)) for m in marker])
     # At least one position is probed: sequence(1, 0) would count down.
     positions = F.sequence(F.lit(1), F.greatest(F.size(ids) - F.lit(width - 1), F.lit(1)))
-    last = F.array_max(F.filter(positions, lambda p: F.slice(ids, p, width) == wanted))
+    last = F.array_max(
+        F.filter(positions, lambda p: (F.get(ids, p - 1) == marker[0]) & (F.slice(ids, p, width) == wanted))
+    )
+
+    def labels(masked: Column) -> Column:
+        def label(value: Column, index: Column) -> Column:
+            ignored = index < masked
+            if pad_id is not None:
+                ignored = ignored | (value == F.lit(int(pad_id)))
+            return F.when(ignored, F.lit(IGNORED)).otherwise(value)
 
-    def label(value: Column, index: Column) -> Column:
-        ignored = last.isNull() | (index < last + F.lit(width))
-        if pad_id is not None:
-            ignored = ignored | (value == F.lit(int(pad_id)))
-        return F.when(ignored, F.lit(IGNORED)).otherwise(value)
+        return F.transform(ids, label)
 
-    return F.transform(ids, label)
+    return let(F.coalesce(last + F.lit(width), F.size(ids)), labels)
 
 
 def pad_ids(ids: Column, width: Column, pad_id: int, side: str = "right") -> Column:

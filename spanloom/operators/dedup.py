@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.intervals import tiou
 from ..functions.overlap import Kept, OverlapScan
 from ..shared import stash
@@ -37,8 +38,7 @@ def _fold(ordered: Column, threshold: float) -> Column:
             swapped = F.transform(kept, lambda k, i: F.when(i == at - 1, item).otherwise(k))
             return F.when(at == 0, F.concat(kept, F.array(item))).when(longer, swapped).otherwise(kept)
 
-        # The one-element transform binds the position, so that it is searched once per step.
-        return F.get(F.transform(F.array(F.array_position(hits, True).cast("int")), place), F.lit(0))
+        return let(F.array_position(hits, True).cast("int"), place)
 
     return F.aggregate(ordered, F.array().cast(_KEPT_TYPE), step)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from .hotkeys import ROW_LIMIT, chunked
 
 TAIL_SECONDS = 1.0
@@ -59,7 +60,7 @@ def slot_border(slot: Column, t_start: Column, t_end: Column, n: int) -> Column:
                 F.when(reached, mid).otherwise(gap["high"]).alias("high"),
             )
 
-        return F.get(F.transform(F.array(middle), pick), F.lit(0))
+        return let(middle, pick)
 
     gap = F.struct((border - slack).alias("low"), (border + slack).alias("high"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(12)), gap, halve)["high"]
@@ -131,25 +132,24 @@ def _as_of(clips: DataFrame, frames: DataFrame, n: int, limit: int | None, chunk
 
 
 def source_slots(filled: Column, n: int) -> Column:
-    """For every slot the slot whose frame it shows, given which slots were decoded.
+    """For every slot the slot whose frame it shows, given the ascending list of decoded slots.
 
     A gap at the front takes the first decoded slot. Any other gap takes the decoded slot before
     it, but the slot right before a decoded one takes that one unless its other neighbour is
     decoded as well.
     """
-    every = F.sequence(F.lit(0), F.lit(n - 1))
 
     def source(i: Column) -> Column:
-        before = F.array_max(F.filter(every, lambda j: (j <= i) & F.get(filled, j)))
-        after = F.array_min(F.filter(every, lambda j: (j >= i) & F.get(filled, j)))
-        return (
-            F.when(before == i, i)
-            .when(before.isNull(), after)
-            .when((after == i + 1) & (before != i - 1), after)
-            .otherwise(before)
+        before = F.array_max(F.filter(filled, lambda j: j <= i))
+        return let(
+            before,
+            lambda b: F.when(b == i, i)
+            .when(b.isNull(), F.get(filled, F.lit(0)))
+            .when((b != i - 1) & F.array_contains(filled, i + 1), i + 1)
+            .otherwise(b),
         )
 
-    return F.transform(every, source)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), source)
 
 
 def clip_frames(
@@ -174,21 +174,27 @@ def clip_frames(
         F.array_sort(F.collect_list("look")).alias("looks"),
     )
     t_start, t_end = F.col("t_start"), F.col("t_end")
-    seek = F.get("looks", F.lit(0))["hit"]
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def decoded(found: Column) -> Column:
+        seek = F.get(found, F.lit(0))["hit"]
+
+        def slot(i: Column) -> Column:
+            ahead = F.get(found, i + 1)["hit"]
+            on_time = (ahead["pts"] <= t_end + F.lit(TAIL_SECONDS)) & (
+                slot_of(ahead["pts"], t_start, t_end, n) == i
+            )
+            return F.when((i == 0) & seek["pts"].isNotNull(), seek).when(on_time, ahead)
 
-    def decoded(i: Column) -> Column:
-        ahead = F.get(F.col("looks"), i + 1)["hit"]
-        on_time = (ahead["pts"] <= t_end + F.lit(TAIL_SECONDS)) & (slot_of(ahead["pts"], t_start, t_end, n) == i)
-        return F.when((i == 0) & seek["pts"].isNotNull(), seek).when(on_time, ahead)
+        return F.transform(every, slot)
+
+    def shown(slots: Column) -> Column:
+        filled = F.filter(every, lambda i: F.get(slots, i)["pts"].isNotNull())
+        return let(filled, lambda f: F.transform(source_slots(f, n), lambda k: F.get(slots, k)))
 
-    slots = per_clip.withColumn("slots", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), decoded))
-    filled = F.transform("slots", lambda s: s.isNotNull() & s["pts"].isNotNull())
     return (
-        slots.withColumn("source", source_slots(filled, n))
-        .select(
-            "clip_id",
-            F.posexplode(F.transform("source", lambda k: F.get(F.col("slots"), k))).alias("slot", "shown"),
-        )
+        per_clip.select("clip_id", let(let(F.col("looks"), decoded), shown).alias("shown"))
+        .select("clip_id", F.posexplode("shown").alias("slot", "shown"))
         .select(
             "clip_id",
             "slot",

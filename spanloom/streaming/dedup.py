@@ -65,7 +65,7 @@ def _advance(book: dict) -> None:
         book["next"] += 1
 
 
-def _updater(threshold: float, stride: float, timeout_ms: int):
+def _updater(threshold: float, stride: float, timeout_ms: int | None):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         book = json.loads(state.get[0]) if state.exists else _fresh()
         done: list[Kept] = []
@@ -84,7 +84,8 @@ def _updater(threshold: float, stride: float, timeout_ms: int):
             state.remove()
         else:
             state.update((json.dumps(book),))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         rows = [(key[0], k.ord_chunk, k.start, k.end, k.description) for k in done]
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
@@ -92,13 +93,18 @@ def _updater(threshold: float, stride: float, timeout_ms: int):
 
 
 def dedup_stream(
-    windows: DataFrame, threshold: float = THRESHOLD, stride: float = WINDOW_STRIDE, timeout_ms: int = 3_600_000
+    windows: DataFrame,
+    threshold: float = THRESHOLD,
+    stride: float = WINDOW_STRIDE,
+    timeout_ms: int | None = None,
 ) -> DataFrame:
-    """Kept activities as they are settled; the same rows as the batch form gives in the end."""
+    """Kept activities as they are settled; the same rows as the batch form gives in the end.
+
+    With ``timeout_ms`` a video that gets no window for that long is closed without its missing
+    windows. Spark then keeps triggering to watch the clock, so leave it out for runs that should
+    end with their input (``availableNow``).
+    """
+    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return windows.groupBy("video_id").applyInPandasWithState(
-        _updater(threshold, stride, timeout_ms),
-        OUTPUT,
-        "book string",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        _updater(threshold, stride, timeout_ms), OUTPUT, "book string", "append", timeout
     )
