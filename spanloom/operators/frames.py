@@ -44,11 +44,12 @@ def slot_of(t: Column, t_start: Column, t_end: Column, n: int) -> Column:
 def slot_border(slot: Column, t_start: Column, t_end: Column, n: int) -> Column:
     """Smallest double whose slot position reaches ``slot``.
 
-    The algebraic border can be a few units in the last place off the computed one; halving the gap
-    around it ends at the exact border, so a lookup by time agrees with the slot formula.
+    Rounding moves the computed border by less than 2^-50 of its value. Halving a gap of twice that
+    on either side (at most 32 neighbouring doubles) ends at the exact border, so that a lookup by
+    time agrees with the slot formula.
     """
     border = t_start + slot.cast("double") * (t_end - t_start + F.lit(SPAN_EPSILON)) / F.lit(float(n))
-    slack = border * F.lit(2.0**-47)
+    slack = border * F.lit(2.0**-49)
 
     def halve(gap: Column, _: Column) -> Column:
         middle = gap["low"] + (gap["high"] - gap["low"]) / F.lit(2.0)
@@ -63,7 +64,7 @@ def slot_border(slot: Column, t_start: Column, t_end: Column, n: int) -> Column:
         return let(middle, pick)
 
     gap = F.struct((border - slack).alias("low"), (border + slack).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), gap, halve)["high"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), gap, halve)["high"]
 
 
 def _probes(clips: DataFrame, n: int) -> DataFrame:
@@ -95,7 +96,12 @@ def _as_of(clips: DataFrame, frames: DataFrame, n: int, limit: int | None, chunk
         F.col("frame_ref"),
     )
     both = _probes(clips, n).unionByName(index, allowMissingColumns=True)
-    rows, hot = chunked(both, "video_id", [F.col("t"), F.col("side"), F.col("clip_id")], limit, chunks)
+    weights = frames.select("video_id", F.lit(1).alias("w")).unionByName(
+        clips.select("video_id", F.lit(n + 1).alias("w"))
+    )
+    counts = weights.groupBy("video_id").agg(F.sum("w").alias("n_rows"))
+    order = [F.col("t"), F.col("side"), F.col("clip_id")]
+    rows, hot = chunked(both, "video_id", order, limit, chunks, counts)
     is_frame = F.col("side") == _FRAME
     # Both lookups are running minima, so they carry over a chunk border as plain minima as well.
     back = F.when(is_frame & F.col("is_key"), F.struct((-F.col("t")).alias("neg"), "frame_ref"))

@@ -18,19 +18,25 @@ from ..shared import stash
 ROW_LIMIT = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None. One pass over the key column, combined map-side."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    hot = stash(counts.filter(F.col("n_rows") > limit).select(key), "hot-keys")
-    return None if hot.isEmpty() else hot
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """Rows per key. Reads the key column only and is combined map-side."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def split_hot(df: DataFrame, key: str, limit: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of hot keys (None when there is no hot key)."""
-    hot = None if limit is None else hot_keys(df, key, limit)
-    if hot is None:
+def split_hot(
+    df: DataFrame, key: str, limit: int | None, counts: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of hot keys (None when there is no hot key).
+
+    ``counts`` (key, n_rows) may be given where it is cheaper to get than from ``df`` itself.
+    """
+    if limit is None:
+        return df, None
+    sizes = key_counts(df, key) if counts is None else counts
+    hot = stash(sizes.filter(F.col("n_rows") > limit).select(key), "hot-keys")
+    if hot.isEmpty():
         return df, None
-    # No broadcast hint: the list shrinks with the limit, not with the data; AQE sees its size.
+    # No broadcast hint: the planner sees the written list's size and chooses.
     return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
 
 
@@ -45,10 +51,15 @@ def cut_chunks(df: DataFrame, key: str, order: Sequence[Column], chunks: int | N
 
 
 def chunked(
-    df: DataFrame, key: str, order: Sequence[Column], limit: int | None = ROW_LIMIT, chunks: int | None = None
+    df: DataFrame,
+    key: str,
+    order: Sequence[Column],
+    limit: int | None = ROW_LIMIT,
+    chunks: int | None = None,
+    counts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """All rows with ``chunk`` (0 for ordinary keys), and the rows of hot keys alone for carrying."""
-    cool, hot = split_hot(df, key, limit)
+    cool, hot = split_hot(df, key, limit, counts)
     cool = cool.withColumn("chunk", F.lit(0))
     if hot is None:
         return cool, None
