@@ -4,7 +4,7 @@ Input is one row per described window, in any order: ``video_id, window_idx, win
 activities`` (activities in video time, starting no earlier than their window). Once all windows up
 to one have arrived, nothing can start before the next window, so everything up to there is scanned
 and what can no longer overlap is emitted. State is what overlaps the horizon plus windows that
-came early, whatever the length of the video.
+came early, whatever the length of the video; of a finished video only a mark stays.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from ..operators.windows import WINDOW_STRIDE
 from ..plans.detection import LINES_PER_WINDOW
 
 OUTPUT = "video_id string, kept_no bigint, start double, end double, description string"
+CLOSED = "closed"
 _COLUMNS = ["video_id", "kept_no", "start", "end", "description"]
 
 
@@ -67,8 +68,13 @@ def _advance(book: dict) -> None:
 
 def _updater(threshold: float, stride: float, timeout_ms: int | None):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists and state.get[0] == CLOSED:
+            # A window delivered again after the end must not open the video anew.
+            if state.hasTimedOut:
+                state.remove()
+            yield pd.DataFrame([], columns=_COLUMNS)
+            return
         book = json.loads(state.get[0]) if state.exists else _fresh()
-        done: list[Kept] = []
         if state.hasTimedOut:
             # Missing windows are given up: everything that came is scanned.
             for rows in book["early"].values():
@@ -79,13 +85,10 @@ def _updater(threshold: float, stride: float, timeout_ms: int | None):
                 _take(book, rows)
             _advance(book)
             ended = book["last"] is not None and book["next"] > book["last"]
-        done += _scan(book, threshold, float("inf") if ended else book["next"] * stride)
-        if ended:
-            state.remove()
-        else:
-            state.update((json.dumps(book),))
-            if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
+        done = _scan(book, threshold, float("inf") if ended else book["next"] * stride)
+        state.update((CLOSED if ended else json.dumps(book),))
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         rows = [(key[0], k.ord_chunk, k.start, k.end, k.description) for k in done]
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
