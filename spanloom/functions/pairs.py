@@ -7,8 +7,6 @@ are Arrow UDFs, because as array lambdas they cost the square of the text length
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -117,24 +115,52 @@ def tokens_13a(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def ngram_overlap(pred: list[str], ref: list[str]) -> tuple[list[int], list[int]]:
-    """Clipped matches and number of n-grams of ``pred`` for each order."""
-    matches, totals = [], []
+def ngram_overlaps(preds: list[list[str]], refs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Clipped n-gram matches and n-gram counts of ``preds``, one row per pair and column per order.
+
+    Works on all pairs of a batch at once: words become numbers, an n-gram is the pair of its first
+    n-1 words' number and its last word's number, renumbered per order.
+    """
+    n_rows = len(preds)
+    texts = preds + refs
+    sizes = np.fromiter((len(t) for t in texts), dtype="int64", count=len(texts))
+    words, _ = pd.factorize(np.asarray([w for t in texts for w in t], dtype=object))
+    text_no = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # words to the end of the text
+    n_words = int(words.max()) + 1 if len(words) else 1
+    matches = np.zeros((n_rows, MAX_ORDER), dtype="int64")
+    grams, at = words, np.arange(len(words))
     for order in range(1, MAX_ORDER + 1):
-        have = Counter(zip(*(pred[i:] for i in range(order))))
-        want = Counter(zip(*(ref[i:] for i in range(order))))
-        matches.append((have & want).total())
-        totals.append(max(len(pred) - order + 1, 0))
+        if order > 1:
+            longer = left[at] >= order
+            grams, at = grams[longer], at[longer]
+            grams, _ = pd.factorize(grams * n_words + words[at + order - 1])
+        if not len(at):
+            break
+        is_pred = text_no[at] < n_rows
+        row = np.where(is_pred, text_no[at], text_no[at] - n_rows)
+        keys, distinct = pd.factorize(row * (int(grams.max()) + 1) + grams)
+        have = np.bincount(keys[is_pred], minlength=len(distinct))
+        want = np.bincount(keys[~is_pred], minlength=len(distinct))
+        owner = np.empty(len(distinct), dtype="int64")
+        owner[keys] = row
+        matches[:, order - 1] = np.bincount(owner, weights=np.minimum(have, want), minlength=n_rows)
+    totals = np.maximum(sizes[:n_rows, None] - np.arange(MAX_ORDER)[None, :], 0)
     return matches, totals
 
 
 @F.pandas_udf(_OVERLAP)
 def _overlap_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    rows = []
-    for p, r in zip(pred, ref):
-        left, right = (p or "").split(" ") if p else [], (r or "").split(" ") if r else []
-        rows.append((*ngram_overlap(left, right), len(left), len(right)))
-    return pd.DataFrame(rows, columns=["matches", "totals", "n_pred", "n_ref"])
+    left, right = ([t.split(" ") if t else [] for t in side] for side in (pred, ref))
+    matches, totals = ngram_overlaps(left, right)
+    return pd.DataFrame(
+        {
+            "matches": list(matches),
+            "totals": list(totals),
+            "n_pred": [len(t) for t in left],
+            "n_ref": [len(t) for t in right],
+        }
+    )
 
 
 def bleu_counts(pred: Column, ref: Column) -> Column:

@@ -3,12 +3,14 @@
 from .annotations import parse_annotations, read_annotations, read_raw_annotations, to_json_lines
 from .inventory import find_video_inventory, read_video_inventory
 from .sinks import write_results, write_samples
+from .tables import read_table
 
 __all__ = [
     "find_video_inventory",
     "parse_annotations",
     "read_annotations",
     "read_raw_annotations",
+    "read_table",
     "read_video_inventory",
     "to_json_lines",
     "write_results",

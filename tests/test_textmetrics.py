@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.functions.pairs import common_length, greedy_match, ngram_overlap
+from spanloom.functions.pairs import common_length, greedy_match, ngram_overlaps
 from spanloom.functions.stemming import porter_stem
 from spanloom.operators.textmetrics import (
     bleu4,
@@ -119,8 +119,10 @@ def test_stemmed_tokens(spark):
 
 
 def test_ngram_overlap_clips():
-    matches, totals = ngram_overlap("a a a b".split(), "a a c".split())
-    assert matches == [2, 1, 0, 0] and totals == [4, 3, 2, 1]
+    matches, totals = ngram_overlaps(["a a a b".split(), [], ["x"]], ["a a c".split(), ["a"], []])
+    assert matches.tolist() == [[2, 1, 0, 0], [0] * 4, [0] * 4]
+    assert totals.tolist() == [[4, 3, 2, 1], [0] * 4, [1, 0, 0, 0]]
+    assert ngram_overlaps([], [])[0].shape == (0, 4)
 
 
 def test_greedy_match(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.chat import clip_response
+from spanloom.sources.tables import read_table
 
 PLACES = ("Lobby", "Yard", "Gate", "Dock", "Hall")
 EPOCH_MICROS = 1704067200000000  # 2024-01-01
@@ -16,7 +17,7 @@ EPOCH_MICROS = 1704067200000000  # 2024-01-01
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet")
 
 
 def video_name(number: Column) -> Column:
