@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .stemming import porter_stem
+from .text import SPACES
 
 MAX_ORDER = 4
 
@@ -104,15 +105,20 @@ TOKEN_13A_PATTERNS = (
 )
 
 
-def tokens_13a(text: Column) -> Column:
-    """13a tokens joined by one blank."""
-    out = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+\z", "")
+def _spaced_13a(text: Column) -> Column:
+    """The text with white space between its 13a tokens."""
+    out = F.rtrim(text, F.lit(SPACES))
     for old, new in TOKEN_13A_TEXT + TOKEN_13A_ENTITIES:
         out = F.replace(out, F.lit(old), F.lit(new))
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for pattern, new in TOKEN_13A_PATTERNS:
         out = F.regexp_replace(out, pattern, new)
-    return F.trim(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f]+", " "))
+    return out
+
+
+def tokens_13a(text: Column) -> Column:
+    """13a tokens joined by one blank."""
+    return F.trim(F.regexp_replace(_spaced_13a(text), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def ngram_overlaps(preds: list[list[str]], refs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +157,8 @@ def ngram_overlaps(preds: list[list[str]], refs: list[list[str]]) -> tuple[np.nd
 
 @F.pandas_udf(_OVERLAP)
 def _overlap_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    left, right = ([t.split(" ") if t else [] for t in side] for side in (pred, ref))
+    # str.split() cuts at any Unicode white space.
+    left, right = ([(t or "").split() for t in side] for side in (pred, ref))
     matches, totals = ngram_overlaps(left, right)
     return pd.DataFrame(
         {
@@ -164,7 +171,7 @@ def _overlap_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
 
 
 def bleu_counts(pred: Column, ref: Column) -> Column:
-    return _overlap_udf(tokens_13a(pred), tokens_13a(ref))
+    return _overlap_udf(_spaced_13a(pred), _spaced_13a(ref))
 
 
 def bleu_score(counts: Column) -> Column:

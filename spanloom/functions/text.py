@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What Python's str.strip() removes, and the trailing part of a clip file name.
-STRIP_PATTERN = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# The characters Python's str.strip() removes, and the trailing part of a clip file name.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 CLIP_SUFFIX_PATTERN = r"(?dU)\d+_x264$"
 
 
 def strip_text(text: Column) -> Column:
-    """Remove leading and trailing Unicode white space (``trim`` only removes blanks)."""
-    return F.regexp_replace(text, STRIP_PATTERN, "")
+    """Remove leading and trailing Unicode white space (plain ``trim`` only removes blanks)."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def category_of(video_id: Column) -> Column:

@@ -35,7 +35,9 @@ def hashed_tokenizer(vocabulary: int = 32_000, reserved: int = 16) -> Callable[[
     def factory() -> Tokenizer:
         import hashlib
         import re
+        from functools import lru_cache
 
+        @lru_cache(maxsize=1 << 16)
         def word_id(word: str) -> int:
             return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % vocabulary + reserved
 

@@ -68,7 +68,9 @@ def hashed_embedder(width: int = 16) -> Callable[[], Embedder]:
 
     def factory() -> Embedder:
         import hashlib
+        from functools import lru_cache
 
+        @lru_cache(maxsize=1 << 16)
         def vector(word: str) -> np.ndarray:
             seed = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
             return np.random.default_rng(seed).standard_normal(width).astype("float32")

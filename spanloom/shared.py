@@ -26,7 +26,8 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_root(spark), "spanloom", f"{label}-{uuid.uuid4().hex}")
+    app = spark.sparkContext.applicationId
+    return os.path.join(shared_root(spark), "spanloom", app, f"{label}-{uuid.uuid4().hex}")
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
