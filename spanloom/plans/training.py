@@ -17,7 +17,9 @@ from ..functions.chat import (
     render_chat,
     video_metadata,
 )
+from ..functions.labels import truncate_ids
 from ..operators.batching import assign_batches, pad_batch, tokenize, training_rows
+from ..shared import stash
 
 CLIP_FRAMES, DENSE_FRAMES = 8, 16
 CLIP_MAX_LENGTH, DENSE_MAX_LENGTH = 2048, 4096
@@ -50,8 +52,12 @@ def token_table(
     key: Sequence[str],
     side: str = "right",
 ) -> DataFrame:
-    """Chat texts as padded, masked training rows with their batch number, computed once."""
-    ids = tokenize(texts, tokenizer_factory)
-    batched = assign_batches(ids, batch_size, seed, key)
-    cut = batched.withColumn("input_ids", F.slice("input_ids", 1, max_length))
-    return training_rows(pad_batch(cut, "batch", pad_id, side), marker, pad_id, max_length)
+    """Chat texts as padded, masked training rows with their batch number.
+
+    Rows are numbered before they are tokenized, and ids are written once: the batch widths and the
+    rows themselves must not each run the tokenizer.
+    """
+    batched = assign_batches(texts, batch_size, seed, key)
+    ids = tokenize(batched, tokenizer_factory).withColumn("input_ids", truncate_ids(F.col("input_ids"), max_length))
+    padded = pad_batch(stash(ids, "tokens"), "batch", pad_id, side)
+    return training_rows(padded, marker, pad_id, max_length)

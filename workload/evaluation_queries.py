@@ -16,7 +16,9 @@ from spanloom.plans.evaluation import evaluate
 from spanloom.shared import new_folder
 from spanloom.sources import write_results
 
+from .frame_queries import decoded_sql
 from .registry import query
+from .sample_queries import fold_sql
 from .text_queries import _LCS_SQL, _bleu_sql
 from .views import annotations, ctes, frames, predictions, table, valid_annotations
 
@@ -186,21 +188,74 @@ def _customer_videos(spark, sf):
     return video_durations(videos, frames(spark, sf))
 
 
-@query("detect_single_pass")
+_VIDEOS_SQL = ctes("ann", "fr") + """
+, dur AS (SELECT video_id, max(pts) AS duration FROM fr GROUP BY 1)
+, vid AS (SELECT v.video_id, coalesce(d.duration, CAST(0 AS DOUBLE)) AS duration FROM (
+    SELECT ['Lobby','Yard','Gate','Dock','Hall'][CAST(c_custkey % 5 AS INTEGER) + 1] || CAST(c_custkey AS VARCHAR) || '_x264' AS video_id FROM customer) v
+  LEFT JOIN dur d ON v.video_id = d.video_id)
+"""
+# What the stand-in says about each span, as activities relative to the span.
+_SAID_SQL = """
+, seen AS (SELECT span.*, coalesce(n, 0) AS n FROM span LEFT JOIN (SELECT clip_id, count(DISTINCT frame_ref) AS n FROM filled GROUP BY 1) f USING (clip_id))
+, said AS (SELECT *, 0 AS line, CAST(0 AS DOUBLE) AS s, CAST(printf('%.1f', ("end" - start) / 2) AS DOUBLE) AS e, 'saw ' || n || ' frames' AS description FROM seen
+  UNION ALL SELECT *, 1, CAST(printf('%.1f', ("end" - start) / 2) AS DOUBLE), CAST(printf('%.1f', "end" - start) AS DOUBLE), 'end ' || printf('%.1f', "end") FROM seen)
+"""
+_WINDOWS_SQL = _VIDEOS_SQL + """
+, win AS (SELECT *, unnest(range(0, CASE WHEN duration <= 120 THEN 1 ELSE CAST(ceil((duration - 120) / CAST(60 AS DOUBLE)) AS BIGINT) + 1 END)) AS window_idx FROM vid)
+, span AS (SELECT video_id || '#' || window_idx AS clip_id, video_id, duration, window_idx, CAST(window_idx * 60 AS DOUBLE) AS start,
+    CASE WHEN duration > 0 THEN least(CAST(window_idx * 60 + 120 AS DOUBLE), duration) ELSE CAST(120 AS DOUBLE) END AS "end" FROM win)
+"""
+
+
+@query(
+    "detect_single_pass",
+    _VIDEOS_SQL
+    + """
+, span AS (SELECT video_id AS clip_id, video_id, duration, CAST(0 AS DOUBLE) AS start,
+    CASE WHEN duration > 0 THEN least(duration, CAST(120 AS DOUBLE)) ELSE CAST(120 AS DOUBLE) END AS "end" FROM vid)
+"""
+    + decoded_sql(16)
+    + _SAID_SQL
+    + """SELECT video_id, CAST(line AS BIGINT) AS kept_no, s AS start, e AS "end", description FROM said""",
+)
 def q_single_pass(spark, sf):
     return detect_single_pass(_customer_videos(spark, sf), frames(spark, sf), lambda: _lister()).activities
 
 
-@query("detect_sliding")
+@query(
+    "detect_sliding",
+    _WINDOWS_SQL
+    + decoded_sql(16)
+    + _SAID_SQL
+    + """, moved AS (SELECT video_id, window_idx * 2 + line AS pos, s + start AS start, e + start AS "end", description FROM said WHERE duration > 0)"""
+    + fold_sql("moved", "pos", "description")
+    + """SELECT * FROM kept
+UNION ALL SELECT video_id, CAST(line AS BIGINT), s, e, description FROM said WHERE duration = 0""",
+)
 def q_sliding(spark, sf):
     return detect_sliding(_customer_videos(spark, sf), frames(spark, sf), lambda: _lister()).activities
 
 
-@query("window_records")
+@query(
+    "window_records",
+    _WINDOWS_SQL
+    + decoded_sql(16)
+    + _SAID_SQL
+    + """
+SELECT video_id, CAST(window_idx AS BIGINT) AS window_idx, start AS window_start, "end" AS window_end,
+  '1. [0.0, ' || printf('%.1f', ("end" - start) / 2) || '] saw ' || n || ' frames' || chr(10) || '2. [' || printf('%.1f', ("end" - start) / 2)
+    || ', ' || printf('%.1f', "end" - start) || '] end ' || printf('%.1f', "end") AS raw_output, CAST(2 AS BIGINT) AS n_activities
+FROM seen WHERE duration > 0""",
+)
 def q_window_records(spark, sf):
     shown = detect_sliding(_customer_videos(spark, sf), frames(spark, sf), lambda: _lister()).windows
     return shown.select(
-        "video_id", "window_idx", "window_start", "window_end", "raw_output", F.size("activities").alias("n_activities")
+        "video_id",
+        "window_idx",
+        "window_start",
+        "window_end",
+        "raw_output",
+        F.size("activities").cast("bigint").alias("n_activities"),
     )
 
 

@@ -17,25 +17,33 @@ def _clips(spark, sf):
 
 _CLIPS_SQL = ctes("ann", "valid", "fr") + """
 , dur AS (SELECT video_id, max(pts) AS duration FROM fr GROUP BY 1)
-, c0 AS (SELECT ann_pos AS clip_id, v.video_id, start, "end", duration, greatest(CAST(0 AS DOUBLE), least(start, coalesce(nullif(duration, 0), "end"))) AS t_start
-         FROM valid v LEFT JOIN dur d ON v.video_id = d.video_id)
+, span AS (SELECT ann_pos AS clip_id, v.video_id, start, "end", duration FROM valid v LEFT JOIN dur d ON v.video_id = d.video_id)
+"""
+CLAMP_SQL = """
+, c0 AS (SELECT *, greatest(CAST(0 AS DOUBLE), least(start, coalesce(nullif(duration, 0), "end"))) AS t_start FROM span)
 , cl AS (SELECT *, greatest(t_start + CAST(0.1 AS DOUBLE), least("end", coalesce(nullif(duration, 0), "end"))) AS t_end FROM c0)
 """
 
 
-@query("clamp_clips", _CLIPS_SQL + "SELECT clip_id, duration, t_start, t_end FROM cl")
+@query("clamp_clips", _CLIPS_SQL + CLAMP_SQL + "SELECT clip_id, duration, t_start, t_end FROM cl")
 def q_clamp(spark, sf):
     return clamp_clips(_clips(spark, sf)).select("clip_id", "duration", "t_start", "t_end")
 
 
-def _frames_sql(n: int) -> str:
-    return _CLIPS_SQL + f"""
+def decoded_sql(n: int) -> str:
+    """Frames decoded per clip of ``span`` and slot, found by joining each clip with its whole range."""
+    return CLAMP_SQL + f"""
 , seek AS (SELECT clip_id, max(pts) AS seek_pts FROM cl JOIN fr ON cl.video_id = fr.video_id AND is_keyframe
              AND pts <= floor(t_start * CAST(1e6 AS DOUBLE)) / CAST(1e6 AS DOUBLE) GROUP BY 1)
 , hit AS (SELECT cl.clip_id, fr.pts, fr.frame_ref,
             greatest(0, least({n - 1}, CAST(trunc((pts - t_start) / (t_end - t_start + CAST(1e-9 AS DOUBLE)) * CAST({n} AS DOUBLE)) AS BIGINT))) AS slot
           FROM cl LEFT JOIN seek USING (clip_id) JOIN fr ON fr.video_id = cl.video_id AND pts <= t_end + 1 AND pts >= coalesce(seek_pts, -1))
 , filled AS (SELECT clip_id, slot, min(pts) AS pts, arg_min(frame_ref, pts) AS frame_ref FROM hit GROUP BY ALL)
+"""
+
+
+def _frames_sql(n: int) -> str:
+    return _CLIPS_SQL + decoded_sql(n) + f"""
 , grid AS (SELECT clip_id, unnest(range({n})) AS i FROM cl)
 , near AS (SELECT g.clip_id, g.i, max(f.slot) FILTER (f.slot <= g.i) AS p, min(f.slot) FILTER (f.slot >= g.i) AS q
            FROM grid g LEFT JOIN filled f ON f.clip_id = g.clip_id GROUP BY ALL)

@@ -148,7 +148,7 @@ def q_clip_intervals(spark, sf):
     return clip_intervals(kept).select("video_id", "ann_pos", "duration", "effective_end", "start", "end")
 
 
-_VIDEO_SAMPLE_SQL = (
+VIDEO_SAMPLE_SQL = (
     ctes("rec", "recpair")
     + rf"""
 , eff AS (SELECT *, coalesce(duration, CAST(120 AS DOUBLE)) AS dur,
@@ -164,7 +164,7 @@ _VIDEO_SAMPLE_SQL = (
 
 @query(
     "video_samples",
-    _VIDEO_SAMPLE_SQL
+    VIDEO_SAMPLE_SQL
     + """
 SELECT video_id, dur AS duration, eff AS effective_end, CAST(count(*) AS BIGINT) AS n_annotations,
        string_agg(printf('%.1f', start) || '-' || printf('%.1f', e) || ' ' || md5(s), ',' ORDER BY rn) AS annotations
@@ -207,7 +207,7 @@ def q_dense_test(spark, sf):
 
 @query(
     "sample_totals",
-    _VIDEO_SAMPLE_SQL
+    VIDEO_SAMPLE_SQL
     + """
 SELECT CAST(count(DISTINCT video_id) AS BIGINT) AS n_videos, CAST(count(*) AS BIGINT) AS n_annotations FROM kept""",
 )
@@ -359,27 +359,26 @@ def q_union_splits(spark, sf):
     return union_splits({"Test": test, "Train": train}).select("split", "video_id", "ann_pos")
 
 
-DEDUP_SQL = (
-    ctes("ann", "valid")
-    + """
+_IOU = """(greatest(CAST(0 AS DOUBLE), least(y[1].e, {0}.e) - greatest(y[1].s, {0}.s))
+   / ((y[1].e - y[1].s) + ({0}.e - {0}.s) - greatest(CAST(0 AS DOUBLE), least(y[1].e, {0}.e) - greatest(y[1].s, {0}.s))))"""
+
+
+def fold_sql(source: str, pos: str, text: str) -> str:
+    """De-duplication of ``source`` as a list fold: ``kept`` has video_id, kept_no, start, end, description."""
+    at = "coalesce(list_position(list_transform(acc, lambda {0}: " + _IOU + " > 0.5), true), 0)"
+    return f"""
 , folded AS (
   SELECT video_id, list_reduce(
-    list({'s': start, 'e': "end", 'd': sentence} ORDER BY start, ann_pos).list_transform(lambda x: [x]),
-    lambda acc, y: CASE
-      WHEN coalesce(list_position(list_transform(acc, lambda k:
-             (greatest(CAST(0 AS DOUBLE), least(y[1].e, k.e) - greatest(y[1].s, k.s))
-              / ((y[1].e - y[1].s) + (k.e - k.s) - greatest(CAST(0 AS DOUBLE), least(y[1].e, k.e) - greatest(y[1].s, k.s)))) > 0.5), true), 0) = 0
-      THEN list_concat(acc, y)
-      ELSE list_transform(acc, lambda k, i: CASE
-             WHEN i = list_position(list_transform(acc, lambda q:
-               (greatest(CAST(0 AS DOUBLE), least(y[1].e, q.e) - greatest(y[1].s, q.s))
-                / ((y[1].e - y[1].s) + (q.e - q.s) - greatest(CAST(0 AS DOUBLE), least(y[1].e, q.e) - greatest(y[1].s, q.s)))) > 0.5), true)
-               AND length(y[1].d) > length(k.d) THEN y[1] ELSE k END) END) AS kept
-  FROM valid GROUP BY video_id)
+    list({{'s': start, 'e': "end", 'd': {text}}} ORDER BY start, {pos}).list_transform(lambda x: [x]),
+    lambda acc, y: CASE WHEN {at.format('k')} = 0 THEN list_concat(acc, y)
+      ELSE list_transform(acc, lambda k, i: CASE WHEN i = {at.format('q')} AND length(y[1].d) > length(k.d) THEN y[1] ELSE k END) END) AS kept
+  FROM {source} GROUP BY video_id)
 , kept AS (SELECT video_id, CAST(i - 1 AS BIGINT) AS kept_no, kept[i].s AS start, kept[i].e AS "end", kept[i].d AS description
   FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM folded))
-SELECT * FROM kept"""
-)
+"""
+
+
+DEDUP_SQL = ctes("ann", "valid") + fold_sql("valid", "ann_pos", "sentence") + "SELECT * FROM kept"
 
 
 @query("dedup_activities", DEDUP_SQL)

@@ -6,12 +6,13 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from spanloom.functions.chat import messages, render_chat
+from spanloom.functions.chat import CLIP_PROMPT, DENSE_PROMPT, messages, render_chat
 from spanloom.operators.batching import assign_batches, hashed_tokenizer, pad_batch, tokenize, training_rows
 from spanloom.operators.samples import video_samples
 from spanloom.plans.training import DENSE_MAX_LENGTH, clip_texts, token_table, video_texts
 
 from .registry import query
+from .sample_queries import VIDEO_SAMPLE_SQL
 from .views import chat_pairs, complete_records, ctes, valid_annotations
 
 VOCABULARY, RESERVED = 32_000, 16
@@ -95,7 +96,33 @@ def q_pad(spark, sf):
     )
 
 
-@query("clip_training_table")
+def _table_sql(key: str, max_length: int, batch: int) -> str:
+    """Padded ids and labels of ``texts`` (``key``, text) in seeded batches."""
+    return rf"""
+, ids AS (SELECT {key}, list_transform(list_filter(regexp_split_to_array(text, '[ \t\r\n\f\x0b]+'), lambda w: w <> ''),
+     lambda w: CAST('0x' || md5(w)[1:8] AS BIGINT) % {VOCABULARY} + {RESERVED})[1:{max_length}] AS ids,
+     row_number() OVER (ORDER BY md5('42|' || CAST({key} AS VARCHAR))) - 1 AS row_no FROM texts)
+, wide AS (SELECT *, row_no // {batch} AS batch, max(len(ids)) OVER (PARTITION BY row_no // {batch}) AS width FROM ids)
+, padded AS (SELECT {key}, row_no, batch, list_concat(ids, list_transform(range(width - len(ids)), lambda i: CAST(0 AS BIGINT))) AS ids FROM wide)
+, mark AS (SELECT *, list_max(list_filter(range(1, len(ids) + 1), lambda i: ids[i] = {MARKER[0]})) AS last_mark FROM padded)
+, lab AS (SELECT *, list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN last_mark IS NULL OR i <= last_mark + 1 OR ids[i] = 0 THEN -100 ELSE ids[i] END) AS labels FROM mark)
+"""
+
+
+_CLIP_TABLE_SQL = (
+    ctes("ann", "valid")
+    + f"""
+, texts AS (SELECT ann_pos, 'User: <video>{CLIP_PROMPT}' || chr(10) || 'Assistant: ' || sentence || ' Timestamps: [' || printf('%.1f', start)
+    || ', ' || printf('%.1f', "end") || ']' || chr(10) AS text FROM valid)"""
+    + _table_sql("ann_pos", 2048, 4)
+    + """
+, meta AS (SELECT ann_pos, array_to_string(list_transform(range(8), lambda i: CAST(trunc(start + CAST(i AS DOUBLE) * ("end" - start) / CAST(7 AS DOUBLE)) AS BIGINT)), ',') AS frames FROM valid)
+SELECT ann_pos, CAST(row_no AS BIGINT) AS row_no, CAST(batch AS BIGINT) AS batch, frames, array_to_string(ids, ',') AS ids, array_to_string(labels, ',') AS labels
+FROM lab JOIN meta USING (ann_pos)"""
+)
+
+
+@query("clip_training_table", _CLIP_TABLE_SQL)
 def q_clip_training(spark, sf):
     samples = valid_annotations(spark, sf).select("video_id", "ann_pos", "start", "end", "sentence")
     rows = token_table(
@@ -111,7 +138,19 @@ def q_clip_training(spark, sf):
     )
 
 
-@query("video_training_table")
+_VIDEO_TABLE_SQL = (
+    VIDEO_SAMPLE_SQL
+    + f"""
+, texts AS (SELECT video_id, 'User: <video>{DENSE_PROMPT}' || chr(10) || 'Assistant: '
+    || string_agg(rn || '. [' || printf('%.1f', start) || ', ' || printf('%.1f', e) || '] ' || s, chr(10) ORDER BY rn) || chr(10) AS text FROM kept GROUP BY video_id)"""
+    + _table_sql("video_id", DENSE_MAX_LENGTH, 8)
+    + """
+SELECT video_id, CAST(row_no AS BIGINT) AS row_no, CAST(batch AS BIGINT) AS batch, array_to_string(ids, ',') AS ids, array_to_string(labels, ',') AS labels,
+  len(list_filter(labels, lambda l: l <> -100)) = 0 AS is_masked_out FROM lab"""
+)
+
+
+@query("video_training_table", _VIDEO_TABLE_SQL)
 def q_video_training(spark, sf):
     samples = video_samples(complete_records(spark, sf))
     rows = token_table(
