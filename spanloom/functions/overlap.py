@@ -7,11 +7,10 @@ from dataclasses import dataclass
 
 @dataclass(slots=True)
 class Kept:
-    """One kept activity: the place it was first kept at, and its present span and text."""
+    """One kept activity: its slot number, whether it was open before the scan, its span and text."""
 
-    ord_start: float
-    ord_pos: int
-    ord_chunk: int
+    slot: int
+    inherited: bool
     start: float
     end: float
     description: str
@@ -30,13 +29,15 @@ class OverlapScan:
         self.threshold = threshold
         self.live = live or []
 
-    def push(self, new: Kept) -> None:
+    def push(self, new: Kept) -> bool:
+        """Take in the next activity; True if it is kept in a slot of its own."""
         for old in self.live:
             if span_iou(new.start, new.end, old.start, old.end) > self.threshold:
                 if len(new.description) > len(old.description):
                     old.start, old.end, old.description = new.start, new.end, new.description
-                return
+                return False
         self.live.append(new)
+        return True
 
     def settle(self, start: float) -> list[Kept]:
         """Remove and return what ends by ``start``: no later activity can overlap it."""

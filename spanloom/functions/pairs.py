@@ -17,6 +17,8 @@ from .stemming import porter_stem
 from .text import SPACES
 
 MAX_ORDER = 4
+WORDS_PER_PACK = 1_000_000
+COSINE_ROWS = 2_048
 
 _COUNT = T.LongType()
 _LCS = T.StructType([T.StructField(n, _COUNT) for n in ("lcs", "n_pred", "n_ref")])
@@ -159,15 +161,15 @@ def ngram_overlaps(preds: list[list[str]], refs: list[list[str]]) -> tuple[np.nd
 def _overlap_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
     # str.split() cuts at any Unicode white space.
     left, right = ([(t or "").split() for t in side] for side in (pred, ref))
-    matches, totals = ngram_overlaps(left, right)
-    return pd.DataFrame(
-        {
-            "matches": list(matches),
-            "totals": list(totals),
-            "n_pred": [len(t) for t in left],
-            "n_ref": [len(t) for t in right],
-        }
-    )
+    n_pred, n_ref = [len(t) for t in left], [len(t) for t in right]
+    # Texts are counted together up to some number of words, so memory does not follow the batch.
+    pack = np.cumsum(np.add(n_pred, n_ref)) // WORDS_PER_PACK
+    matches, totals = [], []
+    for rows in np.split(np.arange(len(left)), np.flatnonzero(np.diff(pack)) + 1):
+        hit, total = ngram_overlaps([left[i] for i in rows], [right[i] for i in rows])
+        matches += list(hit)
+        totals += list(total)
+    return pd.DataFrame({"matches": matches, "totals": totals, "n_pred": n_pred, "n_ref": n_ref})
 
 
 def bleu_counts(pred: Column, ref: Column) -> Column:
@@ -200,8 +202,13 @@ def greedy_match(cand: np.ndarray, ref: np.ndarray) -> tuple[float, float, float
     """Mean best cosine from each side to the other, and their harmonic mean."""
     if not len(cand) or not len(ref):
         return 0.0, 0.0, 0.0
-    cosines = _unit(cand) @ _unit(ref).T
-    precision, recall = float(cosines.max(axis=1).mean()), float(cosines.max(axis=0).mean())
+    left, right = _unit(cand), _unit(ref)
+    best_left, best_right = [], np.full(len(right), -np.inf)
+    for at in range(0, len(left), COSINE_ROWS):
+        cosines = left[at : at + COSINE_ROWS] @ right.T
+        best_left.append(cosines.max(axis=1))
+        best_right = np.maximum(best_right, cosines.max(axis=0))
+    precision, recall = float(np.concatenate(best_left).mean()), float(best_right.mean())
     both = precision + recall
     return precision, recall, 2 * precision * recall / both if both else 0.0
 

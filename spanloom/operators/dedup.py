@@ -20,6 +20,7 @@ from .hotkeys import cut_chunks, split_hot
 
 THRESHOLD = 0.5
 FOLD_LIMIT = 5_000
+CHUNK_ROWS = 200_000
 
 _KEPT_TYPE = "array<struct<start: double, end: double, description: string>>"
 
@@ -48,7 +49,7 @@ def dedup_activities(
     group: str = "video_id",
     threshold: float = THRESHOLD,
     limit: int | None = FOLD_LIMIT,
-    chunks: int | None = None,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Kept activities per ``group`` with their place ``kept_no`` in kept order.
 
@@ -65,107 +66,154 @@ def dedup_activities(
         F.col("end").cast("double").alias("end"),
         F.col("description"),
     )
-    cool, hot = split_hot(rows, "key", limit)
+    cool, hot, n_hot = split_hot(rows, "key", limit)
     item = F.struct("start", "pos", "end", "description")
     folded = cool.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("items"))
     out = folded.select("key", F.posexplode(_fold(F.col("items"), threshold)).alias("kept_no", "k")).select(
         "key", F.col("kept_no").cast("bigint").alias("kept_no"), "k.*"
     )
     if hot is not None:
-        out = out.unionByName(_dedup_hot(hot, threshold, chunks))
+        out = out.unionByName(_dedup_hot(hot, threshold, n_hot, chunk_rows))
     return out.withColumnRenamed("key", group)
 
 
-_STATE = "ord_start double, ord_pos bigint, ord_chunk int, start double, end double, description string"
-_FIELDS = ["ord_start", "ord_pos", "ord_chunk", "start", "end", "description"]
+_FIELDS = ["slot", "inherited", "start", "end", "description"]
+_SCANNED = "leg int, out_no int, slot bigint, inherited boolean, start double, end double, description string"
+_OPENING = "array<struct<out_no: int, start: double, end: double, description: string>>"
 
 
 def _scan_leg(threshold: float):
-    """Scan one chunk of one video, starting from what the chunk before left open."""
+    """Scan one chunk of one video, starting from what the chunk before left open.
 
-    def run(leg: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    Returns what it settled (``out_no`` null) and what it leaves open, numbered in kept order.
+    """
+
+    def run(leg: pd.DataFrame, opening: pd.DataFrame) -> pd.DataFrame:
         leg = leg.sort_values(["start", "pos"], kind="stable")
-        state = state.sort_values(["ord_start", "ord_pos"], kind="stable")
-        scan = OverlapScan(threshold, [Kept(*row) for row in state[_FIELDS].itertuples(index=False)])
+        opening = opening.sort_values("out_no")[["out_no", "start", "end", "description"]]
+        scan = OverlapScan(threshold, [Kept(no, True, *span) for no, *span in opening.itertuples(index=False)])
         done: list[Kept] = []
-        chunk = int(leg["chunk"].iloc[0])
-        rows = leg[["start", "pos", "end", "description"]].itertuples(index=False)
-        for start, pos, end, description in rows:
+        slot = 0
+        for start, end, description in leg[["start", "end", "description"]].itertuples(index=False):
             done += scan.settle(start)
-            scan.push(Kept(start, pos, chunk, start, end, description))
-        out = [(False, *(getattr(k, f) for f in _FIELDS)) for k in done]
-        out += [(True, *(getattr(k, f) for f in _FIELDS)) for k in scan.live]
-        frame = pd.DataFrame(out, columns=["is_open", *_FIELDS])
-        frame.insert(0, "leg", chunk)
-        frame.insert(0, "key", leg["key"].iloc[0])
-        return frame
+            slot += scan.push(Kept(slot, False, start, end, description))
+        rows = [(None, *(getattr(k, f) for f in _FIELDS)) for k in done]
+        rows += [(no, *(getattr(k, f) for f in _FIELDS)) for no, k in enumerate(scan.live)]
+        out = pd.DataFrame(rows, columns=["out_no", *_FIELDS]).astype({"out_no": "Int32"})
+        out.insert(0, "leg", leg["chunk"].iloc[0])
+        out.insert(0, "key", leg["key"].iloc[0])
+        return out
 
     return run
 
 
-def _dedup_hot(rows: DataFrame, threshold: float, chunks: int | None) -> DataFrame:
+def _dedup_hot(rows: DataFrame, threshold: float, n_rows: int, chunk_rows: int) -> DataFrame:
     """Exact scan of videos too large for one task.
 
     Chunks follow the scan order. All are scanned at once, first as if nothing was open before
-    them; then the activities each leaves open are handed to the next chunk, and only chunks whose
-    opening state turned out different are scanned again. Once nothing changes, every chunk has
-    been scanned from the true state of its predecessor, so the result is that of the one long
+    them; then the spans and texts each leaves open are handed to the next chunk, and only chunks
+    whose opening state turned out different are scanned again. Once nothing changes, every chunk
+    has been scanned from the true state of its predecessor, so the result is that of the one long
     scan. Work per task is one chunk, and a state is only what overlaps the border.
     """
-    pieces = cut_chunks(rows, "key", [F.col("start"), F.col("pos")], chunks)
-    order = W.partitionBy("key").orderBy("chunk")
+    pieces = cut_chunks(rows, "key", [F.col("start"), F.col("pos")], n_rows, chunk_rows)
+    order = W.partitionBy("key").orderBy("leg")
+    found = pieces.select("key", F.col("chunk").alias("leg")).groupBy("key", "leg").count()
     legs = stash(
-        pieces.select("key", "chunk").groupBy("key", "chunk").count().withColumn("after", F.lead("chunk").over(order)),
+        found.select("key", "leg", F.lag("leg").over(order).alias("before"), F.lead("leg").over(order).alias("after")),
         "legs",
     )
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, leg int, is_open boolean, {_STATE}"
-    empty_state = F.array().cast(f"array<struct<{_STATE.replace(' ', ': ').replace(',:', ',')}>>")
-    opening = legs.select("key", "chunk", empty_state.alias("state"))
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, {_SCANNED}"
+    nothing = F.array().cast(_OPENING)
+    opening = legs.select("key", "leg", nothing.alias("state"))
     todo, current = opening, None
-    while True:
-        work = pieces if current is None else pieces.join(todo, ["key", "chunk"], "left_semi")
-        states = todo.select("key", "chunk", F.explode("state").alias("s")).select("key", "chunk", "s.*")
+    while current is None or not todo.isEmpty():
+        due = todo.select("key", F.col("leg").alias("chunk"))
+        work = pieces if current is None else pieces.join(due, ["key", "chunk"], "left_semi")
+        states = todo.select("key", F.col("leg").alias("chunk"), F.explode("state").alias("s"))
         scanned = (
             work.groupBy("key", "chunk")
-            .cogroup(states.groupBy("key", "chunk"))
+            .cogroup(states.select("key", "chunk", "s.*").groupBy("key", "chunk"))
             .applyInPandas(_scan_leg(threshold), schema)
         )
         scanned = stash(scanned, "scan")
+        redone = todo.select("key", "leg")
         if current is None:
             current = scanned
         else:
-            redone = todo.select("key", F.col("chunk").alias("leg"))
             current = stash(current.join(redone, ["key", "leg"], "left_anti").unionByName(scanned), "scan")
-        # What each rescanned leg leaves open is the opening state of the leg after it.
+        # What each scanned leg leaves open is the opening state of the leg after it.
         left_open = (
-            scanned.filter("is_open")
-            .groupBy("key", F.col("leg").alias("chunk"))
-            .agg(F.array_sort(F.collect_list(F.struct(*_FIELDS))).alias("state"))
+            scanned.filter(F.col("out_no").isNotNull())
+            .groupBy("key", "leg")
+            .agg(F.array_sort(F.collect_list(F.struct("out_no", "start", "end", "description"))).alias("state"))
         )
         handed = (
-            legs.join(todo.select("key", "chunk"), ["key", "chunk"], "left_semi")
+            legs.join(redone, ["key", "leg"], "left_semi")
             .filter(F.col("after").isNotNull())
-            .join(left_open, ["key", "chunk"], "left")
-            .select("key", F.col("after").alias("chunk"), F.coalesce("state", empty_state).alias("state"))
+            .join(left_open, ["key", "leg"], "left")
+            .select("key", F.col("after").alias("leg"), F.coalesce("state", nothing).alias("state"))
         )
-        before = opening.withColumnRenamed("state", "old")
-        todo = stash(
-            handed.join(before, ["key", "chunk"]).filter(F.col("state") != F.col("old")).drop("old"), "todo"
+        known = opening.withColumnRenamed("state", "old")
+        todo = stash(handed.join(known, ["key", "leg"]).filter(F.col("state") != F.col("old")).drop("old"), "todo")
+        opening = stash(opening.join(todo, ["key", "leg"], "left_anti").unionByName(todo), "opening")
+    return _number_kept(current.join(legs, ["key", "leg"]), legs)
+
+
+def _number_kept(scanned: DataFrame, legs: DataFrame) -> DataFrame:
+    """Final activities with their place in kept order.
+
+    An open activity of a leg is either new there or the one the leg before left open under the
+    same number. Following these links by doubling leads each to the leg and slot it was first
+    kept in; slots are numbered in kept order inside a leg, legs follow one another.
+    """
+    is_open = F.col("out_no").isNotNull()
+    own = ~F.col("inherited")
+    links = scanned.filter(is_open).select(
+        "key",
+        "leg",
+        "out_no",
+        F.when(own, F.col("leg")).alias("root_leg"),
+        F.when(own, F.col("slot")).alias("root_slot"),
+        F.when(~own, F.col("before")).alias("up_leg"),
+        F.when(~own, F.col("slot").cast("int")).alias("up_no"),
+    )
+    links = stash(links, "links")
+    while not links.filter(F.col("root_leg").isNull()).isEmpty():
+        above = links.select(
+            "key",
+            F.col("leg").alias("up_leg"),
+            F.col("out_no").alias("up_no"),
+            *[F.col(c).alias(f"next_{c}") for c in ("root_leg", "root_slot", "up_leg", "up_no")],
         )
-        if todo.isEmpty():
-            break
-        opening = stash(
-            opening.join(todo, ["key", "chunk"], "left_anti").unionByName(todo), "opening"
+        followed = links.join(above, ["key", "up_leg", "up_no"], "left")
+        links = stash(
+            followed.select(
+                "key",
+                "leg",
+                "out_no",
+                F.coalesce("root_leg", "next_root_leg").alias("root_leg"),
+                F.coalesce("root_slot", "next_root_slot").alias("root_slot"),
+                F.col("next_up_leg").alias("up_leg"),
+                F.col("next_up_no").alias("up_no"),
+            ),
+            "links",
         )
-    last = legs.select("key", F.col("chunk").alias("leg"), "after")
-    kept = current.join(last, ["key", "leg"]).filter(~F.col("is_open") | F.col("after").isNull())
-    # Numbering: rank inside the chunk where an activity was first kept, after all earlier chunks.
-    counts = kept.groupBy("key", "ord_chunk").agg(F.count(F.lit(1)).alias("n_here"))
-    so_far = W.partitionBy("key").orderBy("ord_chunk")
-    offsets = counts.select("key", "ord_chunk", (F.sum("n_here").over(so_far) - F.col("n_here")).alias("offset"))
-    rank = F.row_number().over(W.partitionBy("key", "ord_chunk").orderBy("ord_start", "ord_pos"))
+    final = scanned.filter(~is_open | F.col("after").isNull())
+    roots = links.select(
+        "key", F.col("leg").alias("before"), F.col("out_no").cast("bigint").alias("slot"), "root_leg", "root_slot"
+    )
+    old = final.filter("inherited").join(roots, ["key", "before", "slot"])
+    new = final.filter(own).withColumn("root_leg", F.col("leg")).withColumn("root_slot", F.col("slot"))
+    counts = legs.select("key", "leg").join(
+        scanned.filter(own).groupBy("key", "leg").agg(F.count(F.lit(1)).alias("n_new")), ["key", "leg"], "left"
+    )
+    earlier = W.partitionBy("key").orderBy("leg").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        "key", F.col("leg").alias("root_leg"), F.coalesce(F.sum("n_new").over(earlier), F.lit(0)).alias("offset")
+    )
     return (
-        kept.withColumn("rank", rank - 1)
-        .join(offsets, ["key", "ord_chunk"])
-        .select("key", (F.col("offset") + F.col("rank")).alias("kept_no"), "start", "end", "description")
+        new.unionByName(old)
+        .join(offsets, ["key", "root_leg"])
+        .select("key", (F.col("offset") + F.col("root_slot")).alias("kept_no"), "start", "end", "description")
     )

@@ -86,7 +86,7 @@ def _probes(clips: DataFrame, n: int) -> DataFrame:
     ).select("video_id", "p.t", "p.side", "p.slot", "clip_id", "t_start", "t_end")
 
 
-def _as_of(clips: DataFrame, frames: DataFrame, n: int, limit: int | None, chunks: int | None) -> DataFrame:
+def _as_of(clips: DataFrame, frames: DataFrame, n: int, limit: int | None, chunk_rows: int) -> DataFrame:
     """Each probe with the frame it finds: the last keyframe at or before, or the next frame."""
     index = frames.select(
         "video_id",
@@ -101,7 +101,7 @@ def _as_of(clips: DataFrame, frames: DataFrame, n: int, limit: int | None, chunk
     )
     counts = weights.groupBy("video_id").agg(F.sum("w").alias("n_rows"))
     order = [F.col("t"), F.col("side"), F.col("clip_id")]
-    rows, hot = chunked(both, "video_id", order, limit, chunks, counts)
+    rows, hot = chunked(both, "video_id", order, limit, chunk_rows, counts)
     is_frame = F.col("side") == _FRAME
     # Both lookups are running minima, so they carry over a chunk border as plain minima as well.
     back = F.when(is_frame & F.col("is_key"), F.struct((-F.col("t")).alias("neg"), "frame_ref"))
@@ -163,7 +163,7 @@ def clip_frames(
     frames: DataFrame,
     n_frames: int,
     limit: int | None = ROW_LIMIT,
-    chunks: int | None = None,
+    chunk_rows: int = ROW_LIMIT,
 ) -> DataFrame:
     """``n_frames`` rows per clip: the frame to show in each slot.
 
@@ -172,7 +172,7 @@ def clip_frames(
     A clip without any frame gets blank slots.
     """
     n = n_frames
-    looks = _as_of(clamp_clips(clips), frames, n, limit, chunks)
+    looks = _as_of(clamp_clips(clips), frames, n, limit, chunk_rows)
     # Every clip has exactly n + 1 lookups.
     per_clip = looks.groupBy("clip_id").agg(
         F.first("t_start").alias("t_start"),

@@ -25,28 +25,31 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
 
 def split_hot(
     df: DataFrame, key: str, limit: int | None, counts: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of hot keys (None when there is no hot key).
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of ordinary keys, rows of hot keys (None when there is no hot key), and how many these are.
 
     ``counts`` (key, n_rows) may be given where it is cheaper to get than from ``df`` itself.
     """
     if limit is None:
-        return df, None
+        return df, None, 0
     sizes = key_counts(df, key) if counts is None else counts
-    hot = stash(sizes.filter(F.col("n_rows") > limit).select(key), "hot-keys")
-    if hot.isEmpty():
-        return df, None
+    hot = stash(sizes.filter(F.col("n_rows") > limit), "hot-keys")
+    n_hot = hot.agg(F.sum("n_rows")).first()[0]
+    if not n_hot:
+        return df, None, 0
     # No broadcast hint: the planner sees the written list's size and chooses.
-    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
+    hot = hot.select(key)
+    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi"), n_hot
 
 
-def cut_chunks(df: DataFrame, key: str, order: Sequence[Column], chunks: int | None = None) -> DataFrame:
+def cut_chunks(df: DataFrame, key: str, order: Sequence[Column], n_rows: int, chunk_rows: int) -> DataFrame:
     """Add ``chunk``: even pieces of the (key, order) sequence, numbered in sequence order.
 
-    The cut is written down because range bounds come from sampling and several branches read it.
+    Their number follows from the row count, so a chunk stays of one size whatever the data's. The
+    cut is written down because range bounds come from sampling and several branches read it.
     """
-    columns = [F.col(key), *order]
-    ranged = df.repartitionByRange(chunks, *columns) if chunks else df.repartitionByRange(*columns)
+    pieces = -(-n_rows // chunk_rows)
+    ranged = df.repartitionByRange(pieces, F.col(key), *order)
     return stash(ranged.withColumn("chunk", F.spark_partition_id()), "chunks")
 
 
@@ -55,13 +58,13 @@ def chunked(
     key: str,
     order: Sequence[Column],
     limit: int | None = ROW_LIMIT,
-    chunks: int | None = None,
+    chunk_rows: int = ROW_LIMIT,
     counts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """All rows with ``chunk`` (0 for ordinary keys), and the rows of hot keys alone for carrying."""
-    cool, hot = split_hot(df, key, limit, counts)
+    cool, hot, n_hot = split_hot(df, key, limit, counts)
     cool = cool.withColumn("chunk", F.lit(0))
     if hot is None:
         return cool, None
-    hot = cut_chunks(hot, key, order, chunks)
+    hot = cut_chunks(hot, key, order, n_hot, chunk_rows)
     return cool.unionByName(hot), hot

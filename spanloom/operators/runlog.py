@@ -17,5 +17,12 @@ def metric_points(logs: DataFrame) -> DataFrame:
     )
 
 
+def metric_points_json(logs: DataFrame) -> DataFrame:
+    """The same for ``logs`` as JSON text, which still tells numbers and booleans from strings."""
+    rows = logs.select("run_id", "step", F.explode(F.from_json("logs", "map<string, variant>")).alias("key", "raw"))
+    numeric = F.schema_of_variant("raw").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$")
+    return rows.filter(numeric).select("run_id", "step", "key", F.col("raw").cast("double").alias("value"))
+
+
 def append_points(points: DataFrame, path: str) -> None:
     points.write.mode("append").parquet(path)

@@ -37,13 +37,11 @@ def _scan(book: dict, threshold: float, horizon: float) -> list[Kept]:
     ready = sorted(a for a in book["waiting"] if a[0] < horizon)
     book["waiting"] = [a for a in book["waiting"] if a[0] >= horizon]
     done: list[Kept] = []
-    for start, pos, end, description in ready:
+    for start, _, end, description in ready:
         done += scan.settle(start)
-        before = len(scan.live)
-        scan.push(Kept(start, pos, book["kept"], start, end, description))
-        book["kept"] += len(scan.live) - before
+        book["kept"] += scan.push(Kept(book["kept"], False, start, end, description))
     done += scan.settle(horizon)
-    book["live"] = [[k.ord_start, k.ord_pos, k.ord_chunk, k.start, k.end, k.description] for k in scan.live]
+    book["live"] = [[k.slot, False, k.start, k.end, k.description] for k in scan.live]
     return done
 
 
@@ -72,7 +70,6 @@ def _updater(threshold: float, stride: float, timeout_ms: int | None):
             # A window delivered again after the end must not open the video anew.
             if state.hasTimedOut:
                 state.remove()
-            yield pd.DataFrame([], columns=_COLUMNS)
             return
         book = json.loads(state.get[0]) if state.exists else _fresh()
         if state.hasTimedOut:
@@ -89,8 +86,9 @@ def _updater(threshold: float, stride: float, timeout_ms: int | None):
         state.update((CLOSED if ended else json.dumps(book),))
         if timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
-        rows = [(key[0], k.ord_chunk, k.start, k.end, k.description) for k in done]
-        yield pd.DataFrame(rows, columns=_COLUMNS)
+        rows = [(key[0], k.slot, k.start, k.end, k.description) for k in done]
+        if rows:
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return update
 

@@ -186,7 +186,22 @@ def test_dedup_of_hot_videos_equals_the_single_scan(spark, length):
     want = {name: slow_dedup(acts) for name, acts in videos.items()}
     rows = activity_rows(spark, videos)
     assert kept_by_video(dedup_activities(rows, limit=None)) == want
-    assert kept_by_video(dedup_activities(rows, limit=100, chunks=7)) == want
+    assert kept_by_video(dedup_activities(rows, limit=100, chunk_rows=370)) == want
+
+
+def test_copies_of_one_activity_settle_in_few_rounds(spark):
+    """Chunks full of copies agree after one hand-over, they do not wait for one another."""
+    from pathlib import Path
+
+    from spanloom.shared import shared_root
+
+    folder = Path(shared_root(spark)) / "spanloom" / spark.sparkContext.applicationId
+    rounds = lambda: len(list(folder.glob("todo-*")))
+    acts = [(5.0, i, 25.0, "same words") for i in range(900)] + [(24.0, 901, 60.0, "after")]
+    before = rounds()
+    got = kept_by_video(dedup_activities(activity_rows(spark, {"v": acts}), limit=100, chunk_rows=100))
+    assert got == {"v": [(5.0, 25.0, "same words"), (24.0, 60.0, "after")]}
+    assert rounds() - before <= 3
 
 
 # --- frames ------------------------------------------------------------------------------------
@@ -239,8 +254,8 @@ def test_slot_fill(one, decoded, shown):
     assert one(source_slots(filled, 6)) == shown
 
 
-@pytest.mark.parametrize("limit, chunks", [(None, None), (150, 5)])
-def test_frames_against_decoding_in_order(spark, limit, chunks):
+@pytest.mark.parametrize("limit, chunk_rows", [(None, 1), (150, 400)])
+def test_frames_against_decoding_in_order(spark, limit, chunk_rows):
     rng = random.Random(4)
     videos = {}
     for name, size in (("a", 400), ("b", 60), ("c", 3), ("no key", 40)):
@@ -252,7 +267,7 @@ def test_frames_against_decoding_in_order(spark, limit, chunks):
         clips.append((i, rng.choice([*videos, "none"]), start, start + rng.choice([0.0, 0.5, 3.0, 40.0]), rng.choice([None, 0.0, 55.0])))
     for n in (1, 4, 7):
         got = {}
-        table = clip_frames(spark.createDataFrame(clips, CLIP), frame_table(spark, videos), n, limit, chunks)
+        table = clip_frames(spark.createDataFrame(clips, CLIP), frame_table(spark, videos), n, limit, chunk_rows)
         for r in table.orderBy("clip_id", "slot").collect():
             got.setdefault(r["clip_id"], []).append(r["frame_ref"])
         want = {i: slow_frames((s, e, d), videos.get(v, []), n) for i, v, s, e, d in clips}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.evaluate import attach_scores, score_spans, side_by_side, summarize
 from spanloom.operators.generate import generate, generate_models, resolve_model
-from spanloom.operators.runlog import append_points, metric_points
+from spanloom.operators.runlog import append_points, metric_points, metric_points_json
 from spanloom.operators.textmetrics import hashed_embedder
 from spanloom.plans.detection import detect_single_pass, detect_sliding
 from spanloom.plans.evaluation import evaluate
@@ -117,6 +117,10 @@ def test_metric_points(spark, tmp_path):
     )
     points = metric_points(logs)
     assert {r["key"]: r["value"] for r in points.collect()} == {"loss": 0.5, "epoch": 2.0, "lr": 2e-05}
+    text = '{"loss": 0.5, "note": "7", "epoch": 2, "lr": 2e-05, "none": null, "best": true, "list": [1]}'
+    typed = spark.createDataFrame([("r", 5, text)], "run_id string, step bigint, logs string")
+    got = {r["key"]: r["value"] for r in metric_points_json(typed).collect()}
+    assert got == {"loss": 0.5, "epoch": 2.0, "lr": 2e-05, "best": 1.0}
     append_points(points, str(tmp_path / "points"))
     append_points(points, str(tmp_path / "points"))
     assert spark.read.parquet(str(tmp_path / "points")).count() == 6

@@ -100,6 +100,16 @@ def test_bleu_against_counting(spark):
         assert row["bleu4"] == pytest.approx(brute_bleu(row["p"].split(), row["r"].split()), abs=1e-12)
 
 
+def test_batches_are_counted_in_packs(spark, monkeypatch):
+    from spanloom.functions import pairs as module
+
+    monkeypatch.setattr(module, "WORDS_PER_PACK", 3)
+    rows = [(" ".join("ab" * i), "a b a b") for i in range(6)]
+    frame = module._overlap_udf.func(*(module.pd.Series(side) for side in zip(*rows)))
+    assert [int(m[0]) for m in frame["matches"]] == [0, 2, 4, 4, 4, 4]
+    assert [int(t[0]) for t in frame["totals"]] == list(range(0, 12, 2))
+
+
 def test_bleu_edges(spark):
     df = spark.createDataFrame([("a b c", "a b c"), ("", "a"), ("w x y z", "a b c d"), ("a b c d", "a b c d")], "p string, r string")
     assert [r["bleu4"] for r in bleu4(df, "p", "r").collect()] == pytest.approx([0.0, 0.0, 0.0, 1.0])

@@ -73,7 +73,7 @@ def q_stream_dedup(spark, sf):
     feed, out = new_folder(spark, "windows"), new_folder(spark, "kept")
     windows = window_feed(spark, sf)
     windows.repartition(6, F.xxhash64("video_id", "window_idx")).write.parquet(feed)
-    stream = spark.readStream.schema(windows.schema).option("maxFilesPerTrigger", 2).parquet(feed)
+    stream = spark.readStream.schema(windows.schema).option("maxFilesPerTrigger", 3).parquet(feed)
     _finish(
         dedup_stream(stream)
         .writeStream.format("parquet")
