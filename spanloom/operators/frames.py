@@ -211,6 +211,13 @@ def clip_frames(
     )
 
 
+def frame_refs(clips: DataFrame, frames: DataFrame, n_frames: int) -> DataFrame:
+    """``clip_id`` with the references of its ``n_frames`` slots in one array."""
+    shown = clip_frames(clips, frames, n_frames)
+    slots = F.array_sort(F.collect_list(F.struct("slot", "frame_ref")))
+    return shown.groupBy("clip_id").agg(F.transform(slots, lambda s: s["frame_ref"]).alias("frame_refs"))
+
+
 def video_durations(videos: DataFrame, frames: DataFrame) -> DataFrame:
     """Duration of every video by its last frame; 0 where the index has none."""
     last = frames.groupBy("video_id").agg(F.max("pts").alias("duration"))

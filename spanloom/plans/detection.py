@@ -11,7 +11,7 @@ from ..functions.chat import dense_prompt, messages, render_chat, video_metadata
 from ..functions.intervals import DURATION_CAP, effective_end
 from ..functions.parse import parse_activities, shift_activities
 from ..operators.dedup import THRESHOLD, dedup_activities
-from ..operators.frames import clip_frames
+from ..operators.frames import frame_refs
 from ..operators.generate import DENSE_NEW_TOKENS, CaptionerFactory, generate
 from ..operators.windows import WINDOW_SIZE, WINDOW_STRIDE, video_windows
 from ..shared import stash
@@ -30,13 +30,7 @@ class Detection:
 
 def _captioned(spans: DataFrame, frames: DataFrame, captioner: CaptionerFactory, n_frames: int) -> DataFrame:
     """Spans ``clip_id, video_id, start, end, prompt_text`` with frames and the generated text."""
-    # One or several spans a video; each gets n_frames references.
-    shown = clip_frames(spans.select("clip_id", "video_id", "start", "end", "duration"), frames, n_frames)
-    refs = shown.groupBy("clip_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "frame_ref"))), lambda s: s["frame_ref"]).alias(
-            "frame_refs"
-        )
-    )
+    refs = frame_refs(spans.select("clip_id", "video_id", "start", "end", "duration"), frames, n_frames)
     ready = (
         spans.join(refs, "clip_id")
         .withColumn("metadata", video_metadata(F.col("start"), F.col("end"), n_frames))

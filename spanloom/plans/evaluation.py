@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chat import clip_prompt, messages, render_chat, video_metadata
 from ..operators.evaluate import score_spans, summarize
-from ..operators.frames import clip_frames
+from ..operators.frames import frame_refs
 from ..operators.generate import CLIP_NEW_TOKENS, CaptionerFactory, generate
 from ..operators.textmetrics import Embedder, bleu4, embed_tokens, greedy_match_score, rouge_l
 from ..shared import stash
@@ -28,14 +28,8 @@ def clip_inputs(samples: DataFrame, frames: DataFrame, n_frames: int = CLIP_FRAM
 
     ``samples``: ``sample_id, video_id, start, end, gt``.
     """
-    clips = samples.withColumnRenamed("sample_id", "clip_id")
-    shown = clip_frames(clips, frames, n_frames)
-    # n_frames entries per clip.
-    refs = shown.groupBy(F.col("clip_id").alias("sample_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "frame_ref"))), lambda s: s["frame_ref"]).alias(
-            "frame_refs"
-        )
-    )
+    refs = frame_refs(samples.withColumnRenamed("sample_id", "clip_id"), frames, n_frames)
+    refs = refs.withColumnRenamed("clip_id", "sample_id")
     prompt = render_chat(messages(clip_prompt()), add_generation_prompt=True)
     return (
         samples.join(refs, "sample_id")
@@ -65,8 +59,9 @@ def evaluate(
     by: tuple[str, ...] = (),
     n_frames: int = CLIP_FRAMES,
     max_new_tokens: int = CLIP_NEW_TOKENS,
+    model: str | None = None,
 ) -> Evaluation:
-    """Per-sample rows and their summary.
+    """Per-sample rows and their summary, which names the ``model`` if given.
 
     Scored rows are written once: rows and summary must not each run the model.
     """
@@ -85,4 +80,5 @@ def evaluate(
         *(["bertscore_f1"] if embedder is not None else []),
     )
     rows = stash(scored, "evaluation")
-    return Evaluation(rows, summarize(rows, by))
+    summary = summarize(rows, by)
+    return Evaluation(rows, summary if model is None else summary.withColumn("model", F.lit(model)))

@@ -2,7 +2,7 @@
 
 from .annotations import parse_annotations, read_annotations, read_raw_annotations, to_json_lines
 from .inventory import find_video_inventory, read_video_inventory
-from .sinks import write_results, write_samples
+from .sinks import write_results, write_samples, write_tables
 from .tables import read_table
 
 __all__ = [
@@ -15,4 +15,5 @@ __all__ = [
     "to_json_lines",
     "write_results",
     "write_samples",
+    "write_tables",
 ]

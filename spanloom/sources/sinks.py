@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 
 
-def write_results(rows: DataFrame, summary: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Rows under ``path/rows`` and the one-row summary under ``path/summary``, as JSON lines.
+def write_tables(tables: Mapping[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
+    """Each table as JSON lines under ``path/<name>``, with null fields written out.
 
-    Null fields are written out, so that a missing span stays visible.
+    Results stay in long form: a detection has ``videos``, ``activities`` and ``windows`` tables that
+    share the video id, instead of one nested document.
     """
-    for name, df in (("rows", rows), ("summary", summary)):
+    for name, df in tables.items():
         df.write.mode(mode).option("ignoreNullFields", "false").json(f"{path}/{name}")
 
 
+def write_results(rows: DataFrame, summary: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Per-sample rows and the one-row summary; a missing span stays visible as null."""
+    write_tables({"rows": rows, "summary": summary}, path, mode)
+
+
 def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Samples as a parquet table partitioned by split."""
     samples.write.mode(mode).partitionBy("split").parquet(path)
