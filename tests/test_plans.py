@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from spanloom.operators.evaluate import attach_scores, score_spans, side_by_side, summarize
 from spanloom.operators.generate import generate, generate_models, resolve_model

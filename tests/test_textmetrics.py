@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from spanloom.functions.pairs import common_length, greedy_match, ngram_overlaps
 from spanloom.functions.stemming import porter_stem

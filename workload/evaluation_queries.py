@@ -10,7 +10,6 @@ from spanloom.operators.generate import generate, generate_models, resolve_model
 from spanloom.operators.runlog import metric_points
 from spanloom.operators.samples import group_by_video
 from spanloom.operators.textmetrics import bleu4, hashed_embedder, rouge_l
-from spanloom.operators.windows import video_windows
 from spanloom.plans.detection import detect_single_pass, detect_sliding, union_windows, window_activities
 from spanloom.plans.evaluation import evaluate
 from spanloom.shared import new_folder

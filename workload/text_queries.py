@@ -33,7 +33,6 @@ from .views import (
     SPACE,
     annotations,
     chat_pairs,
-    complete_records,
     ctes,
     predictions,
     table,

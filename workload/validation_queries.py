@@ -16,7 +16,7 @@ from spanloom.operators.validate import (
 )
 
 from .registry import query
-from .views import ctes, inventory, raw_records, table
+from .views import ctes, inventory, raw_records
 
 # Two real splits with a right and a wrong expectation are made from the data; one split is not there.
 _ISSUES = ctes("rec") + """
