@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +92,11 @@ def parts_by_bytes(sizes: Iterable[int], limit: int) -> list[tuple[int, int]]:
     return cuts
 
 
+def sizes_of(column: pa.Array) -> list[int]:
+    """Bytes of each text; null has none."""
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]

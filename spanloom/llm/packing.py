@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import stash
-from .common import column_or_null, crc_ids, parts_by_bytes, per_batch, texts_of
+from .common import column_or_null, crc_ids, parts_by_bytes, per_batch, sizes_of, texts_of
 from .tokens import SpacedWords, encoder
 
 ROOM = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 BUCKET_ROWS = 200_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece_hash long"
 
@@ -36,11 +36,12 @@ def pieces_of(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID
     """One row per piece of a document's ids: where it starts, how long it is, its checksum."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
+        ids = batch.column(0).to_pylist()
         tokens = encoder(SpacedWords, path)
         rows: list[tuple] = []
-        for begin, end in parts_by_bytes(map(len, texts), BATCH_BYTES):
-            for doc_id, own in zip(ids[begin:end], tokens.ids(texts[begin:end])):
+        for begin, end in parts_by_bytes(sizes_of(batch.column(1)), BATCH_BYTES):
+            texts = texts_of(batch.column(1).slice(begin, end - begin))
+            for doc_id, own in zip(ids[begin:end], tokens.ids(texts)):
                 own = np.append(own, own.dtype.type(end_id))
                 for start in range(0, len(own), room):
                     piece = own[start : start + room]

@@ -33,27 +33,41 @@ class _Memory(dict):
         super().__init__()
         self.encoder, self.prefix, self.older = encoder, prefix, {}
 
-    def learn(self, words: list) -> None:
-        """Encode words that are in neither generation."""
+    def learn(self, words: set) -> None:
+        """Encode those of the words that are in neither generation."""
         if len(self) > MEMORY_WORDS:
             self.older = dict(self)
             self.clear()
-        new = []
-        for word in words:
-            known = self.older.get(word)
-            if known is None:
-                new.append(word)
-            else:
-                self[word] = known
-        if new:
-            texts = [self.prefix + (w if isinstance(w, str) else w.decode("utf-8", "replace")) for w in new]
-            self.update(zip(new, self.encoder.direct(texts)))
+        missing = {w for w in words if w not in self}
+        known = {w: self.older[w] for w in missing if w in self.older}
+        self.update(known)
+        missing.difference_update(known)
+        # Letters and the mark after them are cut apart by both vocabularies, so that a word is
+        # encoded once for all its marks.
+        marked = {}
+        for word in missing:
+            mark = self.encoder.marks.get(word[-1:])
+            if mark is not None and _is_plain(word[:-1]):
+                marked[word] = mark
+        bare = {w for w in missing if w not in marked}
+        bare.update(w[:-1] for w in marked if w[:-1] not in self)
+        if bare:
+            listed = list(bare)
+            texts = [self.prefix + (w if isinstance(w, str) else w.decode("utf-8", "replace")) for w in listed]
+            self.update(zip(listed, self.encoder.direct(texts)))
+        self.update((w, self[w[:-1]] + mark) for w, mark in marked.items())
 
     def __missing__(self, word):
-        self.learn([word])
+        self.learn({word})
         return self[word]
 
 
+def _is_plain(word) -> bool:
+    """Letters of Latin alphabets only."""
+    text = word if isinstance(word, str) else word.decode("utf-8", "replace")
+    return text.isalpha() and text.lower().isalpha() and max(text) < "\u0250"
+
+
 class _Encoder:
     """Base: ids of texts by the library itself."""
 
@@ -65,6 +79,7 @@ class _Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         small = self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.kind = np.uint16 if small else np.uint32
+        self.marks = {k: ids for m, ids in zip(".,", self.direct([".", ","])) for k in (m, m.encode())}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -80,7 +95,7 @@ class SpacedWords(_Encoder):
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         cut = [t.split() for t in texts]
-        self.memory.learn(list({w for words in cut for w in words if w not in self.memory}))
+        self.memory.learn(set().union(*cut))
         get = self.memory.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), self.kind) for words in cut]
 
@@ -99,8 +114,9 @@ class ByteWords(_Encoder):
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [None if _UNEVEN.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        self.later.learn(list({w for c in cut if c for line in c for w in line[1:] if w not in self.later}))
-        self.first.learn(list({line[0] for c in cut if c for line in c if line[0] not in self.first}))
+        lines = [line for c in cut if c for line in c]
+        self.first.learn({line[0] for line in lines})
+        self.later.learn(set().union(*(line[1:] for line in lines)))
         first, later, out = self.first.__getitem__, self.later.__getitem__, []
         for text, lines in zip(texts, cut):
             if lines is None:
