@@ -27,39 +27,46 @@ def vocabulary_path(name: str) -> str:
 
 
 class _Memory(dict):
-    """Words to packed ids. ``prefix`` is put before a word when it is encoded."""
+    """Words to packed ids, learnt as they come."""
 
-    def __init__(self, encoder: "_Encoder", prefix: str):
+    def __init__(self, encoder: "_Encoder"):
         super().__init__()
-        self.encoder, self.prefix, self.older = encoder, prefix, {}
+        self.encoder, self.older = encoder, {}
 
     def learn(self, words: set) -> None:
-        """Encode those of the words that are in neither generation."""
+        """Encode words that are not known."""
         if len(self) > MEMORY_WORDS:
             self.older = dict(self)
             self.clear()
-        missing = {w for w in words if w not in self}
-        known = {w: self.older[w] for w in missing if w in self.older}
+        known = {w: self.older[w] for w in words if w in self.older}
         self.update(known)
-        missing.difference_update(known)
         # Letters and the mark after them are cut apart by both vocabularies, so that a word is
         # encoded once for all its marks.
-        marked = {}
-        for word in missing:
-            mark = self.encoder.marks.get(word[-1:])
-            if mark is not None and _is_plain(word[:-1]):
-                marked[word] = mark
-        bare = {w for w in missing if w not in marked}
-        bare.update(w[:-1] for w in marked if w[:-1] not in self)
+        bare, marked = set(), {}
+        for word in words:
+            if word not in known:
+                mark = self.encoder.marks.get(word[-1:])
+                if mark is not None and _is_plain(word[:-1]):
+                    marked[word] = mark
+                    word = word[:-1]
+                if word not in self:
+                    bare.add(word)
         if bare:
             listed = list(bare)
-            texts = [self.prefix + (w if isinstance(w, str) else w.decode("utf-8", "replace")) for w in listed]
-            self.update(zip(listed, self.encoder.direct(texts)))
-        self.update((w, self[w[:-1]] + mark) for w, mark in marked.items())
-
-    def __missing__(self, word):
-        self.learn({word})
-        return self[word]
+            self.update(zip(listed, self.encoder.direct([self.encoder.text_of(w) for w in listed])))
+        for word, mark in marked.items():
+            self[word] = self[word[:-1]] + mark
+
+    def packed(self, texts: list[list]) -> list[list[bytes]]:
+        """Packed ids of the words of each text."""
+        get = self.get
+        found = [list(map(get, words)) for words in texts]
+        gaps = [n for n, ids in enumerate(found) if None in ids]
+        if gaps:
+            self.learn({w for n in gaps for w, ids in zip(texts[n], found[n]) if ids is None})
+            for n in gaps:
+                found[n] = [self[w] if ids is None else ids for w, ids in zip(texts[n], found[n])]
+        return found
 
 
 def _is_plain(word) -> bool:
@@ -91,45 +98,39 @@ class SpacedWords(_Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.memory = _Memory(self, "")
+        self.memory = _Memory(self)
+
+    @staticmethod
+    def text_of(word: bytes) -> str:
+        return word.decode("utf-8", "replace")
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        cut = [t.split() for t in texts]
-        self.memory.learn(set().union(*cut))
-        get = self.memory.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), self.kind) for words in cut]
+        found = self.memory.packed([t.split() for t in texts])
+        return [np.frombuffer(b"".join(ids), self.kind) for ids in found]
 
 
 class ByteWords(_Encoder):
     """Byte-level vocabularies that keep white space and tie one space to the word after it.
 
     A text whose words are parted by one space or one line feed each is the sequence of its words,
-    all but a line's first with their space. Any other text goes to the library whole.
+    each with what stands before it. Any other text goes to the library whole.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.first, self.later = _Memory(self, ""), _Memory(self, " ")
-        self.line_end = self.direct(["\n"])[0]
+        self.memory = _Memory(self)
+
+    @staticmethod
+    def text_of(word: str) -> str:
+        """A word with the space before it; words after a line feed begin with that."""
+        return word if word[:1] == "\n" else " " + word
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if _UNEVEN.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        lines = [line for c in cut if c for line in c]
-        self.first.learn({line[0] for line in lines})
-        self.later.learn(set().union(*(line[1:] for line in lines)))
-        first, later, out = self.first.__getitem__, self.later.__getitem__, []
-        for text, lines in zip(texts, cut):
-            if lines is None:
-                packed = self.direct([text])[0]
-            else:
-                pieces: list[bytes] = []
-                for line in lines:
-                    pieces.append(first(line[0]))
-                    pieces.extend(map(later, line[1:]))
-                    pieces.append(self.line_end)
-                packed = b"".join(pieces[:-1])
-            out.append(np.frombuffer(packed, self.kind))
-        return out
+        uneven = [bool(_UNEVEN.search(t)) for t in texts]
+        cut = [[] if odd else t.replace("\n", " \n").split(" ") for t, odd in zip(texts, uneven)]
+        heads = iter(self.direct([t if odd else words[0] for t, odd, words in zip(texts, uneven, cut)]))
+        found = self.memory.packed([words[1:] for words in cut])
+        return [np.frombuffer(next(heads) + b"".join(ids), self.kind) for ids in found]
 
 
 def encoder(kind: type[_Encoder], path: str):
