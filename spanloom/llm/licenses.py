@@ -10,9 +10,9 @@ diagonal gives the matched words, their share of the template (coverage) and the
 The templates are a fixed list, so the index goes to the workers with the function. A text's hits are
 handled one after the other; nothing is shuffled.
 
-Nulls: a null or empty text has no matches; a null id is kept. Overlapping matches of several
-templates are all reported, of one template only the best of those that overlap. Repeated rows are
-reported once each. Empty tables give empty results.
+Nulls: a null or empty text has no matches; a null id is kept. Of matches that overlap, also of
+several templates, the best is reported (ties: the template listed first). Repeated rows are reported
+once each. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -202,22 +202,31 @@ def matches_in(words: np.ndarray, index: Index, least: float = LEAST_COVERAGE, b
             hits.setdefault(int(index.template[k]), []).append((at - int(index.position[k]), at))
     found = []
     for n, own in sorted(hits.items()):
-        template, best = index.words[n], []
-        tried: list[int] = []
-        for diagonal, _ in sorted(set(own)):
-            if tried and diagonal - tried[-1] <= band // 2:
-                continue  # within the band of the one before
-            tried.append(diagonal)
-            low, high = max(0, diagonal - band), min(len(words), diagonal + len(template) + band)
+        template, taken_to, failed = index.words[n], -1, None
+        for diagonal, at in own:  # in the order of the text
+            if at <= taken_to or (failed is not None and abs(diagonal - failed) <= band // 2):
+                continue
+            low, high = max(0, diagonal - band, taken_to + 1), min(len(words), diagonal + len(template) + band)
             matched, first, last = align(template, words[low:high], diagonal - low, band)
+            failed = diagonal
             if matched >= least * len(template):
-                best.append((matched, low + first, low + last))
-        taken: list[tuple[int, int, int]] = []
-        for match in sorted(best, key=lambda m: (-m[0], m[1])):
-            if all(match[2] < t[1] or match[1] > t[2] for t in taken):
-                taken.append(match)
-        found += [(n, *m) for m in sorted(taken, key=lambda m: m[1])]
-    return found
+                found.append((n, matched, low + first, low + last))
+                taken_to, failed = low + last, None
+    return resolved(found, index)
+
+
+def resolved(found: list[tuple[int, int, int, int]], index: Index) -> list[tuple[int, int, int, int]]:
+    """Of matches that overlap the best: most matched words less unmatched ones on either side."""
+
+    def rank(match: tuple[int, int, int, int]) -> tuple[int, int]:
+        n, matched, first, last = match
+        return 3 * matched - (last - first + 1) - len(index.words[n]), -n
+
+    kept: list[tuple[int, int, int, int]] = []
+    for match in sorted(found, key=rank, reverse=True):
+        if all(match[3] < k[2] or match[2] > k[3] for k in kept):
+            kept.append(match)
+    return sorted(kept, key=lambda m: m[2])
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST_COVERAGE, band: int = BAND) -> DataFrame:
