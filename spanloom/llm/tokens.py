@@ -11,8 +11,8 @@ import re
 
 import numpy as np
 
-MEMORY_WORDS = 400_000
-# Two generations of so many words are held at most, about 200 MB.
+MEMORY_WORDS = 900_000
+# Two generations of so many words are held at most, about 300 MB.
 
 _encoders: dict[str, "_Encoder"] = {}
 # White space that is not one single space or line feed between words.
@@ -52,8 +52,11 @@ class _Memory(dict):
                 if word not in self:
                     bare.add(word)
         if bare:
-            listed = list(bare)
-            self.update(zip(listed, self.encoder.direct([self.encoder.text_of(w) for w in listed])))
+            plain = [w for w in bare if _is_plain(w)]
+            bare.difference_update(plain)
+            other = list(bare)
+            self.update(zip(plain, self.encoder.direct([self.encoder.text_of(w) for w in plain], plain=True)))
+            self.update(zip(other, self.encoder.direct([self.encoder.text_of(w) for w in other])))
         for word, mark in marked.items():
             self[word] = self[word[:-1]] + mark
 
@@ -80,16 +83,23 @@ class _Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        # Words of Latin letters need no normalising but lower case and are not cut further.
+        self.letters = Tokenizer.from_file(path)
+        self.lowered = self.letters.normalizer is not None
+        self.letters.normalizer = self.letters.post_processor = None
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         small = self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.kind = np.uint16 if small else np.uint32
         self.marks = {k: ids for m, ids in zip(".,", self.direct([".", ","])) for k in (m, m.encode())}
 
-    def direct(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+    def direct(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        if plain and self.lowered:
+            texts = [t.lower() for t in texts]
+        found = (self.letters if plain else self.library).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
 
