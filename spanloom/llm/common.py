@@ -117,6 +117,19 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def hold_memory(owner: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Let an operator keep words in this worker; what others keep here is forgotten.
+
+    Workers serve one stage after the other; without this, each would add its memory to theirs.
+    """
+    for other in [o for o in _holders if o != owner]:
+        _holders.pop(other)()
+    _holders[owner] = forget
+
+
 def per_batch(run: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """Function for ``mapInArrow`` out of one on single batches."""
 

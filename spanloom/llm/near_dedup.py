@@ -23,14 +23,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import stash
-from .common import column_or_null
+from .common import column_or_null, hold_memory
 
 RADIUS = 2
 SHINGLE = 3
@@ -59,13 +58,14 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(bits.view("<i8")[0])
 
 
-def _fingerprints(text: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in text], dtype="int64")
+def _fingerprints(text: pa.Array) -> pa.Array:
+    hold_memory("near_dedup")
+    return pa.array((fingerprint(t.as_py()) for t in text), pa.int64())
 
 
 def fingerprint_of(text: Column | str) -> Column:
     # Bound here: a column function needs a session, and workers import this module without one.
-    return F.pandas_udf(_fingerprints, "long")(text)
+    return F.arrow_udf(_fingerprints, "long")(text)
 
 
 class Tree:

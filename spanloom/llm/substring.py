@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_or_null, parts_by_bytes, texts_of, window_hashes, word_hashes
+from .common import column_or_null, hold_memory, parts_by_bytes, texts_of, window_hashes, word_hashes
 
 SIZE = 13
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BATCH_BYTES = 1 << 20
 # Bytes of text per cell of a sketch row; a window takes about six bytes of text.
 BYTES_PER_CELL = 1
@@ -70,6 +70,7 @@ class _Windows:
     """Windows of a chunk: two fingerprints and the document of each, in order of the words."""
 
     def __init__(self, texts: list[bytes], size: int):
+        hold_memory("substring")
         self.size, self.per_text = size, np.zeros(0, np.int64)
         firsts, seconds, docs, counts = [], [], [], []
         for begin, end in parts_by_bytes(map(len, texts), BATCH_BYTES):

@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 
+from .common import hold_memory
+
 MEMORY_WORDS = 900_000
 # Two generations of so many words are held at most, about 300 MB.
 
@@ -145,6 +147,7 @@ class ByteWords(_Encoder):
 
 def encoder(kind: type[_Encoder], path: str):
     """The worker's encoder of a vocabulary file, loaded once."""
+    hold_memory(f"tokens {path}", lambda: _encoders.pop(path, None))
     if path not in _encoders:
         _encoders[path] = kind(path)
     return _encoders[path]

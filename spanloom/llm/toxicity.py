@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_or_null, mix, parts_by_bytes, per_batch, powers, texts_of
+from .common import column_or_null, hold_memory, mix, parts_by_bytes, per_batch, powers, sizes_of, texts_of
 
 FOLDS = 5
 CURVE_FOLD = 4
@@ -42,8 +42,9 @@ STRETCH = 12
 CURVE_ROWS = 20_000
 # Training labels are broadcast up to so many rows, 16 bytes each, and joined by shuffle beyond.
 BROADCAST_LABELS = 4_000_000
-MEMORY_WORDS = 600_000
-BATCH_BYTES = 4 << 20
+MEMORY_WORDS = 300_000
+COUNTED_WORDS = 150_000
+BATCH_BYTES = 1 << 20
 FEATURES = 4
 _TRIM = "".join(map(chr, range(33, 48))) + "".join(map(chr, range(58, 65))) + "[\\]^_`{|}~"
 
@@ -105,12 +106,12 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         counts = (Counter(), Counter())
 
         def flush() -> Iterator[pa.RecordBatch]:
-            names = sorted({plain(w) for c in counts for w in c})
             by_name = [Counter(), Counter()]
             for total, own in zip(by_name, counts):
-                for w, n in own.items():
+                while own:
+                    w, n = own.popitem()
                     total[plain(w)] += n
-                own.clear()
+            names = sorted(by_name[0].keys() | by_name[1].keys())
             for i in range(0, len(names), 50_000):
                 part = names[i : i + 50_000]
                 grams, word = letter_grams(part)
@@ -127,11 +128,13 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                 )
 
         for batch in batches:
-            toxic = batch.column("toxic").to_pylist()
-            for text, label in zip(texts_of(batch.column("text")), toxic):
-                counts[label].update(text.split())
-            if len(counts[0]) + len(counts[1]) > MEMORY_WORDS:
-                yield from flush()
+            hold_memory("toxicity counts")
+            toxic, column = batch.column("toxic").to_pylist(), batch.column("text")
+            for a, b in parts_by_bytes(sizes_of(column), BATCH_BYTES):
+                for text, label in zip(texts_of(column.slice(a, b - a)), toxic[a:b]):
+                    counts[label].update(text.split())
+                if len(counts[0]) + len(counts[1]) > COUNTED_WORDS:
+                    yield from flush()
         if counts[0] or counts[1]:
             yield from flush()
 
@@ -277,13 +280,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Models | None:
 
 
 def _features_of(sent, column: pa.Array) -> np.ndarray:
-    texts = texts_of(column)
     models = sent.value
-    if models.name not in _memories:
-        _memories.clear()  # of earlier models
-        _memories[models.name] = {}
-    memory = _memories[models.name]
-    parts = [features(models, texts[a:b], memory) for a, b in parts_by_bytes(map(len, texts), BATCH_BYTES)]
+    hold_memory(f"toxicity {models.name}", _memories.clear)
+    memory = _memories.setdefault(models.name, {})
+    parts = [features(models, texts_of(column.slice(a, b - a)), memory) for a, b in parts_by_bytes(sizes_of(column), BATCH_BYTES)]
     return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
 
 
@@ -293,15 +293,11 @@ def score(docs: DataFrame, models: Models | None) -> DataFrame:
         return docs.withColumn("toxicity", F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
-    @F.pandas_udf("double")
-    def toxicity(texts):
-        import pandas as pd
+    def toxicity(texts: pa.Array) -> pa.Array:
+        x, curve = _features_of(sent, texts), sent.value.curve
+        return pa.array(1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30))))
 
-        x = _features_of(sent, pa.array(texts, pa.string()))
-        curve = sent.value.curve
-        return pd.Series(1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30))))
-
-    return docs.withColumn("toxicity", toxicity(column_or_null(docs, "text", "string")))
+    return docs.withColumn("toxicity", F.arrow_udf(toxicity, "double")(column_or_null(docs, "text", "string")))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
