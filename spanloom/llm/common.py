@@ -125,8 +125,11 @@ def hold_memory(owner: str, forget: Callable[[], None] = lambda: None) -> None:
 
     Workers serve one stage after the other; without this, each would add its memory to theirs.
     """
-    for other in [o for o in _holders if o != owner]:
+    others = [o for o in _holders if o != owner]
+    for other in others:
         _holders.pop(other)()
+    if others:
+        pa.default_memory_pool().release_unused()
     _holders[owner] = forget
 
 

@@ -13,8 +13,9 @@ import numpy as np
 
 from .common import hold_memory
 
-MEMORY_WORDS = 900_000
-# Two generations of so many words are held at most, about 300 MB.
+# Two generations of so many words are held at most, about 160 bytes each.
+MEMORY_WORDS = 400_000
+BYTE_MEMORY_WORDS = 900_000
 
 _encoders: dict[str, "_Encoder"] = {}
 # White space that is not one single space or line feed between words.
@@ -31,13 +32,13 @@ def vocabulary_path(name: str) -> str:
 class _Memory(dict):
     """Words to packed ids, learnt as they come."""
 
-    def __init__(self, encoder: "_Encoder"):
+    def __init__(self, encoder: "_Encoder", most: int):
         super().__init__()
-        self.encoder, self.older = encoder, {}
+        self.encoder, self.most, self.older = encoder, most, {}
 
     def learn(self, words: set) -> None:
         """Encode words that are not known."""
-        if len(self) > MEMORY_WORDS:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
         known = {w: self.older[w] for w in words if w in self.older}
@@ -110,7 +111,7 @@ class SpacedWords(_Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.memory = _Memory(self)
+        self.memory = _Memory(self, MEMORY_WORDS)
 
     @staticmethod
     def text_of(word: bytes) -> str:
@@ -130,7 +131,7 @@ class ByteWords(_Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.memory = _Memory(self)
+        self.memory = _Memory(self, BYTE_MEMORY_WORDS)
 
     @staticmethod
     def text_of(word: str) -> str:

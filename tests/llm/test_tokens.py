@@ -36,6 +36,7 @@ def texts_for(seed, n):
 @pytest.mark.parametrize("memory", [5, 400_000])
 def test_ids_are_the_librarys(monkeypatch, memory):
     monkeypatch.setattr(tokens, "MEMORY_WORDS", memory)
+    monkeypatch.setattr(tokens, "BYTE_MEMORY_WORDS", memory)
     texts = texts_for(1, 3000)
     for _ in range(2):
         for kind, path, given in ((tokens.ByteWords, BYTE, texts), (tokens.SpacedWords, WORD, [t.encode() for t in texts])):
