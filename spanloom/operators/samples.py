@@ -31,8 +31,8 @@ def pair_annotations(timestamps: Column, sentences: Column) -> Column:
         pairs,
         lambda p, i: F.struct(
             i.cast("bigint").alias("pos"),
-            p["t"][0].alias("start"),
-            p["t"][1].alias("end"),
+            F.get(p["t"], 0).alias("start"),
+            F.get(p["t"], 1).alias("end"),
             p["s"].alias("sentence"),
         ),
     )
@@ -75,18 +75,19 @@ def clip_intervals(df: DataFrame) -> DataFrame:
     )
 
 
-def cap_annotations(df: DataFrame, k: int = MAX_ANNOTATIONS, pos: str = "ann_pos") -> DataFrame:
-    """First ``k`` annotations per video by (start, end), ties in source order.
+def cap_annotations(df: DataFrame, k: int | None = MAX_ANNOTATIONS, pos: str = "ann_pos") -> DataFrame:
+    """First ``k`` annotations per video by (start, end), ties in source order; all of them for None.
 
     The rank filter becomes a group limit ahead of the shuffle, so a task sends at most ``k`` rows
     per video, however many a video has.
     """
     order = W.partitionBy("video_id").orderBy("start", "end", pos)
-    return df.withColumn("line", F.row_number().over(order)).filter(F.col("line") <= k)
+    numbered = df.withColumn("line", F.row_number().over(order))
+    return numbered if k is None else numbered.filter(F.col("line") <= k)
 
 
-def group_by_video(df: DataFrame, k: int = MAX_ANNOTATIONS, pos: str = "ann_pos") -> DataFrame:
-    """At most ``k`` annotations per video as one ordered array."""
+def group_by_video(df: DataFrame, k: int | None = MAX_ANNOTATIONS, pos: str = "ann_pos") -> DataFrame:
+    """At most ``k`` annotations per video as one ordered array; all of them for None."""
     kept = cap_annotations(df, k, pos)
     line = F.struct("line", "start", "end", "sentence")
     return kept.groupBy("video_id").agg(F.array_sort(F.collect_list(line)).alias("lines")).select(

@@ -66,7 +66,7 @@ def validate(records: DataFrame) -> DataFrame:
     numbered = F.transform("spans", lambda s, i: F.struct(s.alias("s"), i.alias("i")))
 
     def is_bad(pair: Column) -> Column:
-        start, end = pair["s"][0].try_cast("double"), pair["s"][1].try_cast("double")
+        start, end = (F.get(pair["s"], i).try_cast("double") for i in (0, 1))
         either_nan = F.isnan(start) | F.isnan(end)
         return ((start >= end) & ~either_nan) | ((start < 0) & ~F.isnan(start))
 
@@ -77,7 +77,7 @@ def validate(records: DataFrame) -> DataFrame:
             2,
             p["i"],
             F.concat(
-                F.lit("invalid timestamp ["), _shown(p["s"][0]), F.lit(", "), _shown(p["s"][1]), F.lit("]")
+                F.lit("invalid timestamp ["), _shown(F.get(p["s"], 0)), F.lit(", "), _shown(F.get(p["s"], 1)), F.lit("]")
             ),
         ),
     )

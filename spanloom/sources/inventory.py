@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def read_video_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """``path, category, video_id, length`` of ``root/<category>/<video_id>.mp4``.
+    """``path, category, video_id, length`` of ``root/<category>/<video_id>.mp4``, at exactly that depth.
 
     Only listing data is selected, so file contents stay unread. A category folder without videos
     cannot show up in a file listing.
@@ -19,11 +19,16 @@ def read_video_inventory(spark: SparkSession, root: str) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .load(root)
     )
-    tail = r"([^/]+)/([^/]+)\.mp4$"
-    return files.select(
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = store.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
+    below = F.regexp_replace("path", r"^[^:/]+:(//[^/]*)?(?=/)", "")
+    tail = r"^([^/]+)/([^/]+)\.mp4$"
+    inside = F.when(F.startswith(below, F.lit(base)), F.substring(below, F.lit(len(base) + 1), F.length(below)))
+    return files.withColumn("inside", inside).filter(F.col("inside").rlike(tail)).select(
         "path",
-        F.regexp_extract("path", tail, 1).alias("category"),
-        F.regexp_extract("path", tail, 2).alias("video_id"),
+        F.regexp_extract("inside", tail, 1).alias("category"),
+        F.regexp_extract("inside", tail, 2).alias("video_id"),
         "length",
     )
 

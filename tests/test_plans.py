@@ -13,7 +13,9 @@ from spanloom.plans.evaluation import evaluate
 from spanloom.streaming.dedup import dedup_stream
 from spanloom.streaming.scoring import append_scores, publish_summary, read_predictions
 
-from .test_operators import kept_by_video, random_activities, slow_dedup
+from spanloom.operators.dedup import dedup_activities
+
+from .test_operators import activity_rows, kept_by_video, random_activities
 
 SAMPLE = "sample_id bigint, video_id string, start double, end double, gt string"
 
@@ -161,4 +163,4 @@ def test_streamed_dedup_equals_batch(spark, tmp_path):
     out = dedup_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
     finish(out.outputMode("append").option("checkpointLocation", str(tmp_path / "c")))
     got = kept_by_video(spark.read.parquet(str(tmp_path / "out")))
-    assert got == {v: slow_dedup(items) for v, items in acts.items()}
+    assert got == kept_by_video(dedup_activities(activity_rows(spark, acts), limit=None))

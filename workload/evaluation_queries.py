@@ -270,7 +270,7 @@ def window_texts(spark, sf):
         (F.col("end") - F.col("window_start")).alias("end"),
         "sentence",
     )
-    texts = group_by_video(local, k=12)
+    texts = group_by_video(local, k=None)
     part = F.split("video_id", "#")
     idx = part[1].cast("bigint")
     return texts.select(
@@ -290,7 +290,7 @@ def window_texts(spark, sf):
 SELECT video_id, window_idx * 1048576 + rn - 1 AS pos,
   round(CAST(printf('%.1f', start - window_idx * 60) AS DOUBLE) + window_idx * 60, 6) AS start,
   round(CAST(printf('%.1f', "end" - window_idx * 60) AS DOUBLE) + window_idx * 60, 6) AS "end", sentence AS description
-FROM k WHERE rn <= 12""",
+FROM k""",
 )
 def q_union_windows(spark, sf):
     rows = union_windows(window_activities(window_texts(spark, sf)))

@@ -61,10 +61,11 @@ _DENSE_SQL = (
             FROM kept WHERE rn <= 12 GROUP BY video_id)
 """
 )
+_ALL_SQL = _DENSE_SQL.replace(" WHERE rn <= 12", "")
 
 
-def _dense_texts(spark, sf):
-    return group_by_video(valid_annotations(spark, sf)).select(
+def _dense_texts(spark, sf, k=12):
+    return group_by_video(valid_annotations(spark, sf), k).select(
         "video_id", dense_response(F.col("annotations")).alias("response")
     )
 
@@ -76,7 +77,7 @@ def q_dense_response(spark, sf):
 
 @query(
     "parse_activities",
-    _DENSE_SQL
+    _ALL_SQL
     + r"""
 , m AS (SELECT video_id, regexp_extract_all(response, '\d+\.\s*\[(\d+\.?\d*),\s*(\d+\.?\d*)\]\s*(.+)', 1) AS s,
           regexp_extract_all(response, '\d+\.\s*\[(\d+\.?\d*),\s*(\d+\.?\d*)\]\s*(.+)', 2) AS e,
@@ -87,7 +88,7 @@ SELECT video_id, CAST(i - 1 AS BIGINT) AS line, CAST(s[i] AS DOUBLE) + 30 AS sta
 def q_parse_activities(spark, sf):
     acts = shift_activities(parse_activities(F.col("response")), F.lit(30.0))
     return (
-        _dense_texts(spark, sf)
+        _dense_texts(spark, sf, k=None)
         .select("video_id", F.posexplode(acts).alias("line", "a"))
         .select("video_id", F.col("line").cast("bigint").alias("line"), "a.*")
     )

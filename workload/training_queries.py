@@ -38,7 +38,7 @@ _TOKENS_SQL = ctes("chat") + rf"""
      lambda w: CAST('0x' || md5(w)[1:8] AS BIGINT) % {VOCABULARY} + {RESERVED}) AS ids FROM texts)
 """
 _TRAIN_SQL = _TOKENS_SQL + f"""
-, cut AS (SELECT conv_id, turn, ids[1:64] AS ids FROM ids)
+, cut AS (SELECT conv_id, turn, ids[1:2048] AS ids FROM ids)
 , mark AS (SELECT *, list_max(list_filter(range(1, len(ids) + 1), lambda i: ids[i] = {MARKER[0]})) AS last_mark FROM cut)
 , lab AS (SELECT *, list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN last_mark IS NULL OR i <= last_mark + 1 THEN -100 ELSE ids[i] END) AS labels FROM mark)
 """
@@ -61,7 +61,7 @@ def q_tokenize(spark, sf):
 len(list_filter(labels, lambda l: l <> -100)) = 0 AS is_masked_out FROM lab""",
 )
 def q_mask(spark, sf):
-    return training_rows(_chat_ids(spark, sf), MARKER, PAD_ID, 64).select(
+    return training_rows(_chat_ids(spark, sf), MARKER, PAD_ID, 2048).select(
         "conv_id",
         "turn",
         F.array_join("input_ids", ",").alias("ids"),

@@ -108,8 +108,8 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def complete_records(spark: SparkSession, sf: str) -> DataFrame:
-    """The records that loaders can read: both lists are there."""
-    return records(spark, sf).filter(F.col("sentences").isNotNull())
+    """All records; loaders find no pairs where a list is missing."""
+    return records(spark, sf)
 
 
 def raw_records(spark: SparkSession, sf: str) -> DataFrame:
