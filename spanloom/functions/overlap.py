@@ -13,7 +13,12 @@ class Kept:
     inherited: bool
     start: float
     end: float
-    description: str
+    description: str | None
+
+
+def text_length(text: str | None) -> int:
+    """Code points; a missing text is as long as an empty one."""
+    return len(text) if isinstance(text, str) else 0
 
 
 def span_iou(a_start: float, a_end: float, b_start: float, b_end: float) -> float:
@@ -33,7 +38,7 @@ class OverlapScan:
         """Take in the next activity; True if it is kept in a slot of its own."""
         for old in self.live:
             if span_iou(new.start, new.end, old.start, old.end) > self.threshold:
-                if len(new.description) > len(old.description):
+                if text_length(new.description) > text_length(old.description):
                     old.start, old.end, old.description = new.start, new.end, new.description
                 return False
         self.live.append(new)

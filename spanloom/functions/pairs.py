@@ -224,7 +224,12 @@ def _matrix(rows) -> np.ndarray:
     return np.asarray([np.asarray(r, dtype="float64") for r in rows])
 
 
+def match_rows(cand, ref) -> list[tuple[float, float, float]]:
+    """``greedy_match`` of each row's two lists of vectors."""
+    return [greedy_match(_matrix(c), _matrix(r)) for c, r in zip(cand, ref)]
+
+
 @F.pandas_udf(_MATCH)
 def greedy_match_udf(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    rows = [greedy_match(_matrix(c), _matrix(r)) for c, r in zip(cand, ref)]
+    rows = match_rows(cand, ref)
     return pd.DataFrame(rows, columns=["precision", "recall", "f1"])

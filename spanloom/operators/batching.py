@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import attention_mask, mask_labels, pad_ids, truncate_ids
+from ..shared import stash
+from .workers import once_per_worker
+
+# Rows that one task ranks, about; bins are cut finer above.
+BIN_ROWS = 200_000
 
 Tokenizer = Callable[[list[str]], list[list[int]]]
 
@@ -18,10 +23,11 @@ Tokenizer = Callable[[list[str]], list[list[int]]]
 def tokenize(
     df: DataFrame, tokenizer_factory: Callable[[], Tokenizer], text: str = "text", out: str = "input_ids"
 ) -> DataFrame:
-    """Add token ids. The factory runs once per Python worker task, the tokenizer once per batch."""
+    """Add token ids. The factory runs once per worker, the tokenizer once per batch."""
+    load = once_per_worker(tokenizer_factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer_factory()
+        encode = load()
         for batch in batches:
             yield batch.assign(**{out: encode(batch[text].fillna("").tolist())})
 
@@ -49,13 +55,17 @@ def hashed_tokenizer(vocabulary: int = 32_000, reserved: int = 16) -> Callable[[
     return factory
 
 
-def assign_batches(df: DataFrame, size: int, seed: int, key: Sequence[str], bin_digits: int = 3) -> DataFrame:
+def assign_batches(df: DataFrame, size: int, seed: int, key: Sequence[str], bin_digits: int | None = None) -> DataFrame:
     """Number rows in seeded hash order (``row_no``) and cut them into batches of ``size``.
 
-    Rows are ranked inside bins of their digest's leading digits; bin offsets come from counts that
-    are combined map-side. The only unpartitioned window is over at most 16^bin_digits bin counts,
-    which also bounds the broadcast. Every batch but the last is full.
+    Rows are ranked inside bins of their digest's leading digits, whose number follows from the row
+    count (one more pass) unless given; bin offsets come from counts that are combined map-side. The
+    only unpartitioned window is over the bin counts. Every batch but the last is full.
     """
+    if bin_digits is None:
+        bin_digits, rows = 1, df.count()
+        while rows > BIN_ROWS * 16**bin_digits:
+            bin_digits += 1
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
     hashed = df.withColumn("batch_hash", digest).withColumn("bin", F.substring("batch_hash", 1, bin_digits))
     counts = hashed.groupBy("bin").agg(F.count(F.lit(1)).alias("n_bin"))
@@ -63,7 +73,7 @@ def assign_batches(df: DataFrame, size: int, seed: int, key: Sequence[str], bin_
     rank = F.row_number().over(W.partitionBy("bin").orderBy("batch_hash", *key))
     return (
         hashed.withColumn("rank", rank - 1)
-        .join(F.broadcast(offsets), "bin")
+        .join(offsets, "bin")
         .withColumn("row_no", F.col("offset") + F.col("rank"))
         .withColumn("batch", F.floor(F.col("row_no") / F.lit(size)).cast("bigint"))
         .drop("batch_hash", "bin", "offset", "rank")
@@ -74,7 +84,9 @@ def pad_batch(df: DataFrame, batch: str, pad_id: int, side: str = "right", ids:
     """Pad ids to the longest row of their batch and add ``attention_mask``.
 
     The widths are an aggregate joined back, so that a large batch is never gathered in one task.
+    The input, often a tokenizer's output, runs once and is written.
     """
+    df = stash(df, "unpadded")
     widths = df.groupBy(batch).agg(F.max(F.size(ids)).alias("batch_width"))
     return (
         df.join(widths, batch)

@@ -25,6 +25,10 @@ CHUNK_ROWS = 200_000
 _KEPT_TYPE = "array<struct<start: double, end: double, description: string>>"
 
 
+def _length(text: Column) -> Column:
+    return F.coalesce(F.length(text), F.lit(0))
+
+
 def _fold(ordered: Column, threshold: float) -> Column:
     """The scan as an array fold over one video's activities."""
 
@@ -35,7 +39,7 @@ def _fold(ordered: Column, threshold: float) -> Column:
         )
 
         def place(at: Column) -> Column:
-            longer = F.length(new["description"]) > F.length(F.get(kept, at - 1)["description"])
+            longer = _length(new["description"]) > _length(F.get(kept, at - 1)["description"])
             swapped = F.transform(kept, lambda k, i: F.when(i == at - 1, item).otherwise(k))
             return F.when(at == 0, F.concat(kept, F.array(item))).when(longer, swapped).otherwise(kept)
 
@@ -53,19 +57,20 @@ def dedup_activities(
 ) -> DataFrame:
     """Kept activities per ``group`` with their place ``kept_no`` in kept order.
 
-    Input: ``group, pos, start, end, description``; ``pos`` orders equal starts. Videos up to
-    ``limit`` rows are folded inside one row each. Larger ones are cut into chunks that are scanned
+    Input: ``group, pos, start, end, description``; ``pos``, a number or a struct, orders equal starts. Videos up to
+    ``limit`` rows are folded inside one row each. A row without both bounds takes no part; a null
+    text counts as an empty one. Larger ones are cut into chunks that are scanned
     in parallel (``_dedup_hot``). ``limit=None`` skips the size check.
     """
     if threshold < 0:
         raise ValueError("the threshold must not be negative")
     rows = activities.select(
         F.col(group).alias("key"),
-        F.col("pos").cast("bigint").alias("pos"),
+        F.col("pos"),
         F.col("start").cast("double").alias("start"),
         F.col("end").cast("double").alias("end"),
         F.col("description"),
-    )
+    ).filter("start is not null and end is not null")
     cool, hot, n_hot = split_hot(rows, "key", limit)
     item = F.struct("start", "pos", "end", "description")
     folded = cool.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -89,6 +94,7 @@ def _scan_leg(threshold: float):
     """
 
     def run(leg: pd.DataFrame, opening: pd.DataFrame) -> pd.DataFrame:
+        leg = leg.assign(pos=leg["pos"].map(lambda p: tuple(p.values()) if isinstance(p, dict) else p))
         leg = leg.sort_values(["start", "pos"], kind="stable")
         opening = opening.sort_values("out_no")[["out_no", "start", "end", "description"]]
         scan = OverlapScan(threshold, [Kept(no, True, *span) for no, *span in opening.itertuples(index=False)])

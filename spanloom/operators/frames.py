@@ -41,53 +41,65 @@ def slot_of(t: Column, t_start: Column, t_end: Column, n: int) -> Column:
     return F.greatest(F.lit(0), F.least(_position(t, t_start, t_end, n).cast("bigint"), F.lit(n - 1)))
 
 
-def slot_border(slot: Column, t_start: Column, t_end: Column, n: int) -> Column:
-    """Smallest double whose slot position reaches ``slot``.
+def _with_border(df: DataFrame, n: int) -> DataFrame:
+    """Add ``border``: the smallest double whose slot position reaches ``slot``.
 
     Rounding moves the computed border by less than 2^-50 of its value. Halving a gap of twice that
     on either side (at most 32 neighbouring doubles) ends at the exact border, so that a lookup by
-    time agrees with the slot formula.
+    time agrees with the slot formula. The steps are plain columns, which compile.
     """
-    border = t_start + slot.cast("double") * (t_end - t_start + F.lit(SPAN_EPSILON)) / F.lit(float(n))
-    slack = border * F.lit(2.0**-49)
-
-    def halve(gap: Column, _: Column) -> Column:
-        middle = gap["low"] + (gap["high"] - gap["low"]) / F.lit(2.0)
+    t_start, t_end, slot = F.col("t_start"), F.col("t_end"), F.col("slot").cast("double")
+    about = t_start + slot * (t_end - t_start + F.lit(SPAN_EPSILON)) / F.lit(float(n))
+    rest = df.columns
+    gap = df.withColumn("about", about).select(
+        *rest,
+        (F.col("about") - F.col("about") * F.lit(2.0**-49)).alias("low"),
+        (F.col("about") + F.col("about") * F.lit(2.0**-49)).alias("border"),
+    )
+    for _ in range(6):
+        gap = gap.withColumn("middle", F.col("low") + (F.col("border") - F.col("low")) / F.lit(2.0))
+        gap = gap.withColumn("reached", _position(F.col("middle"), t_start, t_end, n) >= slot)
+        gap = gap.select(
+            *rest,
+            F.when(F.col("reached"), F.col("low")).otherwise(F.col("middle")).alias("low"),
+            F.when(F.col("reached"), F.col("middle")).otherwise(F.col("border")).alias("border"),
+        )
+    return gap.drop("low")
 
-        def pick(mid: Column) -> Column:
-            reached = _position(mid, t_start, t_end, n) >= slot.cast("double")
-            return F.struct(
-                F.when(reached, gap["low"]).otherwise(mid).alias("low"),
-                F.when(reached, mid).otherwise(gap["high"]).alias("high"),
-            )
 
-        return let(middle, pick)
+def _probes(clips: DataFrame, n: int) -> DataFrame:
+    """Per clip: one look back for the keyframe to start from, one look ahead per slot."""
+    slots = clips.select(
+        "video_id", "clip_id", "t_start", "t_end", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("slot")
+    )
+    is_seek = F.col("slot") == -1
+    micros = F.floor(F.col("t_start") * F.lit(1e6)) / F.lit(1e6)
+    # Slot 0 looks from the very beginning: without a keyframe the first frame starts.
+    t = F.when(is_seek, micros).when(F.col("slot") == 0, F.lit(float("-inf"))).otherwise(F.col("border"))
+    side = F.when(is_seek, F.lit(_SEEK_PROBE)).otherwise(F.lit(_SLOT_PROBE))
+    return _with_border(slots, n).select(
+        "video_id", t.alias("t"), side.alias("side"), "slot", "clip_id", "t_start", "t_end"
+    )
 
-    gap = F.struct((border - slack).alias("low"), (border + slack).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), gap, halve)["high"]
 
+def _needed(clips: DataFrame, frames: DataFrame) -> DataFrame:
+    """Frames of the clips' videos up to the last time that a clip of the video can show.
 
-def _probes(clips: DataFrame, n: int) -> DataFrame:
-    """Per clip: one look back for the keyframe to start from, one look ahead per slot."""
-    t_start, t_end = F.col("t_start"), F.col("t_end")
-    borders = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.struct(
-            i.alias("slot"),
-            # Slot 0 looks from the very beginning: without a keyframe the first frame starts.
-            F.when(i == 0, F.lit(float("-inf"))).otherwise(slot_border(i, t_start, t_end, n)).alias("t"),
-            F.lit(_SLOT_PROBE).alias("side"),
-        ),
+    One row per video meets the index ahead of its shuffle, so a few clips of a large index move
+    few frames. The planner broadcasts that side only where its size allows.
+    """
+    reach = clips.groupBy("video_id").agg((F.max("t_end") + F.lit(TAIL_SECONDS)).alias("reach"))
+    return (
+        frames.select("video_id", "pts", "is_keyframe", "frame_ref")
+        .join(reach, "video_id")
+        .filter(F.col("pts") <= F.col("reach"))
+        .drop("reach")
     )
-    micros = F.floor(t_start * F.lit(1e6)) / F.lit(1e6)
-    seek = F.array(F.struct(F.lit(-1).alias("slot"), micros.alias("t"), F.lit(_SEEK_PROBE).alias("side")))
-    return clips.select(
-        "video_id", "clip_id", "t_start", "t_end", F.explode(F.concat(seek, borders)).alias("p")
-    ).select("video_id", "p.t", "p.side", "p.slot", "clip_id", "t_start", "t_end")
 
 
 def _as_of(clips: DataFrame, frames: DataFrame, n: int, limit: int | None, chunk_rows: int) -> DataFrame:
     """Each probe with the frame it finds: the last keyframe at or before, or the next frame."""
+    frames = _needed(clips, frames)
     index = frames.select(
         "video_id",
         F.col("pts").alias("t"),
@@ -158,14 +170,14 @@ def source_slots(filled: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), source)
 
 
-def clip_frames(
+def shown_frames(
     clips: DataFrame,
     frames: DataFrame,
     n_frames: int,
     limit: int | None = ROW_LIMIT,
     chunk_rows: int = ROW_LIMIT,
 ) -> DataFrame:
-    """``n_frames`` rows per clip: the frame to show in each slot.
+    """``clip_id, shown``: the frame to show in each of ``n_frames`` slots as one array.
 
     Clips carry ``clip_id, video_id, start, end`` and optionally ``duration``. Decoding starts at
     the last keyframe at or before the start (or at the first frame) and ends 1 s after the end.
@@ -198,8 +210,19 @@ def clip_frames(
         filled = F.filter(every, lambda i: F.get(slots, i)["pts"].isNotNull())
         return let(filled, lambda f: F.transform(source_slots(f, n), lambda k: F.get(slots, k)))
 
+    return per_clip.select("clip_id", let(let(F.col("looks"), decoded), shown).alias("shown"))
+
+
+def clip_frames(
+    clips: DataFrame,
+    frames: DataFrame,
+    n_frames: int,
+    limit: int | None = ROW_LIMIT,
+    chunk_rows: int = ROW_LIMIT,
+) -> DataFrame:
+    """``shown_frames`` as ``n_frames`` rows per clip."""
     return (
-        per_clip.select("clip_id", let(let(F.col("looks"), decoded), shown).alias("shown"))
+        shown_frames(clips, frames, n_frames, limit, chunk_rows)
         .select("clip_id", F.posexplode("shown").alias("slot", "shown"))
         .select(
             "clip_id",
@@ -213,9 +236,8 @@ def clip_frames(
 
 def frame_refs(clips: DataFrame, frames: DataFrame, n_frames: int) -> DataFrame:
     """``clip_id`` with the references of its ``n_frames`` slots in one array."""
-    shown = clip_frames(clips, frames, n_frames)
-    slots = F.array_sort(F.collect_list(F.struct("slot", "frame_ref")))
-    return shown.groupBy("clip_id").agg(F.transform(slots, lambda s: s["frame_ref"]).alias("frame_refs"))
+    refs = F.transform("shown", lambda s: s["frame_ref"])
+    return shown_frames(clips, frames, n_frames).select("clip_id", refs.alias("frame_refs"))
 
 
 def video_durations(videos: DataFrame, frames: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workers import once_per_worker
+
 # A captioner gets a batch of rows and returns one text per row.
 Captioner = Callable[[pd.DataFrame, int], list[str]]
 CaptionerFactory = Callable[[], Captioner]
@@ -20,10 +22,11 @@ DENSE_NEW_TOKENS = 512
 def generate(
     df: DataFrame, captioner_factory: CaptionerFactory, max_new_tokens: int = CLIP_NEW_TOKENS, out: str = "pred"
 ) -> DataFrame:
-    """Add one generated text per row, stripped. The model is loaded once per task, not per row."""
+    """Add one generated text per row, stripped. The model is loaded once per worker."""
+    load = once_per_worker(captioner_factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        caption = captioner_factory()
+        caption = load()
         for batch in batches:
             yield batch.assign(**{out: [t.strip() for t in caption(batch, max_new_tokens)]})
 

@@ -16,7 +16,7 @@ from ..functions.intervals import (
     effective_end,
     valid_interval,
 )
-from ..functions.text import strip_text, video_path_of
+from ..functions.text import category_of, strip_text, video_path_of
 
 MAX_ANNOTATIONS = 12
 SMALL_SAMPLE = 100_000
@@ -145,9 +145,14 @@ def with_video_path(df: DataFrame, root: str) -> DataFrame:
     return df.withColumn("video_path", video_path_of(root, F.col("video_id")))
 
 
-def existing_only(annotations: DataFrame, inventory: DataFrame, on: str = "video_id") -> DataFrame:
-    """Annotations whose video is in the inventory."""
-    return annotations.join(inventory.select(on), on, "left_semi")
+def existing_only(annotations: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Annotations whose video lies at its own path: in the folder of its category.
+
+    Inventories list ``category/video`` at exactly two levels, so both together are the path.
+    """
+    files = inventory.select(F.col("video_id").alias("file_id"), F.col("category").alias("folder"))
+    at_path = (F.col("video_id") == F.col("file_id")) & (category_of(F.col("video_id")) == F.col("folder"))
+    return annotations.join(files, at_path, "left_semi")
 
 
 def sample_totals(video_rows: DataFrame, array: str = "annotations") -> DataFrame:

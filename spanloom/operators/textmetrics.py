@@ -15,12 +15,18 @@ from ..functions.pairs import (
     bleu_score,
     greedy_match_udf,
     lcs_counts,
+    match_rows,
     rouge_f,
     rouge_words,
     stem_tokens,
     tokens_13a,
 )
 
+from .workers import once_per_worker
+
+# Texts whose vectors are held at a time.
+EMBED_ROWS = 64
+
 Embedder = Callable[[list[str]], list[np.ndarray]]
 
 
@@ -47,10 +53,11 @@ def stemmed_tokens(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
 def embed_tokens(
     df: DataFrame, embedder_factory: Callable[[], Embedder], columns: list[str], suffix: str = "_emb"
 ) -> DataFrame:
-    """Add token embeddings (``array<array<float>>``) of text columns, one model per worker task."""
+    """Add token embeddings (``array<array<float>>``) of text columns, one model per worker."""
+    load = once_per_worker(embedder_factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        embed = embedder_factory()
+        embed = load()
         for batch in batches:
             added = {}
             for name in columns:
@@ -63,6 +70,27 @@ def embed_tokens(
     return df.mapInPandas(run, T.StructType([*df.schema.fields, *added]))
 
 
+def embed_and_match(
+    df: DataFrame, embedder_factory: Callable[[], Embedder], cand: str, ref: str, prefix: str = "bertscore"
+) -> DataFrame:
+    """Precision, recall and F1 of greedy matching between two texts of a row.
+
+    Embedding and matching happen in one step, so vectors never leave the worker.
+    """
+    load = once_per_worker(embedder_factory)
+    names = [f"{prefix}_{part}" for part in ("precision", "recall", "f1")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed = load()
+        for batch in batches:
+            for at in range(0, len(batch), EMBED_ROWS):
+                part = batch.iloc[at : at + EMBED_ROWS]
+                rows = match_rows(*(embed(part[c].fillna("").tolist()) for c in (cand, ref)))
+                yield part.assign(**dict(zip(names, map(list, zip(*rows)))))
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
+
+
 def hashed_embedder(width: int = 16) -> Callable[[], Embedder]:
     """Stand-in embedder for tests: each word's vector is drawn from its digest."""
 

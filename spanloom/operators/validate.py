@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import to_double
+
 REQUIRED_FIELDS = ("duration", "timestamps", "sentences")
 ISSUES_SHOWN = 5
 
@@ -33,7 +35,7 @@ def _fields(records: DataFrame) -> DataFrame:
                 lambda f: F.coalesce(F.map_contains_key(F.col("fields"), f), F.lit(False)),
             ),
         )
-        .withColumn("spans", F.from_json(F.col("fields")["timestamps"], "array<array<string>>"))
+        .withColumn("spans", F.from_json(F.col("fields")["timestamps"], "array<string>"))
         .withColumn("texts", F.from_json(F.col("fields")["sentences"], "array<string>"))
     )
 
@@ -45,8 +47,17 @@ def _shown(number: Column) -> Column:
 
 
 def validate(records: DataFrame) -> DataFrame:
-    """One row per issue: ``split, pos, video_id, kind, kind_no, item, message``."""
-    parsed = _fields(records)
+    """One row per issue: ``split, pos, video_id, kind, kind_no, item, message``.
+
+    A field that is null or no list is ``malformed``, and so is a span that is not a list of two
+    numbers (or numeric strings). JSON text held in a string counts as what it holds. Lengths are
+    compared where both fields are lists.
+    """
+    # A span may be anything, so each is parsed from its own text.
+    item = F.transform(
+        "spans", lambda s, i: F.struct(s.alias("text"), F.from_json(s, "array<string>").alias("pair"), i.alias("i"))
+    )
+    parsed = _fields(records).withColumn("items", item)
 
     def issue(kind: str, no: int, item: Column, message: Column) -> Column:
         return F.struct(
@@ -56,32 +67,41 @@ def validate(records: DataFrame) -> DataFrame:
             F.concat(F.col("video_id"), F.lit(": "), message).alias("message"),
         )
 
+    def when(condition: Column, found: Column) -> Column:
+        return F.when(condition, F.array(found)).otherwise(F.array())
+
     missing = F.when(
         ~F.col("complete"), F.array(issue("missing", 0, F.lit(0), F.lit("missing required fields")))
     )
-    mismatch = F.when(
+    no_spans = when(F.col("spans").isNull(), issue("malformed", 1, F.lit(0), F.lit("malformed timestamps")))
+    no_texts = when(F.col("texts").isNull(), issue("malformed", 1, F.lit(1), F.lit("malformed sentences")))
+    mismatch = when(
         F.size("spans") != F.size("texts"),
-        F.array(issue("length", 1, F.lit(0), F.lit("timestamps/sentences length mismatch"))),
-    ).otherwise(F.array())
-    numbered = F.transform("spans", lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+        issue("length", 1, F.lit(0), F.lit("timestamps/sentences length mismatch")),
+    )
 
-    def is_bad(pair: Column) -> Column:
-        start, end = (F.get(pair["s"], i).try_cast("double") for i in (0, 1))
+    def bounds(span: Column) -> list[Column]:
+        return [to_double(F.get(span["pair"], F.lit(i))) for i in (0, 1)]
+
+    def is_pair(span: Column) -> Column:
+        start, end = bounds(span)
+        return F.coalesce(F.size(span["pair"]) == 2, F.lit(False)) & start.isNotNull() & end.isNotNull()
+
+    def is_bad(span: Column) -> Column:
+        start, end = bounds(span)
         either_nan = F.isnan(start) | F.isnan(end)
         return ((start >= end) & ~either_nan) | ((start < 0) & ~F.isnan(start))
 
-    invalid = F.transform(
-        F.filter(numbered, is_bad),
-        lambda p: issue(
-            "span",
-            2,
-            p["i"],
-            F.concat(
-                F.lit("invalid timestamp ["), _shown(F.get(p["s"], 0)), F.lit(", "), _shown(F.get(p["s"], 1)), F.lit("]")
-            ),
-        ),
-    )
-    found = F.coalesce(missing, F.concat(mismatch, invalid))
+    def told(span: Column) -> Column:
+        first, second = (_shown(F.get(span["pair"], F.lit(i))) for i in (0, 1))
+        invalid = F.concat(F.lit("invalid timestamp ["), first, F.lit(", "), second, F.lit("]"))
+        malformed = F.concat(F.lit("malformed timestamp "), F.coalesce(span["text"], F.lit("null")))
+        return F.when(is_pair(span), issue("span", 2, span["i"], invalid)).otherwise(
+            issue("malformed", 2, span["i"], malformed)
+        )
+
+    invalid = F.coalesce(F.transform(F.filter("items", lambda p: ~is_pair(p) | is_bad(p)), told), F.array())
+    found = F.coalesce(missing, F.concat(no_spans, no_texts, mismatch, invalid))
     return parsed.select("split", "pos", "video_id", F.explode(found).alias("issue")).select(
         "split", "pos", "video_id", "issue.*"
     )

@@ -17,9 +17,6 @@ from ..operators.windows import WINDOW_SIZE, WINDOW_STRIDE, video_windows
 from ..shared import stash
 
 DENSE_FRAMES = 16
-# Place of an activity among all of its video: window first, then line. A window's text holds far
-# fewer lines than this.
-LINES_PER_WINDOW = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -64,7 +61,7 @@ def union_windows(records: DataFrame) -> DataFrame:
         "video_id", "window_idx", F.posexplode("activities").alias("line", "a")
     ).select(
         "video_id",
-        (F.col("window_idx") * F.lit(LINES_PER_WINDOW) + F.col("line")).alias("pos"),
+        F.struct(F.col("window_idx").cast("bigint").alias("window_idx"), F.col("line").cast("bigint").alias("line")).alias("pos"),
         "a.start",
         "a.end",
         "a.description",
@@ -117,7 +114,7 @@ def detect_sliding(
     single = union_windows(records.filter(F.col("mode") == "single_pass"))
     kept = dedup_activities(union_windows(sliding), "video_id", threshold)
     activities = kept.unionByName(
-        single.select("video_id", F.col("pos").alias("kept_no"), "start", "end", "description")
+        single.select("video_id", F.col("pos.line").alias("kept_no"), "start", "end", "description")
     )
     shown = sliding.select("video_id", "window_idx", "window_start", "window_end", "raw_output", "activities")
     return Detection(activities, shown)

@@ -11,7 +11,7 @@ from ..functions.chat import clip_prompt, messages, render_chat, video_metadata
 from ..operators.evaluate import score_spans, summarize
 from ..operators.frames import frame_refs
 from ..operators.generate import CLIP_NEW_TOKENS, CaptionerFactory, generate
-from ..operators.textmetrics import Embedder, bleu4, embed_tokens, greedy_match_score, rouge_l
+from ..operators.textmetrics import Embedder, bleu4, embed_and_match, rouge_l
 from ..shared import stash
 
 CLIP_FRAMES = 4
@@ -44,10 +44,7 @@ def score_predictions(predicted: DataFrame, embedder=None) -> DataFrame:
     rows = rouge_l(rows, "pred_text", "gt")
     rows = bleu4(rows, "pred_text", "gt")
     if embedder is not None:
-        rows = embed_tokens(rows, embedder, ["pred_text", "gt"])
-        rows = greedy_match_score(rows, "pred_text_emb", "gt_emb").drop(
-            "pred_text_emb", "gt_emb", "bertscore_precision", "bertscore_recall"
-        )
+        rows = embed_and_match(rows, embedder, "pred_text", "gt").drop("bertscore_precision", "bertscore_recall")
     return rows
 
 

@@ -19,7 +19,6 @@ from ..functions.chat import (
 )
 from ..functions.labels import truncate_ids
 from ..operators.batching import assign_batches, pad_batch, tokenize, training_rows
-from ..shared import stash
 
 CLIP_FRAMES, DENSE_FRAMES = 8, 16
 CLIP_MAX_LENGTH, DENSE_MAX_LENGTH = 2048, 4096
@@ -54,10 +53,9 @@ def token_table(
 ) -> DataFrame:
     """Chat texts as padded, masked training rows with their batch number.
 
-    Rows are numbered before they are tokenized, and ids are written once: the batch widths and the
-    rows themselves must not each run the tokenizer.
+    Rows are numbered before they are tokenized; padding writes the ids, so the tokenizer runs once.
     """
     batched = assign_batches(texts, batch_size, seed, key)
     ids = tokenize(batched, tokenizer_factory).withColumn("input_ids", truncate_ids(F.col("input_ids"), max_length))
-    padded = pad_batch(stash(ids, "tokens"), "batch", pad_id, side)
+    padded = pad_batch(ids, "batch", pad_id, side)
     return training_rows(padded, marker, pad_id, max_length)

@@ -19,7 +19,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.overlap import Kept, OverlapScan
 from ..operators.dedup import THRESHOLD
 from ..operators.windows import WINDOW_STRIDE
-from ..plans.detection import LINES_PER_WINDOW
 
 OUTPUT = "video_id string, kept_no bigint, start double, end double, description string"
 CLOSED = "closed"
@@ -34,10 +33,10 @@ def _fresh() -> dict:
 def _scan(book: dict, threshold: float, horizon: float) -> list[Kept]:
     """Scan waiting activities that start before the horizon and return what is settled by then."""
     scan = OverlapScan(threshold, [Kept(*k) for k in book["live"]])
-    ready = sorted(a for a in book["waiting"] if a[0] < horizon)
+    ready = sorted((a for a in book["waiting"] if a[0] < horizon), key=lambda a: a[:3])
     book["waiting"] = [a for a in book["waiting"] if a[0] >= horizon]
     done: list[Kept] = []
-    for start, _, end, description in ready:
+    for start, _, _, end, description in ready:
         done += scan.settle(start)
         book["kept"] += scan.push(Kept(book["kept"], False, start, end, description))
     done += scan.settle(horizon)
@@ -51,7 +50,7 @@ def _take(book: dict, rows: pd.DataFrame) -> None:
         if window < book["next"] or str(window) in book["early"]:
             continue  # a window that was delivered twice
         book["early"][str(window)] = [
-            [a["start"], window * LINES_PER_WINDOW + i, a["end"], a["description"]]
+            [a["start"], window, i, a["end"], a["description"]]
             for i, a in enumerate(row.activities)
         ]
         if row.is_last:
@@ -70,6 +69,8 @@ def _updater(threshold: float, stride: float, timeout_ms: int | None):
             # A window delivered again after the end must not open the video anew.
             if state.hasTimedOut:
                 state.remove()
+            elif timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
             return
         book = json.loads(state.get[0]) if state.exists else _fresh()
         if state.hasTimedOut:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.operators import frames as frames_module
 from spanloom.operators import samples as samples_module
 from spanloom.operators.dedup import dedup_activities
 from spanloom.operators.frames import clip_frames, clamp_clips, source_slots, video_durations
@@ -78,7 +79,7 @@ def test_cap_and_group(spark):
 
 def test_existing_and_splits(spark):
     df = flat(spark, [("v", 0, 1.0, 2.0, "a"), ("w", 0, 1.0, 2.0, "b")])
-    inventory = spark.createDataFrame([("w",)], "video_id string")
+    inventory = spark.createDataFrame([("w", "w"), ("v", "Elsewhere")], "video_id string, category string")
     kept = existing_only(df, inventory)
     assert [r["video_id"] for r in kept.collect()] == ["w"]
     both = union_splits({"Train": df, "Test": kept})
@@ -293,3 +294,29 @@ def test_clamp_and_durations(spark):
     videos = spark.createDataFrame([("v",), ("w",)], "video_id string")
     got = video_durations(videos, frame_table(spark, {"v": [(1.0, True, "x"), (7.5, False, "y")]}))
     assert {r["video_id"]: r["duration"] for r in got.collect()} == {"v": 7.5, "w": 0.0}
+
+
+@pytest.mark.parametrize("limit, chunk_rows", [(None, 10), (2, 3)])
+def test_dedup_of_rows_with_nulls(spark, limit, chunk_rows):
+    rows = [
+        ("v", 0, 0.0, 10.0, None), ("v", 1, 1.0, 10.0, "long"), ("v", 2, 1.0, 10.5, None), ("v", 3, None, 5.0, "x"),
+        ("v", 4, 4.0, None, "y"), ("v", 5, 50.0, 60.0, ""), ("v", 6, 50.0, 61.0, None), ("w", 0, 0.0, 1.0, None),
+    ]
+    df = spark.createDataFrame(rows, "video_id string, pos bigint, start double, end double, description string")
+    got = dedup_activities(df, limit=limit, chunk_rows=chunk_rows)
+    assert sorted(map(tuple, got.select("video_id", "kept_no", "start", "end").collect())) == [
+        ("v", 0, 1.0, 10.0), ("v", 1, 50.0, 60.0), ("w", 0, 0.0, 1.0)
+    ]
+    # Equal starts follow a struct position field by field.
+    nested = df.withColumn("pos", F.struct(F.lit(0).alias("a"), F.col("pos").alias("b")))
+    again = dedup_activities(nested, limit=limit, chunk_rows=chunk_rows)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+
+
+def test_frames_of_other_videos_stay_out(spark):
+    videos = {f"v{i}": [(t / 2, True, f"{i}@{t}") for t in range(200)] for i in range(20)}
+    frames = frame_table(spark, videos)
+    clips = spark.createDataFrame([(1, "v3", 10.0, 12.0, None)], CLIP)
+    needed = frames_module._needed(clamp_clips(clips), frames)
+    assert {r["video_id"] for r in needed.select("video_id").distinct().collect()} == {"v3"}
+    assert needed.agg(F.max("pts")).first()[0] == 13.0

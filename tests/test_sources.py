@@ -119,3 +119,28 @@ def test_stash_uses_the_shared_folder(spark):
     df = stash(spark.range(3), "check")
     root = spark.conf.get("spark.checkpoint.dir")
     assert all(root in f for f in df.inputFiles()) and df.count() == 3
+
+
+def test_malformed_fields_are_reported(spark):
+    raw = [
+        '{"duration": 1, "timestamps": null, "sentences": ["a"]}',
+        '{"duration": 1, "timestamps": "x", "sentences": 3}',
+        '{"duration": 1, "timestamps": [[1], [1, 2, 3], ["abc", 2], 4, null, ["1", 2], [2, 1]], "sentences": ["a"]}',
+        "no json",
+        '{"duration": 1, "timestamps": [], "sentences": []}',
+    ]
+    df = spark.createDataFrame([("s", i, f"v{i}", r) for i, r in enumerate(raw)], "split string, pos bigint, video_id string, raw string")
+    rows = validate(df).orderBy("pos", "kind_no", "item").collect()
+    assert [r["message"] for r in rows] == [
+        "v0: malformed timestamps",
+        "v1: malformed timestamps",
+        "v1: malformed sentences",
+        "v2: timestamps/sentences length mismatch",
+        "v2: malformed timestamp [1]",
+        "v2: malformed timestamp [1,2,3]",
+        'v2: malformed timestamp ["abc",2]',
+        "v2: malformed timestamp 4",
+        "v2: malformed timestamp null",
+        "v2: invalid timestamp [2, 1]",
+        "v3: missing required fields",
+    ]

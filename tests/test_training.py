@@ -86,3 +86,19 @@ def test_token_tables(spark):
     )
     text = video_texts(videos).first()
     assert text["text"].endswith("Assistant: 1. [1.0, 2.0] x\n") and len(text["metadata"]["frames_indices"]) == 16
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    loads = str(tmp_path / "loads")
+
+    def factory():
+        import os
+
+        with open(loads, "a") as log:
+            log.write(f"{os.getpid()}\n")
+        return lambda texts: [[len(t)] for t in texts]
+
+    df = spark.range(64).select(F.col("id").cast("string").alias("text")).repartition(32)
+    assert tokenize(df, factory).count() == 64
+    workers = open(loads).read().split()
+    assert len(workers) == len(set(workers)) < 32

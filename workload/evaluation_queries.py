@@ -287,14 +287,16 @@ def window_texts(spark, sf):
     + """
 , w AS (SELECT *, CAST(floor(start / 60) AS BIGINT) AS window_idx FROM valid)
 , k AS (SELECT *, row_number() OVER (PARTITION BY video_id, window_idx ORDER BY start - window_idx * 60, "end" - window_idx * 60, ann_pos) AS rn FROM w)
-SELECT video_id, window_idx * 1048576 + rn - 1 AS pos,
+SELECT video_id, window_idx, rn - 1 AS line,
   round(CAST(printf('%.1f', start - window_idx * 60) AS DOUBLE) + window_idx * 60, 6) AS start,
   round(CAST(printf('%.1f', "end" - window_idx * 60) AS DOUBLE) + window_idx * 60, 6) AS "end", sentence AS description
 FROM k""",
 )
 def q_union_windows(spark, sf):
     rows = union_windows(window_activities(window_texts(spark, sf)))
-    return rows.withColumn("start", F.round("start", 6)).withColumn("end", F.round("end", 6))
+    return rows.select(
+        "video_id", "pos.*", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "description"
+    )
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators.frames import clamp_clips, clip_frames, video_durations
+from spanloom.operators.samples import sample_n
 
 from .registry import query
 from .views import ctes, frames, table, valid_annotations, video_name
@@ -42,8 +43,8 @@ def decoded_sql(n: int) -> str:
 """
 
 
-def _frames_sql(n: int) -> str:
-    return _CLIPS_SQL + decoded_sql(n) + f"""
+def _frames_sql(n: int, clips: str = _CLIPS_SQL) -> str:
+    return clips + decoded_sql(n) + f"""
 , grid AS (SELECT clip_id, unnest(range({n})) AS i FROM cl)
 , near AS (SELECT g.clip_id, g.i, max(f.slot) FILTER (f.slot <= g.i) AS p, min(f.slot) FILTER (f.slot >= g.i) AS q
            FROM grid g LEFT JOIN filled f ON f.clip_id = g.clip_id GROUP BY ALL)
@@ -64,6 +65,16 @@ def q_dense_frames(spark, sf):
     return shown.withColumn("slot", F.col("slot").cast("bigint"))
 
 
+_SAMPLED_SQL = _CLIPS_SQL.replace("FROM valid v LEFT", """FROM (SELECT * FROM valid
+  ORDER BY md5('42|' || CAST(ann_pos AS VARCHAR)), ann_pos LIMIT 50) v LEFT""")
+
+
+@query("sampled_clip_frames", _frames_sql(8, _SAMPLED_SQL))
+def q_sampled_frames(spark, sf):
+    shown = clip_frames(sample_n(_clips(spark, sf), 50, 42, ["clip_id"]), frames(spark, sf), 8)
+    return shown.withColumn("slot", F.col("slot").cast("bigint"))
+
+
 @query(
     "video_durations",
     ctes("ann", "fr")

@@ -22,11 +22,22 @@ from spanloom.operators.samples import (
     with_duration,
 )
 from spanloom.operators.windows import video_windows
+from spanloom.plans.loading import clip_samples, dense_samples
 from spanloom.shared import new_folder
 from spanloom.sources import read_annotations, to_json_lines, write_samples
 
 from .registry import query
-from .views import STRIP, annotations, complete_records, ctes, inventory, records, table, valid_annotations
+from .views import (
+    STRIP,
+    annotations,
+    complete_records,
+    ctes,
+    labelled_inventory,
+    partial_inventory,
+    records,
+    table,
+    valid_annotations,
+)
 
 
 @query(
@@ -153,7 +164,7 @@ VIDEO_SAMPLE_SQL = (
     + rf"""
 , eff AS (SELECT *, coalesce(duration, CAST(120 AS DOUBLE)) AS dur,
                least(coalesce(duration, CAST(120 AS DOUBLE)), CAST(120 AS DOUBLE)) AS eff FROM recpair)
-, cut AS (SELECT video_id, dur, eff, ann_pos, start, least("end", eff) AS e,
+, cut AS (SELECT split, video_id, dur, eff, ann_pos, start, least("end", eff) AS e,
                  regexp_replace(sentence, '{STRIP}', '', 'g') AS s
           FROM eff WHERE "end" > start AND start <= eff)
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start, e, ann_pos) AS rn FROM cut)
@@ -249,12 +260,58 @@ def q_fmt1(spark, sf):
 
 @query(
     "existing_only",
-    ctes("ann", "inv")
+    ctes("ann", "part_inv")
     + """
-SELECT ann_pos, video_id, start FROM ann WHERE video_id IN (SELECT video_id FROM inv)""",
+SELECT ann_pos, video_id, start FROM ann WHERE video_id IN (SELECT video_id FROM part_inv)""",
 )
 def q_existing(spark, sf):
-    return existing_only(annotations(spark, sf), inventory(spark, sf)).select("ann_pos", "video_id", "start")
+    return existing_only(annotations(spark, sf), partial_inventory(spark, sf)).select("ann_pos", "video_id", "start")
+
+
+@query(
+    "clip_samples",
+    ctes("rec", "recpair", "lab_inv")
+    + rf"""
+SELECT split, video_id, ann_pos, start, "end", md5(regexp_replace(sentence, '{STRIP}', '', 'g')) AS sentence_md5
+FROM recpair WHERE "end" > start AND video_id IN (SELECT video_id FROM lab_inv)
+ORDER BY md5('42|' || split || '|' || video_id || '|' || CAST(ann_pos AS VARCHAR)), split, video_id, ann_pos LIMIT 200""",
+)
+def q_clip_samples(spark, sf):
+    samples = clip_samples(records(spark, sf), labelled_inventory(spark, sf), 200, 42)
+    return samples.select("split", "video_id", "ann_pos", "start", "end", F.md5("sentence").alias("sentence_md5"))
+
+
+@query(
+    "dense_samples",
+    VIDEO_SAMPLE_SQL
+    + """
+SELECT video_id, dur AS duration, CAST(count(*) AS BIGINT) AS n_annotations, max(e) AS last_end
+FROM kept WHERE video_id IN (SELECT 'Doc' || CAST(doc_id AS VARCHAR) || '_x264' FROM labels)
+GROUP BY video_id, dur, split ORDER BY md5('42|' || split || '|' || video_id), split, video_id LIMIT 50""",
+)
+def q_dense_samples(spark, sf):
+    samples = dense_samples(records(spark, sf), labelled_inventory(spark, sf), 50, 42)
+    return samples.select(
+        "video_id",
+        "duration",
+        F.size("annotations").cast("bigint").alias("n_annotations"),
+        F.array_max(F.transform("annotations", lambda a: a["end"])).alias("last_end"),
+    )
+
+
+@query(
+    "group_flat_annotations",
+    ctes("ann", "valid")
+    + """
+SELECT video_id, CAST(count(*) AS BIGINT) AS n_annotations, string_agg(sentence, '|' ORDER BY start, "end", ann_pos) AS sentences
+FROM valid GROUP BY video_id""",
+)
+def q_group_flat(spark, sf):
+    return group_by_video(valid_annotations(spark, sf), k=None).select(
+        "video_id",
+        F.size("annotations").cast("bigint").alias("n_annotations"),
+        F.array_join(F.transform("annotations", lambda a: a["sentence"]), "|").alias("sentences"),
+    )
 
 
 @query(
@@ -346,16 +403,16 @@ def q_sample(spark, sf):
 
 @query(
     "union_splits",
-    ctes("ann", "inv")
+    ctes("ann", "part_inv")
     + """
-SELECT 'Test' AS split, video_id, ann_pos FROM ann WHERE video_id IN (SELECT video_id FROM inv)
+SELECT 'Test' AS split, video_id, ann_pos FROM ann WHERE video_id IN (SELECT video_id FROM part_inv)
 UNION ALL
-SELECT 'Train' AS split, video_id, ann_pos FROM ann WHERE video_id NOT IN (SELECT video_id FROM inv)""",
+SELECT 'Train' AS split, video_id, ann_pos FROM ann WHERE video_id NOT IN (SELECT video_id FROM part_inv)""",
 )
 def q_union_splits(spark, sf):
     everything = annotations(spark, sf).select("video_id", "ann_pos")
-    test = existing_only(everything, inventory(spark, sf))
-    train = everything.join(inventory(spark, sf).select("video_id"), "video_id", "left_anti")
+    test = existing_only(everything, partial_inventory(spark, sf))
+    train = everything.join(partial_inventory(spark, sf).select("video_id"), "video_id", "left_anti")
     return union_splits({"Test": test, "Train": train}).select("split", "video_id", "ann_pos")
 
 

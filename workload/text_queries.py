@@ -20,9 +20,8 @@ from spanloom.functions.parse import extract_description, parse_activities, pars
 from spanloom.operators.samples import group_by_video
 from spanloom.operators.textmetrics import (
     bleu4,
-    embed_tokens,
+    embed_and_match,
     greedy_match_score,
-    hashed_embedder,
     rouge_l,
     stemmed_tokens,
     tokenize_13a,
@@ -341,13 +340,37 @@ def q_greedy(spark, sf):
     )
 
 
+def letter_embedder():
+    """A word's vector: how long it is and how often it holds an e and a digit."""
+
+    def embed(texts):
+        return [[[float(len(w)), float(w.count("e")), float(sum(c.isdigit() for c in w))] for w in t.split()] for t in texts]
+
+    return embed
+
+
+_LETTERS = """SELECT sample_id, i, CAST(length(w) AS DOUBLE) AS x, CAST(length(w) - length(replace(w, 'e', '')) AS DOUBLE) AS y,
+  CAST(length(regexp_replace(w, '[^0-9]', '', 'g')) AS DOUBLE) AS z
+FROM (SELECT sample_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w
+      FROM (SELECT sample_id, list_filter(string_split({0}, ' '), lambda w: w <> '') AS ws FROM pred))"""
+
+
 @query(
     "embed_and_match",
-    ctes("chat") + "\nSELECT conv_id, turn, true AS same_text_is_one FROM chat",
+    ctes("ann", "valid", "pred")
+    + f"""
+, a AS ({_LETTERS.format('pred')}), b AS ({_LETTERS.format('gt')})
+, sim AS (SELECT a.sample_id, a.i, b.i AS j, (a.x * b.x + a.y * b.y + a.z * b.z)
+            / (sqrt(a.x * a.x + a.y * a.y + a.z * a.z) * sqrt(b.x * b.x + b.y * b.y + b.z * b.z)) AS c FROM a JOIN b ON a.sample_id = b.sample_id)
+, p AS (SELECT sample_id, avg(c) AS p FROM (SELECT sample_id, i, max(c) AS c FROM sim GROUP BY ALL) GROUP BY sample_id)
+, r AS (SELECT sample_id, avg(c) AS r FROM (SELECT sample_id, j, max(c) AS c FROM sim GROUP BY ALL) GROUP BY sample_id)
+SELECT p.sample_id, round(p, 6) AS match_p, round(r, 6) AS match_r, round(2 * p * r / (p + r), 6) AS match_f1 FROM p JOIN r ON p.sample_id = r.sample_id""",
 )
 def q_embed(spark, sf):
-    texts = chat_pairs(spark, sf).select("conv_id", "turn", F.col("response").alias("a"), F.col("response").alias("b"))
-    scored = greedy_match_score(embed_tokens(texts, hashed_embedder(), ["a", "b"]), "a_emb", "b_emb")
+    scored = embed_and_match(predictions(spark, sf), letter_embedder, "pred", "gt", "match")
     return scored.select(
-        "conv_id", "turn", (F.abs(F.col("bertscore_f1") - 1) < 1e-6).alias("same_text_is_one")
+        "sample_id",
+        F.round("match_precision", 6).alias("match_p"),
+        F.round("match_recall", 6).alias("match_r"),
+        F.round("match_f1", 6).alias("match_f1"),
     )

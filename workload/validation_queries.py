@@ -16,7 +16,7 @@ from spanloom.operators.validate import (
 )
 
 from .registry import query
-from .views import ctes, inventory, raw_records
+from .views import ctes, dirty_records, inventory, raw_records
 
 # Two real splits with a right and a wrong expectation are made from the data; one split is not there.
 _ISSUES = ctes("rec") + """
@@ -42,6 +42,25 @@ def q_validate(spark, sf):
     )
 
 
+@query(
+    "validate_malformed",
+    """
+WITH d AS (SELECT lang AS split, doc_id AS pos, 'Doc' || CAST(doc_id AS VARCHAR) || '_x264' AS video_id, doc_id % 8 AS t, doc_id % 3 AS s FROM documents)
+, found AS (
+  SELECT *, 'malformed' AS kind, 0 AS item, 'malformed timestamps' AS message FROM d WHERE t IN (0, 1)
+  UNION ALL SELECT *, 'malformed', 1, 'malformed sentences' FROM d WHERE s IN (1, 2)
+  UNION ALL SELECT *, 'length', 0, 'timestamps/sentences length mismatch' FROM d WHERE s = 0 AND t IN (5, 6)
+  UNION ALL SELECT *, 'malformed', 0, 'malformed timestamp ' || CASE t WHEN 2 THEN '[1]' WHEN 3 THEN '[1,2,3]' WHEN 4 THEN '["abc",2]' WHEN 5 THEN '3' ELSE 'null' END
+    FROM d WHERE t IN (2, 3, 4, 5, 7)
+  UNION ALL SELECT *, 'span', 1, 'invalid timestamp [2, 1]' FROM d WHERE t = 6)
+SELECT split, pos, video_id, kind, CAST(item AS BIGINT) AS item, video_id || ': ' || message AS message FROM found""",
+)
+def q_validate_malformed(spark, sf):
+    return validate(dirty_records(spark, sf)).select(
+        "split", "pos", "video_id", "kind", F.col("item").cast("bigint").alias("item"), "message"
+    )
+
+
 @query("split_counts", _ISSUES + "SELECT * FROM counts")
 def q_split_counts(spark, sf):
     return split_counts(raw_records(spark, sf))

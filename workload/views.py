@@ -75,17 +75,32 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def inventory(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers of one segment stand for the videos that are on disk."""
+def _files(df: DataFrame, name: Column) -> DataFrame:
     from spanloom.functions.text import category_of, video_path_of
 
-    c = table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING")
-    name = video_name(F.col("c_custkey"))
-    return c.select(
+    return df.select(
         video_path_of("/videos", name).alias("path"), category_of(name).alias("category"), name.alias("video_id")
     )
 
 
+def inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers stand for the videos that are on disk."""
+    return _files(table(spark, sf, "customer"), video_name(F.col("c_custkey")))
+
+
+def partial_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """A disk that lacks videos: only the customers of one segment are there."""
+    c = table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING")
+    return _files(c, video_name(F.col("c_custkey")))
+
+
+def labelled_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Videos of the document records: those of labelled documents are on disk."""
+    return _files(
+        table(spark, sf, "labels"), F.concat(F.lit("Doc"), F.col("doc_id").cast("string"), F.lit("_x264"))
+    )
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as nested annotation records: lines are sentences, some records are faulty."""
     d = table(spark, sf, "documents")
@@ -117,6 +132,22 @@ def raw_records(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf).select("split", "pos", "video_id", F.to_json(body).alias("raw"))
 
 
+def dirty_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A record per document with one of eight forms of spans and three of sentences, most of them faulty."""
+    spans = ("null", '"x"', "[[1]]", "[[1,2,3]]", '[["abc",2]]', "[3,[0,1]]", "[[0,1],[2,1]]", "[null]")
+    form = F.element_at(F.array(*map(F.lit, spans)), (F.col("doc_id") % 8 + 1).cast("int"))
+    texts = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.array("text"))).otherwise(
+        F.when(F.col("doc_id") % 3 == 1, F.lit("null")).otherwise(F.lit('"x"'))
+    )
+    raw = F.concat(F.lit('{"duration":1.5,"timestamps":'), form, F.lit(',"sentences":'), texts, F.lit("}"))
+    return table(spark, sf, "documents").select(
+        F.col("lang").alias("split"),
+        F.col("doc_id").alias("pos"),
+        F.concat(F.lit("Doc"), F.col("doc_id").cast("string"), F.lit("_x264")).alias("video_id"),
+        raw.alias("raw"),
+    )
+
+
 def chat_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each assistant turn with the turn before it."""
     c = table(spark, sf, "conversations")
@@ -180,7 +211,10 @@ scored AS (
   FROM overlap)""",
     "inv": f"""inv AS (
   SELECT {_VIDEO.format('c_custkey')} AS video_id, ['Lobby','Yard','Gate','Dock','Hall'][CAST(c_custkey % 5 AS INTEGER) + 1] AS category
-  FROM customer WHERE c_mktsegment = 'BUILDING')""",
+  FROM customer)""",
+    "part_inv": f"""part_inv AS (
+  SELECT {_VIDEO.format('c_custkey')} AS video_id FROM customer WHERE c_mktsegment = 'BUILDING')""",
+    "lab_inv": """lab_inv AS (SELECT 'Doc' || CAST(doc_id AS VARCHAR) || '_x264' AS video_id FROM labels)""",
     "rec": r"""rec AS (
   SELECT lang AS split, doc_id AS pos, 'Doc' || CAST(doc_id AS VARCHAR) || '_x264' AS video_id,
          CASE WHEN doc_id % 7 <> 2 THEN CAST(n_chars AS DOUBLE) / CAST(10 AS DOUBLE) END AS duration,
