@@ -22,7 +22,8 @@ def read_raw_annotations(
     parallel and their records redistributed. ``layout="lines"``: every line is such an object;
     these files are splittable, so this is the layout for large volumes.
 
-    A repeated key keeps its first place and its last value.
+    A repeated key keeps its first place and its last value, over all lines of files ordered by
+    path. ``pos`` is the place in the object; of lines it is unique and grows along a file's block.
     """
     if layout == "lines":
         return _read_lines(spark, path, split)
@@ -47,23 +48,17 @@ def _entries(text: Column) -> Column:
 
 
 def _read_lines(spark: SparkSession, path: str | list[str], split: str) -> DataFrame:
-    """Records of objects of a few keys a line; repeated keys are settled inside the line."""
-    line = spark.read.text(path).select(F.map_entries(_entries(F.col("value"))).alias("entries"))
-    numbered = F.transform(
-        "entries", lambda e, i: F.struct(i.alias("pos"), e["key"].alias("video_id"), e["value"].alias("raw"))
+    """Records of objects of a few keys a line; repeated keys are settled over all files by path."""
+    entries = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.explode(F.map_entries(_entries(F.col("value")))).alias("e"),
     )
-    line = line.select(numbered.alias("entries"))
-    same = lambda e: F.filter("entries", lambda o: o["video_id"] == e["video_id"])
-    firsts = F.filter("entries", lambda e: e["pos"] == F.get(same(e), F.lit(0))["pos"])
-    settled = F.transform(
-        firsts,
-        lambda e: F.struct(
-            e["pos"].cast("bigint").alias("pos"),
-            e["video_id"].alias("video_id"),
-            F.element_at(same(e), -1)["raw"].alias("raw"),
-        ),
-    )
-    return line.select(F.explode(settled).alias("r")).select(F.lit(split).alias("split"), "r.*")
+    # The numbers grow along a file's block; blocks and files are put in order by their own names.
+    numbered = entries.withColumn("pos", F.monotonically_increasing_id())
+    at = F.struct("source", "block", "pos")
+    merged = numbered.groupBy(F.col("e.key").alias("video_id")).agg(F.min(at)["pos"].alias("pos"), F.max_by("e.value", at).alias("raw"))
+    return merged.select(F.lit(split).alias("split"), "pos", "video_id", "raw")
 
 
 def parse_annotations(raw_records: DataFrame) -> DataFrame:

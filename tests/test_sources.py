@@ -57,6 +57,10 @@ def test_annotation_lines(spark, folder, tmp_path):
     rows = read_raw_annotations(spark, str(tmp_path / "dup.jsonl"), "Train", layout="lines").orderBy("pos").collect()
     assert [r["video_id"] for r in rows] == list(json.loads(OBJECT))
     assert "second" in rows[1]["raw"]
+    several = '{"a": {"v": 1}, "b": {"v": 1}}\n{"b": {"v": 2}}\n{"c": {"v": 1}, "a": {"v": 3}}\n'
+    (tmp_path / "several.jsonl").write_text(several)
+    rows = read_raw_annotations(spark, str(tmp_path / "several.jsonl"), "Train", layout="lines").orderBy("pos").collect()
+    assert [(r["video_id"], r["raw"]) for r in rows] == [("a", '{"v":3}'), ("b", '{"v":2}'), ("c", '{"v":1}')]
     with pytest.raises(ValueError):
         read_raw_annotations(spark, "x", "Train", layout="other")
 

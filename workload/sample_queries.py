@@ -44,19 +44,21 @@ from .views import (
     "read_annotations",
     ctes("rec")
     + """
-SELECT 'all' AS split, CAST(0 AS BIGINT) AS pos, video_id, duration, CAST(len(ts) AS BIGINT) AS n_spans,
+SELECT 'all' AS split, video_id, duration, CAST(len(ts) AS BIGINT) AS n_spans,
        CAST(coalesce(len(sents), -1) AS BIGINT) AS n_sentences, round(list_sum(list_transform(ts, lambda t: t[2])), 6) AS ends_total,
        md5(array_to_string(sents, chr(10))) AS sentences_md5
 FROM rec""",
 )
 def q_read_annotations(spark, sf):
     path = new_folder(spark, "annotation-lines")
-    to_json_lines(records(spark, sf)).write.text(path)
+    # Every key comes twice; the later line holds.
+    now = records(spark, sf)
+    old = now.withColumn("duration", F.lit(-1.0)).withColumn("sentences", F.array(F.lit("old")))
+    to_json_lines(old.unionByName(now)).write.text(path)
     read = read_annotations(spark, path, "all", layout="lines")
     ends = F.aggregate("timestamps", F.lit(0.0), lambda acc, t: acc + t[1])
     return read.select(
         "split",
-        "pos",
         "video_id",
         "duration",
         F.size("timestamps").cast("bigint").alias("n_spans"),
