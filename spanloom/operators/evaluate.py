@@ -61,5 +61,11 @@ def side_by_side(
     models: Sequence[str] = ("zeroshot", "finetuned"),
     clip: Sequence[str] = ("sample_id", "video_id", "start", "end", "gt"),
 ) -> DataFrame:
-    """Long (clip, model, text) as one row per clip with a column per model, null where it did not run."""
-    return predictions.groupBy(*clip).pivot("model", list(models)).agg(F.first("text"))
+    """Long (clip, model, text) as one row per clip with a column per model, null where it did not run.
+
+    Rows meet by the first column of ``clip``, an id; the others belong to it. Models that are yet to
+    run need no shuffle: see ``generate_side_by_side``.
+    """
+    key, *rest = clip
+    texts = [F.first(F.when(F.col("model") == m, F.col("text")), ignorenulls=True).alias(m) for m in models]
+    return predictions.groupBy(key).agg(*[F.first(c).alias(c) for c in rest], *texts)

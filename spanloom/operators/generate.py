@@ -47,6 +47,18 @@ def generate_models(
     return out
 
 
+def generate_side_by_side(
+    df: DataFrame, factories: dict[str, CaptionerFactory], max_new_tokens: int = CLIP_NEW_TOKENS
+) -> DataFrame:
+    """One row per clip with a text column per model: the models follow one another on the row, without a shuffle."""
+    taken = set(factories) & set(df.columns)
+    if taken:
+        raise ValueError(f"columns with the names of models: {sorted(taken)}")
+    for name, factory in factories.items():
+        df = generate(df, factory, max_new_tokens, name)
+    return df
+
+
 def resolve_model(tuned: str | None, base: str, available: Sequence[str] | Callable[[str], bool]) -> tuple[str, bool]:
     """The tuned model if it is there, else the base model; and whether it is the tuned one."""
     there = available(tuned) if callable(available) and tuned else bool(tuned) and tuned in available

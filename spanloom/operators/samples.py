@@ -21,6 +21,7 @@ from ..functions.text import category_of, strip_text, video_path_of
 MAX_ANNOTATIONS = 12
 SMALL_SAMPLE = 100_000
 SAMPLE_BIN_DIGITS = 4
+DIGEST_DIGITS = 32
 
 
 def pair_annotations(timestamps: Column, sentences: Column) -> Column:
@@ -170,12 +171,12 @@ def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int | None, seed: int, key: Sequence[str]) -> DataFrame:
-    """Seeded shuffle and the first ``n`` rows; None or -1 keeps all rows.
+    """The first ``n`` rows in the order of ``md5(seed|key)``; None or -1 keeps all rows.
 
-    The order is that of ``md5(seed|key)``, so a sample does not depend on partitioning; ``key``
-    must identify a row. A small sample is one top-n. A large one is found without gathering it:
-    rows are counted per leading digest digits, whole bins below the cut pass, and only the bin in
-    which the cut falls is ordered.
+    A sample does not depend on partitioning; ``key`` must identify a row. It is a set: its rows come
+    in no promised order, whatever ``n``. A small sample is one top-n. A large one is found without
+    gathering it: rows are counted per leading digest digits, whole bins below the cut pass, and the
+    bin in which the cut falls is counted by more digits until it is small enough to be ordered.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
     ranked = df.withColumn("sample_hash", digest)
@@ -185,14 +186,19 @@ def sample_n(df: DataFrame, n: int | None, seed: int, key: Sequence[str]) -> Dat
         raise ValueError("n is a count, or -1 or None for all rows")
     if n <= SMALL_SAMPLE:
         return ranked.orderBy("sample_hash", *key).limit(n).drop("sample_hash")
-    # At most 16^4 bins, so the running count is a small single-partition window.
-    bin_ = F.substring("sample_hash", 1, SAMPLE_BIN_DIGITS).alias("bin")
-    counts = ranked.groupBy(bin_).agg(F.count(F.lit(1)).alias("n_bin"))
-    running = counts.withColumn("upto", F.sum("n_bin").over(W.orderBy("bin")))
-    cut = running.filter(F.col("upto") >= n).orderBy("bin").limit(1).collect()
-    if not cut:
-        return ranked.drop("sample_hash")
-    edge, still = cut[0]["bin"], n - (cut[0]["upto"] - cut[0]["n_bin"])
-    below = ranked.filter(bin_ < edge)
-    last = ranked.filter(bin_ == edge).orderBy("sample_hash", *key).limit(still)
+    edge, still = "", n
+    while True:
+        # At most 16^4 bins a round, so the running count is a small single-partition window.
+        inside = ranked.filter(F.col("sample_hash").startswith(edge))
+        bin_ = F.substring("sample_hash", 1, len(edge) + SAMPLE_BIN_DIGITS).alias("bin")
+        counts = inside.groupBy(bin_).agg(F.count(F.lit(1)).alias("n_bin"))
+        running = counts.withColumn("upto", F.sum("n_bin").over(W.orderBy("bin")))
+        cut = running.filter(F.col("upto") >= still).orderBy("bin").limit(1).collect()
+        if not cut:
+            return ranked.drop("sample_hash")
+        edge, still = cut[0]["bin"], still - (cut[0]["upto"] - cut[0]["n_bin"])
+        if cut[0]["n_bin"] <= SMALL_SAMPLE or len(edge) == DIGEST_DIGITS:
+            break
+    below = ranked.filter(F.substring("sample_hash", 1, len(edge)) < edge)
+    last = ranked.filter(F.col("sample_hash").startswith(edge)).orderBy("sample_hash", *key).limit(still)
     return below.unionByName(last).drop("sample_hash")

@@ -46,8 +46,10 @@ def _shown(number: Column) -> Column:
     return F.regexp_replace(trimmed, r"^(-?\d+)\.0+$", "$1.0")
 
 
-def validate(records: DataFrame) -> DataFrame:
-    """One row per issue: ``split, pos, video_id, kind, kind_no, item, message``.
+def examine(records: DataFrame) -> DataFrame:
+    """Each record parsed once: ``split, pos, video_id, n_annotations, issues``.
+
+    ``n_annotations`` is null unless the record has all fields. An issue is ``kind, kind_no, item, message``.
 
     A field that is null or no list is ``malformed``, and so is a span that is not a list of two
     numbers (or numeric strings). JSON text held in a string counts as what it holds. Lengths are
@@ -102,20 +104,33 @@ def validate(records: DataFrame) -> DataFrame:
 
     invalid = F.coalesce(F.transform(F.filter("items", lambda p: ~is_pair(p) | is_bad(p)), told), F.array())
     found = F.coalesce(missing, F.concat(no_spans, no_texts, mismatch, invalid))
-    return parsed.select("split", "pos", "video_id", F.explode(found).alias("issue")).select(
+    counted = F.when(F.col("complete"), F.size("spans"))
+    return parsed.select("split", "pos", "video_id", counted.alias("n_annotations"), found.alias("issues"))
+
+
+def issues_of(examined: DataFrame) -> DataFrame:
+    """One row per issue: ``split, pos, video_id, kind, kind_no, item, message``."""
+    return examined.select("split", "pos", "video_id", F.explode("issues").alias("issue")).select(
         "split", "pos", "video_id", "issue.*"
     )
 
 
-def split_counts(records: DataFrame) -> DataFrame:
+def counts_of(examined: DataFrame) -> DataFrame:
     """Videos and annotations per split; only records with all fields count annotations."""
-    counted = F.when(F.col("complete"), F.size("spans"))
-    return _fields(records).groupBy("split").agg(
+    return examined.groupBy("split").agg(
         F.count(F.lit(1)).alias("videos"),
-        F.coalesce(F.sum(counted), F.lit(0)).cast("bigint").alias("annotations"),
+        F.coalesce(F.sum("n_annotations"), F.lit(0)).cast("bigint").alias("annotations"),
     )
 
 
+def validate(records: DataFrame) -> DataFrame:
+    return issues_of(examine(records))
+
+
+def split_counts(records: DataFrame) -> DataFrame:
+    return counts_of(examine(records))
+
+
 def category_counts(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("category").agg(F.count(F.lit(1)).alias("videos"))
 

@@ -18,6 +18,8 @@ from ..shared import stash
 
 DENSE_FRAMES = 16
 
+_ANNOTATIONS = "array<struct<start: double, end: double, sentence: string>>"
+
 
 @dataclass(frozen=True)
 class Detection:
@@ -25,6 +27,44 @@ class Detection:
     windows: DataFrame
 
 
+def dense_records(videos: DataFrame, found: Detection, mode: str) -> DataFrame:
+    """One record per video: ``video_id, duration, gt, predicted, raw_output, mode``.
+
+    ``gt`` are the video's ``annotations`` where the table has them. ``predicted`` is empty for a
+    video without activities. Only a single pass has one ``raw_output``; that of windows is in
+    ``found.windows``.
+    """
+    if mode not in ("single_pass", "sliding_window"):
+        raise ValueError("mode is 'single_pass' or 'sliding_window'")
+    lines = F.array_sort(F.collect_list(F.struct("kept_no", "start", "end", "description")))
+    plain = F.transform(
+        "kept",
+        lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), a["description"].alias("description")),
+    )
+    lists = found.activities.groupBy("video_id").agg(lines.alias("kept")).select("video_id", plain.alias("predicted"))
+    nothing = F.array().cast(lists.schema["predicted"].dataType)
+    gt = F.col("annotations") if "annotations" in videos.columns else F.lit(None).cast(_ANNOTATIONS)
+    out = videos.select("video_id", "duration", gt.alias("gt")).join(lists, "video_id", "left")
+    if mode == "single_pass":
+        out = out.join(found.windows.select("video_id", "raw_output"), "video_id", "left")
+    else:
+        out = out.withColumn("raw_output", F.lit(None).cast("string"))
+    return out.select(
+        "video_id",
+        "duration",
+        "gt",
+        F.coalesce("predicted", nothing).alias("predicted"),
+        "raw_output",
+        F.lit(mode).alias("mode"),
+    )
+
+
+def run_record(records: DataFrame, n: str = "n_videos", **settings: str | int | float | None) -> DataFrame:
+    """One row for a whole run: its settings as given and the number of its records."""
+    count = records.agg(F.count(F.lit(1)).alias(n))
+    return count.select(*[F.lit(value).alias(name) for name, value in settings.items()], n)
+
+
 def _captioned(spans: DataFrame, frames: DataFrame, captioner: CaptionerFactory, n_frames: int) -> DataFrame:
     """Spans ``clip_id, video_id, start, end, prompt_text`` with frames and the generated text."""
     refs = frame_refs(spans.select("clip_id", "video_id", "start", "end", "duration"), frames, n_frames)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chat import (
@@ -19,11 +19,29 @@ from ..functions.chat import (
 )
 from ..functions.labels import truncate_ids
 from ..operators.batching import assign_batches, pad_batch, tokenize, training_rows
+from ..operators.frames import frame_refs
 
 CLIP_FRAMES, DENSE_FRAMES = 8, 16
 CLIP_MAX_LENGTH, DENSE_MAX_LENGTH = 2048, 4096
 
 
+def with_frames(rows: DataFrame, frames: DataFrame, n_frames: int, key: str, start: Column, end: Column) -> DataFrame:
+    """Add ``frame_refs``, the frames to show for ``start`` to ``end`` of each row's video; ``key`` identifies a row."""
+    length = ["duration"] if "duration" in rows.columns else []
+    clips = rows.select(F.col(key).alias("clip_id"), "video_id", start.alias("start"), end.alias("end"), *length)
+    return rows.join(frame_refs(clips, frames, n_frames).withColumnRenamed("clip_id", key), key)
+
+
+def clip_frames_of(samples: DataFrame, frames: DataFrame, key: str) -> DataFrame:
+    """Clip samples with their frames."""
+    return with_frames(samples, frames, CLIP_FRAMES, key, F.col("start"), F.col("end"))
+
+
+def video_frames_of(samples: DataFrame, frames: DataFrame, key: str = "video_id") -> DataFrame:
+    """Video samples with frames of their first seconds, up to ``effective_end``."""
+    return with_frames(samples, frames, DENSE_FRAMES, key, F.lit(0.0), F.col("effective_end"))
+
+
 def clip_texts(samples: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
     """``start, end, sentence`` rows with planned frame times and the chat text."""
     response = clip_response(F.col("sentence"), F.col("start"), F.col("end"))

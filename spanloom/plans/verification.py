@@ -12,13 +12,15 @@ from ..operators.validate import (
     EXPECTED_COUNTS,
     category_counts,
     check_counts,
+    counts_of,
+    examine,
     expected_counts,
     issue_report,
-    split_counts,
+    issues_of,
     split_status,
-    validate,
     verdict,
 )
+from ..shared import stash
 from ..sources.annotations import read_raw_annotations
 from ..sources.inventory import find_video_inventory
 
@@ -35,9 +37,13 @@ class Verification:
 def verify_records(
     records: DataFrame, inventory: DataFrame | None, expected: Mapping[str, Mapping[str, int]] = EXPECTED_COUNTS
 ) -> Verification:
-    """Checks of raw records of all splits against expected counts and the video inventory."""
-    issues = validate(records)
-    checked = check_counts(split_counts(records), expected_counts(records, expected))
+    """Checks of raw records of all splits against expected counts and the video inventory.
+
+    Records are parsed once; counts, issues, report and verdict read what that wrote.
+    """
+    examined = stash(examine(records), "examined")
+    issues = issues_of(examined)
+    checked = check_counts(counts_of(examined), expected_counts(records, expected))
     status = split_status(checked, issues)
     categories = None if inventory is None else category_counts(inventory)
     return Verification(status, issues, issue_report(issues), categories, verdict(status, inventory))

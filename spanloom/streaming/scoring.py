@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.evaluate import score_spans, summarize
@@ -38,14 +39,26 @@ def append_scores(predictions: DataFrame, path: str, checkpoint: str) -> DataStr
 
 
 def publish_summary(predictions: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Each trigger replaces the summary table, so a repeated trigger leaves the same table."""
+    """Each trigger writes the summary as a table of its own, ``path/batch=<number>``.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    A repeated trigger replaces its own table only, so ``read_summary`` finds the last whole one at
+    any time.
+    """
+
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         summary_stream(predictions)
         .writeStream.outputMode("complete")
-        .foreachBatch(replace)
+        .foreachBatch(publish)
         .option("checkpointLocation", checkpoint)
     )
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The last published summary."""
+    tables = spark.read.parquet(path)
+    # The batch is a partition column, so the others' files are not read.
+    newest = tables.agg(F.max("batch")).first()[0]
+    return tables.filter(F.col("batch") == F.lit(newest)).drop("batch")

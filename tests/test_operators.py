@@ -88,13 +88,20 @@ def test_existing_and_splits(spark):
 
 def test_sample_does_not_depend_on_partitions_or_path(spark, monkeypatch):
     df = spark.range(3000).withColumnRenamed("id", "k")
-    small = [r["k"] for r in sample_n(df, 700, 99, ["k"]).collect()]
+    def sampled(rows, n=700, seed=99):
+        return sorted(r["k"] for r in sample_n(rows, n, seed, ["k"]).collect())
+
+    small = sampled(df)
     assert len(set(small)) == 700
-    assert [r["k"] for r in sample_n(df.repartition(7), 700, 99, ["k"]).collect()] == small
-    assert [r["k"] for r in sample_n(df, 700, 42, ["k"]).collect()] != small
+    assert sampled(df.repartition(7)) == small
+    assert sampled(df, seed=42) != small
     monkeypatch.setattr(samples_module, "SMALL_SAMPLE", 10)
-    monkeypatch.setattr(samples_module, "SAMPLE_BIN_DIGITS", 2)
-    assert {r["k"] for r in sample_n(df, 700, 99, ["k"]).collect()} == set(small)
+    for digits in (1, 2):
+        # One digit a round: the bin of the cut is counted again until it is small.
+        monkeypatch.setattr(samples_module, "SAMPLE_BIN_DIGITS", digits)
+        assert sampled(df) == small
+    # Rows of one key have one digest: the last bin stays large and its ties are cut there.
+    assert len(sampled(spark.range(50).select(F.lit(7).alias("k")), 20)) == 20
     assert sample_n(df, -1, 99, ["k"]).count() == sample_n(df, None, 99, ["k"]).count() == 3000
     assert sample_n(df, 5000, 99, ["k"]).count() == 3000
     assert sample_n(df, 0, 99, ["k"]).count() == 0

@@ -5,13 +5,13 @@ import random
 import pytest
 
 from spanloom.operators.evaluate import attach_scores, score_spans, side_by_side, summarize
-from spanloom.operators.generate import generate, generate_models, resolve_model
+from spanloom.operators.generate import generate, generate_models, generate_side_by_side, resolve_model
 from spanloom.operators.runlog import append_points, metric_points, metric_points_json
 from spanloom.operators.textmetrics import hashed_embedder
-from spanloom.plans.detection import detect_single_pass, detect_sliding
+from spanloom.plans.detection import dense_records, detect_single_pass, detect_sliding, run_record
 from spanloom.plans.evaluation import evaluate
 from spanloom.streaming.dedup import dedup_stream
-from spanloom.streaming.scoring import append_scores, publish_summary, read_predictions
+from spanloom.streaming.scoring import append_scores, publish_summary, read_predictions, read_summary
 
 from spanloom.operators.dedup import dedup_activities
 
@@ -142,7 +142,7 @@ def test_streamed_scores_equal_batch(spark, tmp_path):
     want = {r["sample_id"]: r["tiou"] for r in score_spans(df).collect()}
     assert {r["sample_id"]: r["tiou"] for r in spark.read.parquet(str(tmp_path / "rows")).collect()} == want
     batch = {r["model"]: r["mean_tiou"] for r in summarize(score_spans(df), by=("model",)).collect()}
-    assert {r["model"]: r["mean_tiou"] for r in spark.read.parquet(str(tmp_path / "sum")).collect()} == pytest.approx(batch)
+    assert {r["model"]: r["mean_tiou"] for r in read_summary(spark, str(tmp_path / "sum")).collect()} == pytest.approx(batch)
 
 
 def test_streamed_dedup_equals_batch(spark, tmp_path):
@@ -164,3 +164,49 @@ def test_streamed_dedup_equals_batch(spark, tmp_path):
     finish(out.outputMode("append").option("checkpointLocation", str(tmp_path / "c")))
     got = kept_by_video(spark.read.parquet(str(tmp_path / "out")))
     assert got == kept_by_video(dedup_activities(activity_rows(spark, acts), limit=None))
+
+
+def test_models_follow_one_another_without_a_shuffle(spark):
+    def say(prefix):
+        return lambda: lambda batch, max_new_tokens: [f"{prefix} {v} " for v in batch["video_id"]]
+
+    samples = spark.createDataFrame([(1, "v", 0.0, 1.0, "g"), (2, None, None, None, None)], SAMPLE)
+    wide = generate_side_by_side(samples, {"zeroshot": say("zs"), "finetuned": say("ft")})
+    assert [(r["zeroshot"], r["finetuned"]) for r in wide.orderBy("sample_id").collect()] == [
+        ("zs v", "ft v"),
+        ("zs None", "ft None"),
+    ]
+    assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        generate_side_by_side(samples, {"gt": say("x")})
+
+
+def test_dense_and_run_records(spark):
+    factory = lambda: lambda batch, max_new_tokens: [
+        "1. [0.0, 2.0] a\n2. [5.0, 9.0] b" if v == "v" else "nothing" for v in batch["video_id"]
+    ]
+    videos = spark.createDataFrame(
+        [("v", 60.0, [(1.0, 2.0, "x")]), ("w", 60.0, None)],
+        "video_id string, duration double, annotations array<struct<start: double, end: double, sentence: string>>",
+    )
+    frames = frames_of(spark, {"v": 60, "w": 60})
+    for mode, detect in (("single_pass", detect_single_pass), ("sliding_window", detect_sliding)):
+        found = dense_records(videos, detect(videos, frames, factory), mode)
+        v, w = found.orderBy("video_id").collect()
+        assert [tuple(a) for a in v["predicted"]] == [(0.0, 2.0, "a"), (5.0, 9.0, "b")] and w["predicted"] == []
+        assert [tuple(a) for a in v["gt"]] == [(1.0, 2.0, "x")] and w["gt"] is None
+        assert (w["raw_output"], w["mode"]) == ("nothing" if mode == "single_pass" else None, mode)
+    bare = dense_records(videos.drop("annotations"), detect_single_pass(videos, frames, factory), "single_pass")
+    assert bare.filter("gt is not null").count() == 0
+    run = run_record(found, run_name="r", finetuned_dir=None, num_frames=16).first()
+    assert run.asDict() == {"run_name": "r", "finetuned_dir": None, "num_frames": 16, "n_videos": 2}
+    with pytest.raises(ValueError):
+        dense_records(videos, None, "other")
+
+
+def test_a_published_summary_is_the_last_whole_one(spark, tmp_path):
+    path = str(tmp_path / "sum")
+    for number in (0, 9, 10):
+        spark.range(number, number + 2).write.parquet(f"{path}/batch={number}")
+    (tmp_path / "sum" / "batch=11" / "_temporary").mkdir(parents=True)
+    assert sorted(r["id"] for r in read_summary(spark, path).collect()) == [10, 11]

@@ -6,11 +6,18 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.chat import dense_response
 from spanloom.operators.evaluate import score_spans, side_by_side, summarize
-from spanloom.operators.generate import generate, generate_models, resolve_model
+from spanloom.operators.generate import generate, generate_models, generate_side_by_side, resolve_model
 from spanloom.operators.runlog import metric_points
 from spanloom.operators.samples import group_by_video
 from spanloom.operators.textmetrics import bleu4, hashed_embedder, rouge_l
-from spanloom.plans.detection import detect_single_pass, detect_sliding, union_windows, window_activities
+from spanloom.plans.detection import (
+    dense_records,
+    detect_single_pass,
+    detect_sliding,
+    run_record,
+    union_windows,
+    window_activities,
+)
 from spanloom.plans.evaluation import evaluate
 from spanloom.shared import new_folder
 from spanloom.sources import write_results
@@ -116,13 +123,18 @@ def q_generate(spark, sf):
     return generate(predictions(spark, sf).select("sample_id", "gt"), _echo("I see ")).select("sample_id", "pred")
 
 
-@query(
-    "side_by_side",
-    ctes("ann", "valid", "pred")
-    + """
-SELECT sample_id, video_id, start, "end", gt, gt AS zeroshot, 'Seen: ' || gt AS finetuned FROM pred""",
-)
+_SIDE_BY_SIDE_SQL = ctes("ann", "valid", "pred") + """
+SELECT sample_id, video_id, start, "end", gt, gt AS zeroshot, 'Seen: ' || gt AS finetuned FROM pred"""
+
+
+@query("side_by_side", _SIDE_BY_SIDE_SQL)
 def q_side_by_side(spark, sf):
+    clips = predictions(spark, sf).select(*_CLIPS)
+    return generate_side_by_side(clips, {"zeroshot": _echo(""), "finetuned": _echo("Seen: ")})
+
+
+@query("side_by_side_long", _SIDE_BY_SIDE_SQL)
+def q_side_by_side_long(spark, sf):
     clips = predictions(spark, sf).select(*_CLIPS)
     return side_by_side(generate_models(clips, {"zeroshot": _echo(""), "finetuned": _echo("Seen: ")}))
 
@@ -187,7 +199,7 @@ def _customer_videos(spark, sf):
     return video_durations(videos, frames(spark, sf))
 
 
-_VIDEOS_SQL = ctes("ann", "fr") + """
+_VIDEOS_SQL = ctes("ann", "valid", "fr") + """
 , dur AS (SELECT video_id, max(pts) AS duration FROM fr GROUP BY 1)
 , vid AS (SELECT v.video_id, coalesce(d.duration, CAST(0 AS DOUBLE)) AS duration FROM (
     SELECT ['Lobby','Yard','Gate','Dock','Hall'][CAST(c_custkey % 5 AS INTEGER) + 1] || CAST(c_custkey AS VARCHAR) || '_x264' AS video_id FROM customer) v
@@ -206,8 +218,7 @@ _WINDOWS_SQL = _VIDEOS_SQL + """
 """
 
 
-@query(
-    "detect_single_pass",
+_SINGLE_SQL = (
     _VIDEOS_SQL
     + """
 , span AS (SELECT video_id AS clip_id, video_id, duration, CAST(0 AS DOUBLE) AS start,
@@ -215,19 +226,30 @@ _WINDOWS_SQL = _VIDEOS_SQL + """
 """
     + decoded_sql(16)
     + _SAID_SQL
+)
+
+
+@query(
+    "detect_single_pass",
+    _SINGLE_SQL
     + """SELECT video_id, CAST(line AS BIGINT) AS kept_no, s AS start, e AS "end", description FROM said""",
 )
 def q_single_pass(spark, sf):
     return detect_single_pass(_customer_videos(spark, sf), frames(spark, sf), lambda: _lister()).activities
 
 
-@query(
-    "detect_sliding",
+_SLIDING_SQL = (
     _WINDOWS_SQL
     + decoded_sql(16)
     + _SAID_SQL
     + """, moved AS (SELECT video_id, window_idx * 2 + line AS pos, s + start AS start, e + start AS "end", description FROM said WHERE duration > 0)"""
     + fold_sql("moved", "pos", "description")
+)
+
+
+@query(
+    "detect_sliding",
+    _SLIDING_SQL
     + """SELECT * FROM kept
 UNION ALL SELECT video_id, CAST(line AS BIGINT), s, e, description FROM said WHERE duration = 0""",
 )
@@ -258,6 +280,75 @@ def q_window_records(spark, sf):
     )
 
 
+def _records_sql(activities: str, raw_output: str, mode: str) -> str:
+    """One row per video with a digest of what the nested record holds."""
+    return f"""
+, act AS ({activities})
+, found AS (SELECT video_id, count(*) AS n, string_agg(description, ' / ' ORDER BY kept_no) AS told, sum("end") AS ends FROM act GROUP BY 1)
+, truth AS (SELECT video_id, count(*) AS n, sum("end") AS ends FROM valid GROUP BY 1)
+SELECT vid.video_id, duration, CAST(coalesce(t.n, 0) AS BIGINT) AS n_gt, round(coalesce(t.ends, 0), 4) AS gt_ends,
+  CAST(coalesce(f.n, 0) AS BIGINT) AS n_predicted, coalesce(told, '') AS told, round(coalesce(f.ends, 0), 4) AS predicted_ends,
+  {raw_output} AS raw_output, '{mode}' AS mode
+FROM vid LEFT JOIN found f ON f.video_id = vid.video_id LEFT JOIN truth t ON t.video_id = vid.video_id"""
+
+
+def _records(spark, sf, detect, mode):
+    truth = group_by_video(valid_annotations(spark, sf), k=None)
+    videos = _customer_videos(spark, sf).join(truth, "video_id", "left")
+    nested = dense_records(videos, detect(videos, frames(spark, sf), lambda: _lister()), mode)
+    ends = lambda c: F.round(F.aggregate(F.coalesce(F.col(c), F.expr("array()").cast(nested.schema[c].dataType)), F.lit(0.0), lambda t, a: t + a["end"]), 4)
+    return nested.select(
+        "video_id",
+        "duration",
+        F.when(F.col("gt").isNull(), 0).otherwise(F.size("gt")).cast("bigint").alias("n_gt"),
+        ends("gt").alias("gt_ends"),
+        F.size("predicted").cast("bigint").alias("n_predicted"),
+        F.array_join("predicted.description", " / ").alias("told"),
+        ends("predicted").alias("predicted_ends"),
+        "raw_output",
+        "mode",
+    )
+
+
+@query(
+    "dense_records_single_pass",
+    _SINGLE_SQL
+    + _records_sql(
+        """SELECT video_id, line AS kept_no, s AS start, e AS "end", description FROM said""",
+        """(SELECT '1. [0.0, ' || printf('%.1f', ("end" - start) / 2) || '] saw ' || n || ' frames' || chr(10) || '2. [' || printf('%.1f', ("end" - start) / 2)
+    || ', ' || printf('%.1f', "end" - start) || '] end ' || printf('%.1f', "end") FROM seen WHERE seen.video_id = vid.video_id)""",
+        "single_pass",
+    ),
+)
+def q_records_single(spark, sf):
+    return _records(spark, sf, detect_single_pass, "single_pass")
+
+
+@query(
+    "dense_records_sliding",
+    _SLIDING_SQL
+    + _records_sql(
+        """SELECT video_id, kept_no, start, "end", description FROM kept
+UNION ALL SELECT video_id, CAST(line AS BIGINT), s, e, description FROM said WHERE duration = 0""",
+        "CAST(NULL AS VARCHAR)",
+        "sliding_window",
+    ),
+)
+def q_records_sliding(spark, sf):
+    return _records(spark, sf, detect_sliding, "sliding_window")
+
+
+@query(
+    "run_record",
+    "SELECT 'first' AS run_name, 'tuned' AS finetuned_dir, 'single_pass' AS mode, CAST(16 AS BIGINT) AS num_frames, CAST(count(*) AS BIGINT) AS n_videos FROM customer",
+)
+def q_run_record(spark, sf):
+    record = run_record(
+        _customer_videos(spark, sf), run_name="first", finetuned_dir="tuned", mode="single_pass", num_frames=16
+    )
+    return record.withColumn("num_frames", F.col("num_frames").cast("bigint"))
+
+
 def window_texts(spark, sf):
     """Texts of one-minute windows, each holding the valid annotations that start in it."""
     rows = valid_annotations(spark, sf).withColumn("window_idx", F.floor(F.col("start") / 60).cast("bigint"))

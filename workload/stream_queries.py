@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.shared import new_folder
 from spanloom.streaming.dedup import dedup_stream
-from spanloom.streaming.scoring import append_scores, publish_summary, read_predictions
+from spanloom.streaming.scoring import append_scores, publish_summary, read_predictions, read_summary
 
 from .evaluation_queries import _SUMMARY, _shown
 from .registry import query
@@ -43,7 +43,7 @@ def q_stream_scores(spark, sf):
 def q_stream_summary(spark, sf):
     out = new_folder(spark, "summary")
     _finish(publish_summary(_landed_predictions(spark, sf), out, new_folder(spark, "progress")))
-    return _shown(spark.read.parquet(out), "model")
+    return _shown(read_summary(spark, out), "model")
 
 
 def window_feed(spark, sf):

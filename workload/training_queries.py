@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from spanloom.functions.chat import CLIP_PROMPT, DENSE_PROMPT, messages, render_chat
 from spanloom.operators.batching import assign_batches, hashed_tokenizer, pad_batch, tokenize, training_rows
 from spanloom.operators.samples import video_samples
-from spanloom.plans.training import DENSE_MAX_LENGTH, clip_texts, token_table, video_texts
+from spanloom.plans.training import DENSE_MAX_LENGTH, clip_frames_of, clip_texts, token_table, video_texts
 
+from .frame_queries import _CLIPS_SQL, _clips, _frames_sql
 from .registry import query
 from .sample_queries import VIDEO_SAMPLE_SQL
-from .views import chat_pairs, complete_records, ctes, valid_annotations
+from .views import chat_pairs, complete_records, ctes, frames, valid_annotations
 
 VOCABULARY, RESERVED = 32_000, 16
 PAD_ID = 0
@@ -138,6 +139,23 @@ def q_clip_training(spark, sf):
     )
 
 
+@query(
+    "clip_training_frames",
+    f"""
+SELECT clip_id AS ann_pos, CAST(row_no AS BIGINT) AS row_no, CAST(row_no // 4 AS BIGINT) AS batch, refs FROM (
+  SELECT clip_id, string_agg(coalesce(frame_ref, '-'), ',' ORDER BY slot) AS refs FROM ({_frames_sql(8, _CLIPS_SQL)}) GROUP BY clip_id)
+JOIN (SELECT clip_id, row_number() OVER (ORDER BY md5('42|' || CAST(clip_id AS VARCHAR))) - 1 AS row_no FROM ({_CLIPS_SQL} SELECT clip_id FROM span)) USING (clip_id)""",
+)
+def q_clip_training_frames(spark, sf):
+    spans = _clips(spark, sf).withColumnRenamed("clip_id", "ann_pos")
+    said = valid_annotations(spark, sf).select("ann_pos", "sentence")
+    samples = clip_frames_of(spans.join(said, "ann_pos"), frames(spark, sf), "ann_pos")
+    rows = token_table(
+        clip_texts(samples), hashed_tokenizer(VOCABULARY, RESERVED), MARKER, PAD_ID, 2048, 4, 42, ["ann_pos"]
+    )
+    return rows.select("ann_pos", "row_no", "batch", F.array_join("frame_refs", ",", "-").alias("refs"))
+
+
 _VIDEO_TABLE_SQL = (
     VIDEO_SAMPLE_SQL
     + f"""
