@@ -102,3 +102,14 @@ def test_model_is_loaded_once_per_worker(spark, tmp_path):
     assert tokenize(df, factory).count() == 64
     workers = open(loads).read().split()
     assert len(workers) == len(set(workers)) < 32
+
+
+def test_video_rows_carry_the_frames_of_their_first_seconds(spark):
+    from spanloom.plans.training import DENSE_FRAMES, video_frames_of
+
+    videos = spark.createDataFrame([("v", 8.0), ("none", 8.0)], "video_id string, effective_end double")
+    # Sixteen slots of half a second, a frame in the middle of each: border frames belong to the slot before.
+    index = [("v", t / 2 + 0.25, True, str(t)) for t in range(61)]
+    frames = spark.createDataFrame(index, "video_id string, pts double, is_keyframe boolean, frame_ref string")
+    got = {r["video_id"]: r["frame_refs"] for r in video_frames_of(videos, frames).collect()}
+    assert got == {"v": [str(t) for t in range(DENSE_FRAMES)], "none": [None] * DENSE_FRAMES}
