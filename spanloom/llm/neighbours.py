@@ -174,8 +174,8 @@ def nearest(
                     held = []
                 for i in range(a, b if tree else a, 1024):
                     j = min(i + 1024, b)
-                    _, found = tree.search(ids[i:j], flat[i:j], k, factor)
-                    row, column = np.nonzero(found >= 0)
+                    scores, found = tree.search(ids[i:j], flat[i:j], k, factor)
+                    row, column = np.nonzero(scores > -np.inf)  # ids may be negative
                     if len(row):
                         at = np.searchsorted(tree.ids, found[row, column])
                         exact = (flat[i:j][row] * tree.vectors[at]).sum(axis=1)
