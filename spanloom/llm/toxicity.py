@@ -7,14 +7,18 @@ class knows says nothing. A document is scored on length-normalised log-likeliho
 over its words, the mean over its strongest stretch of words, and its strongest words. A logistic
 curve over these, fitted on labelled rows the models have not seen, turns them into 0 to 1.
 
-Counts come from every labelled training text and are summed by Spark. Letter sequences are counted
+Counts come from every labelled training text outside the curve's fold and are summed by Spark. Letter sequences are counted
 in 2^20 hashed places, which bounds the model sent to the workers whatever the corpus; sequences
 that share a place are counted as one.
 
 Labels are learnt from rows with crc32(doc_id as text) mod 5 in 1, 2, 3 (models) and 4 (curve); 0 is
-held out. Nulls: a null id is held out and never matches a label; a null or empty text has no words
+held out. If fold 4 or the others lack a class, the curve takes the next of folds 3, 2, 1 that leaves
+both classes on both sides, or else half of all ids by another hash. If nothing does (one toxic row),
+the models learn from all four folds, and the likelihoods of the strongest stretch are compared with
+the classes' shares instead. The curve's rows are sampled
+by class and weighted back, so a rare class is not lost. Nulls: a null id is held out and never matches a label; a null or empty text has no words
 and gets the curve's value at zero evidence; a null label is not learnt from. With no labelled
-training rows every document scores 0. If labels repeat an id, any toxic one counts. Empty tables
+training rows of one class every document scores 0. If labels repeat an id, any toxic one counts. Empty tables
 give empty results.
 """
 
@@ -38,7 +42,7 @@ ORDER = 5
 PLACES = 1 << 20
 DISCOUNT = 0.75
 STRETCH = 12
-# Rows that the curve is fitted on, at most; a documented bound.
+# Rows of each class that the curve is fitted on, about, at most; a documented bound.
 CURVE_ROWS = 20_000
 # Training labels are broadcast up to so many rows, 16 bytes each, and joined by shuffle beyond.
 BROADCAST_LABELS = 4_000_000
@@ -237,16 +241,28 @@ def features(models: Models, texts: list[bytes], memory: dict) -> np.ndarray:
     return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic curve over standardised features by Newton steps: offset and weights for raw features."""
-    centre, scale = x.mean(0), x.std(0) + 1e-9
+def fit_curve(x: np.ndarray, y: np.ndarray, share: np.ndarray | None = None, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
+    """Logistic curve over standardised features by Newton steps: offset and weights for raw features.
+
+    ``share``: how many rows each given one stands for.
+    """
+    share = np.ones(len(x)) if share is None else share
+    centre = np.average(x, axis=0, weights=share)
+    scale = np.sqrt(np.average((x - centre) ** 2, axis=0, weights=share)) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - centre) / scale])
     w = np.zeros(z.shape[1])
+    penalty = ridge * len(x) * np.r_[0.0, np.ones(len(w) - 1)]
+
+    def loss(w: np.ndarray) -> float:
+        return share @ np.logaddexp(0, (1 - 2 * y) * (z @ w)) + penalty @ w**2 / 2
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        penalty = ridge * len(x) * np.r_[0.0, np.ones(len(w) - 1)]
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9)
-        move = np.linalg.solve(hessian, z.T @ (y - p) - penalty * w)
+        hessian = (z * (share * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9)
+        move = np.linalg.solve(hessian, z.T @ (share * (y - p)) - penalty * w)
+        # With a rare class a whole step may lead too far.
+        while loss(w + move) > loss(w) and np.abs(move).max() >= 1e-8:
+            move /= 2
         w += move
         if np.abs(move).max() < 1e-8:
             break
@@ -257,13 +273,27 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3
 def fit(docs: DataFrame, labels: DataFrame) -> Models | None:
     """Models and curve; None where a class has no training rows."""
     rows = labelled(docs, labels)
-    models = fit_models(rows.filter(F.col("fold") != CURVE_FOLD))
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
+    counted = rows.groupBy("fold", "half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = [sum(r.n for r in counted if r.toxic == c) for c in (0, 1)]
+    if not all(total):
+        return None
+    for name, value in (("fold", CURVE_FOLD), ("fold", 3), ("fold", 2), ("fold", 1), ("half", 1)):
+        n = [sum(r.n for r in counted if r.toxic == c and r[name] == value) for c in (0, 1)]
+        if all(0 < k < t for k, t in zip(n, total)):
+            apart = F.col(name) == value
+            break
+    else:
+        apart = F.lit(False)
+    models = fit_models(rows.filter(~apart))
     if np.isnan(models.seen).all():
         return None
-    apart = rows.filter(F.col("fold") == CURVE_FOLD)
-    # A share of the rows by their id's hash, so that about CURVE_ROWS are left.
-    share = min(1.0, CURVE_ROWS / max(1, apart.count()))
-    sampled = apart.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # What holds without a curve: the likelihood ratio of the strongest stretch against the classes' odds.
+    models.curve = np.array([np.log(total[1] / total[0]), 0.0, STRETCH, 0.0, 0.0])
+    # A share of each class by the rows' hash, so that about CURVE_ROWS of each are left.
+    taken = [max(1, int(min(1.0, CURVE_ROWS / max(1, k)) * 1_000_000)) for k in n]
+    most = F.when(F.col("toxic") == 1, taken[1]).otherwise(taken[0])
+    sampled = rows.filter(apart).filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_000)) < most)
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -272,10 +302,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Models | None:
 
     kinds = ", ".join(f"f{k} double" for k in range(FEATURES))
     table = sampled.mapInArrow(per_batch(measured), f"{kinds}, toxic int").toArrow()
-    y = table.column("toxic").to_numpy().astype(float)
-    if not 0 < y.sum() < len(y):
-        return None
-    models.curve = fit_curve(np.stack([table.column(f"f{k}").to_numpy() for k in range(FEATURES)], 1), y)
+    y = table.column("toxic").to_numpy().astype(int)
+    found = np.bincount(y, minlength=2)
+    if found.all():
+        share = (np.array(n) / found)[y]
+        models.curve = fit_curve(np.stack([table.column(f"f{k}").to_numpy() for k in range(FEATURES)], 1), y.astype(float), share)
     return models
 
 

@@ -109,3 +109,35 @@ def test_without_labels_or_rows(spark, documents):
 def test_query_runs(spark, small_dir):
     rows = QUERIES["op8_toxicity"](spark, small_dir).collect()
     assert len(rows) == 200 and all(0 <= r.score <= 1 for r in rows)
+
+
+def fold(i):
+    return zlib.crc32(str(i).encode()) % 5
+
+
+@pytest.mark.parametrize("folds", [(1, 2, 3), (4,), (2,)])
+def test_toxic_rows_outside_some_folds(spark, documents, folds):
+    docs, labels, truth = corpus(documents, spark)
+    inside = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)).isin(*folds)
+    scores = {r.doc_id: r.predicted for r in tx.classify(docs, labels.filter((F.col("toxic") == 0) | inside)).collect()}
+    held = [i for i in truth if fold(i) == 0]
+    assert sum(scores[i] == truth[i] for i in held) / len(held) > 0.9
+    assert sum(scores[i] for i in held if truth[i]) > 0.6 * sum(truth[i] for i in held)
+
+
+def test_one_toxic_row(spark, documents):
+    docs, labels, truth = corpus(documents, spark)
+    only = next(i for i, t in truth.items() if t and fold(i))
+    found = {r.doc_id for r in tx.classify(docs, labels.filter((F.col("toxic") == 0) | (F.col("doc_id") == only))).collect() if r.predicted}
+    assert only in found and sum(not truth[i] for i in found) < 0.05 * len(truth)
+
+
+def test_a_small_sample_keeps_the_rare_class(spark, documents, monkeypatch):
+    monkeypatch.setattr(tx, "CURVE_ROWS", 20)
+    docs, labels, truth = corpus(documents, spark, 2000)
+    rare = {i for i, t in truth.items() if t and fold(i) and i % 20 == 0}
+    some = labels.filter((F.col("toxic") == 0) | F.col("doc_id").isin(*rare))
+    found = {r.doc_id for r in tx.classify(docs, some).collect() if r.predicted}
+    toxic = {i for i, t in truth.items() if t and fold(i) == 0}
+    assert len(found & toxic) > 0.8 * len(toxic)
+    assert sum(not truth[i] for i in found) < 0.05 * len(truth)
