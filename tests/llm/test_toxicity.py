@@ -53,6 +53,51 @@ def test_log_ratios_follow_the_formula():
         assert r == pytest.approx(slow_ratio(counts, g), abs=1e-9)
 
 
+def test_joined_ratios_follow_the_formula(spark):
+    rng = random.Random(2)
+    counts = defaultdict(lambda: [0, 0])
+    for _ in range(60):
+        word = "\x02" * 4 + "".join(rng.choice("ab\U0010ffff") for _ in range(rng.randrange(1, 5))) + "\x03"
+        for i in range(len(word) - 4):
+            counts[word[i : i + 5]][rng.random() < 0.3] += rng.randrange(1, 4)
+    grams = sorted(counts)
+    letters = np.array([[ord(c) for c in g] for g in grams], np.uint32)
+    x, y = tx.packed(letters)
+    assert (tx.unpacked(x, y) == letters).all()
+    rows = [(*map(int, p), *counts[g]) for *p, g in zip(x, y, grams)]
+    ratios, contexts = tx.ratio_tables(spark.createDataFrame(rows, "x long, y long, ordinary long, toxic long"))
+    want, other = tx.log_ratios(letters, np.array([counts[g] for g in grams]))
+    got = {(r.x, r.y): r.ratio for r in ratios.collect()}
+    assert [got[r[:2]] for r in rows] == pytest.approx(list(want), abs=1e-9)
+    got = {(r.x, r.cy): r.other for r in contexts.collect()}
+    assert [got[r[0], r[1] >> 21] for r in rows] == pytest.approx(list(other), abs=1e-9)
+
+
+def test_every_sequence_is_counted_by_itself(spark):
+    # So many sequences that thousands would share one of 2^20 hashed places.
+    words = [a + b + c + d + e for a in "bcdfghjklmnpqrst" for b in "aeiouyäö" for c in "bcdfghjklmnpqrst" for d in "aeiouyäö" for e in "bcdfg"]
+    rows = spark.createDataFrame([(" ".join(words), 0), ("badeg", 1)], "text string, toxic int")
+    want = {"\x02" * 4 + w + "\x03" for w in words}
+    want = {w[i : i + 5] for w in want for i in range(len(w) - 4)}
+    got = tx.gram_counts(rows).collect()
+    assert len(got) == len(want)
+    assert {"".join(map(chr, g)) for g in tx.unpacked(*(np.array([r[k] for r in got]) for k in (0, 1)))} == want
+
+
+def test_joined_models_score_like_broadcast_ones(spark, documents, monkeypatch):
+    docs, labels, _ = corpus(documents, spark, 300)
+    docs = docs.unionByName(documents([(None, None), (5_000, None), (5_001, ""), (5_001, "zlorg " * 2_000), (3, "x y"), (4, "x y")], clashing=True))
+    want = sorted((r.doc_id or -1, r.score) for r in tx.classify(docs, labels).collect())
+    kept = sorted(map(str, tx.without_toxic(docs, labels).collect()))
+    monkeypatch.setattr(tx, "BROADCAST_GRAMS", 10)
+    monkeypatch.setattr(tx, "JOINED_BYTES", 10_000)
+    got = sorted((r.doc_id or -1, r.score) for r in tx.classify(docs, labels).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-4)
+    again = tx.without_toxic(docs, labels)
+    assert again.columns == docs.columns and sorted(map(str, again.collect())) == kept
+
+
 def test_letter_grams():
     grams, word = tx.letter_grams(["ab", "", "é"])
     assert ["".join(map(chr, g)) for g in grams] == ["\x02\x02\x02\x02a", "\x02\x02\x02ab", "\x02\x02ab\x03", "\x02\x02\x02\x02\x03", "\x02\x02\x02\x02é", "\x02\x02\x02é\x03"]
