@@ -9,7 +9,9 @@ entropy of the blocks, both to the base of the number of pages. A branch combine
 with that of its children, which weigh more the more children there are. Branches of low importance
 are cut from every page of the host. Elements whose tag, role, class or id says that they are not
 the article are cut as well, which also serves hosts with few pages, where entropy says nothing. If a
-page has an article or main element, only that is read.
+page has an article or main element, only that is read. Names are weaker evidence than tags: a name that
+only qualifies (with-sidebar, category-social, search-results) does not count, and a named branch is
+kept if it holds the page's article or most of its text, or if nothing else is there.
 
 Counts are combined per task before the shuffle, so a host with a third of all pages is no problem;
 the cut branches are one short list per host.
@@ -78,6 +80,9 @@ _NOISE_NAMES = frozenset(
 )
 _TOP_NAMES = frozenset({"header", "topbar"})
 _MAIN = frozenset({"article", "main"})
+_QUALIFIES = frozenset("with has no without is category tag".split())
+_CONTENT = frozenset("results work works layout page".split())
+_TALK = frozenset("comments comment commentlist respond reply replies disqus".split())
 _SPLIT_NAME = re.compile(r"[^a-z]+")
 
 
@@ -89,7 +94,10 @@ def _named(attributes: str) -> tuple[str, frozenset[str], bool]:
         value = value.strip("\"'").lower()
         if key in ("class", "id"):
             words = [w for w in _SPLIT_NAME.split(value) if w]
-            names.update(words)
+            for name in value.split():
+                parts = [w for w in _SPLIT_NAME.split(name) if w]
+                if parts and not (len(parts) > 1 and (parts[0] in _QUALIFIES or parts[-1] in _CONTENT)):
+                    names.update(parts)
             label += ("." if key == "class" else "#") + "-".join(words)
         elif key == "role":
             out |= value in _NOISE_ROLES
@@ -121,8 +129,11 @@ class Page:
         self.children: dict[int, list[str]] = {}
         self.parent: dict[int, int] = {}
         self.has_main = False
-        # open elements: tag, path, noise, in article, words to drop from the block around
-        stack: list[tuple[str, tuple[int, ...], bool, bool, bool]] = [("", (_hash(""),), False, False, False)]
+        # Named branches: whether their name is that of a discussion. Per block those it is in, and how many of them the article is in.
+        talk: list[bool] = []
+        inside: list[tuple[tuple[int, ...], int]] = []
+        # open elements: tag, path, noise, in article, words to drop from the block around, named branches, how many around the article
+        stack: list[tuple[str, tuple[int, ...], bool, bool, bool, tuple[int, ...], int]] = [("", (_hash(""),), False, False, False, (), 0)]
         held: list[str] = []
         at, end = 0, len(source)
 
@@ -131,8 +142,9 @@ class Page:
                 text = " ".join("".join(held).split())
                 held.clear()
                 if text:
-                    _, paths, noise, main, _ = stack[-1]
+                    _, paths, noise, main, _, named, around = stack[-1]
                     self.blocks.append((text, paths, noise, main))
+                    inside.append((named, around))
 
         def close(down_to: int) -> None:
             for tag, *_ in stack[down_to:]:
@@ -195,7 +207,7 @@ class Page:
                                 break
             if tag == "hr":
                 continue
-            _, paths, noise, main, drop = stack[-1]
+            _, paths, noise, main, drop, named, around = stack[-1]
             if attributes.strip(" /"):
                 known = _named_memory.get(attributes)
                 if known is None:
@@ -208,19 +220,23 @@ class Page:
             is_main = tag in _MAIN or "role-main" in names
             top = (tag == "header" or bool(names & _TOP_NAMES)) and not main
             named_noise = tag not in ("html", "body") and tag != "main" and bool(names & _NOISE_NAMES)
-            own = out or tag in _NOISE_TAGS or top or named_noise
+            own = out or tag in _NOISE_TAGS or top or (named_noise and tag not in _BLOCK)
             if tag in _RAW:
                 at = _RAW[tag].search(source, at).end()
                 continue
             if tag not in _BLOCK:
                 if not attributes.endswith("/"):
-                    stack.append((tag, paths, noise, main, drop or (own and not noise)))
+                    stack.append((tag, paths, noise, main, drop or (own and not noise), named, around))
                 continue
             noise = noise or drop or own
-            main = main or (is_main and not noise)
-            self.has_main |= main
+            if named_noise and not noise:
+                named = (*named, len(talk))
+                talk.append(bool(names & _TALK))
+            if is_main and not noise and not main:
+                main, around = True, len(named)
+            self.has_main |= main and not around
             if len(paths) >= DEPTH:
-                stack.append((tag, paths, noise, main, False))
+                stack.append((tag, paths, noise, main, False, named, around))
                 continue
             signature = tag + label
             path = _hash(f"{paths[-1]}>{signature}")
@@ -230,8 +246,37 @@ class Page:
                     kids.append(signature)
                 self.children.setdefault(path, [])
                 self.parent[path] = paths[-1]
-            stack.append((tag, (*paths, path), noise, main, False))
+            stack.append((tag, (*paths, path), noise, main, False, named, around))
         flush()
+        if talk:
+            self._settle_names(inside, talk)
+
+    def _settle_names(self, inside: list[tuple[tuple[int, ...], int]], talk: list[bool]) -> None:
+        """Cut the blocks of named branches, but not where the article or most of the text is."""
+        rows = [(i, len(b[0]), b[3]) for i, b in enumerate(self.blocks) if not b[2]]
+        total = sum(n for _, n, _ in rows)
+        free = sum(n for i, n, _ in rows if not inside[i][0])
+        keep: set[int] = set()
+        if not self.has_main:
+            articles = [(i, n) for i, n, main in rows if main]
+            if sum(n for _, n in articles) >= free:
+                # An article in a discussion counts only where there is no other.
+                quiet = [i for i, _ in articles if not any(talk[k] for k in inside[i][0][: inside[i][1]])]
+                for i in quiet or ([] if free else [i for i, _ in articles]):
+                    keep.update(inside[i][0][: inside[i][1]])
+        held = Counter()
+        for i, n, _ in rows:
+            held.update(dict.fromkeys(inside[i][0], n))
+        keep.update(k for k, n in held.items() if 2 * n > total and not talk[k])
+        left = [i for i, _, main in rows if keep.issuperset(inside[i][0]) and (main or not self.has_main)]
+        if not left:
+            # Nothing else is there: names say nothing on this page.
+            keep.update(range(len(talk)))
+        for i, (text, paths, noise, main) in enumerate(self.blocks):
+            named, around = inside[i]
+            noise = noise or not keep.issuperset(named)
+            self.blocks[i] = (text, paths, noise, main and not noise)
+            self.has_main |= main and not noise
 
     def text(self, cut: frozenset[int] | set[int] = frozenset()) -> str:
         """Blocks of the article, without branches in ``cut`` unless nothing else is there."""

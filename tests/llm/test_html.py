@@ -91,3 +91,24 @@ def test_query_against_the_articles(spark, small_dir):
         want = "\n".join(b for b in blocks if b)
         assert rows[source.page_id].text == want and rows[source.page_id].n_chars == len(want)
         assert rows[source.page_id].url == source.url
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<div class='layout with-sidebar'><article><p>x</p></article><div class=sidebar>s</div></div>", "x"),
+        ("<div class='entry has-comments'><p>x y</p></div><div class=comments>c</div>", "x y"),
+        ("<article class='post hentry category-social'><p>x</p></article><p>y</p>", "x"),
+        ("<div class='search-results'><p>x</p></div>", "x"),
+        ("<div class='related-work'><p>x</p></div>", "x"),
+        ("<div class='site-banner'><article><p>x</p><div class='share'>s</div></article></div><p>y</p>", "x"),
+        ("<article class='sponsored'><p>x</p></article>", "x"),
+        ("<div class=widget><p>most of the text</p><div class=ad>buy</div></div><p>y</p>", "most of the text\ny"),
+        ("<div class=menu>only</div><nav>n</nav>", "only"),
+        ("<article><p>x</p></article><div id=comments><article>long comment</article></div>", "x"),
+        ("<p>text here</p><div id=comments><article>c</article></div>", "text here"),
+        ("<p>x</p><div id=comments><p>long comment</p></div>", "x"),
+    ],
+)
+def test_names_do_not_cut_the_article(source, text):
+    assert hx.Page(source).text() == text
