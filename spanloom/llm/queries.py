@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, licenses, mixing, near_dedup, neighbours, packing, quality, substring, token_store, toxicity
+from . import (
+    hard_negatives,
+    html_extract,
+    licenses,
+    metric_links,
+    mixing,
+    near_dedup,
+    neighbours,
+    packing,
+    prefix_trie,
+    quality,
+    substring,
+    token_store,
+    toxicity,
+)
 from .tokens import vocabulary_path
 
 
@@ -61,6 +75,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_links.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_nearest_neighbours,
         op10_license_scan,
+        op11_embedding_near_dedup,
+        op12_hard_negatives,
+        op13_prefix_trie,
         pipeline,
     )
 }
@@ -147,5 +176,85 @@ select doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed,
 from w left join kept using (rid)
 """
 
+_FINITE = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+LINKS_SQL = f"""
+with recursive r as (
+    select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: x::double) as v,
+        {_FINITE} and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok
+    from embeddings
+), e as (
+    select a.rid as a, b.rid as b from r as a join r as b on a.ok and b.ok and a.rid <> b.rid and len(a.v) = len(b.v)
+    where list_cosine_similarity(a.v, b.v) >= {metric_links.LINK}
+), reach as (
+    select rid, rid as other from r union select reach.rid, e.b from reach join e on e.a = reach.other
+), c as (
+    select reach.rid, min(o.vec_id) as component_id from reach join r as o on o.rid = reach.other group by reach.rid
+)
+select r.vec_id, (select count(*) from e where e.a = r.rid) as n_links, component_id, coalesce(r.vec_id = component_id, false) as kept
+from r join c using (rid)
+"""
+
+_H = hard_negatives
+NEGATIVES_SQL = f"""
+with r as (
+    select vec_id, case when vec_id % {_H.RELABEL_EVERY} = 0 then (label + 1) % {_H.LABELS} else label end::bigint as label,
+        list_transform(embedding, lambda x: floor({_H.SCALE} * x::double)) as v
+    from embeddings where vec_id is not null and label is not null and {_FINITE}
+), s as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+    from r as a join r as b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % {_H.ANCHOR_EVERY} = 0
+), p as (
+    select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= {_H.POSITIVES}
+)
+select p.anchor_id, p.vec_id as positive_id,
+    (row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id))::integer as rank,
+    n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from p join s as n on n.anchor_id = p.anchor_id and not n.same
+    and {_H.LOWEST} * p.score <= 100 * n.score and 100 * n.score <= {_H.HIGHEST} * p.score
+qualify rank <= {_H.NEGATIVES}
+"""
+
+# CRC-32 bit by bit, as DuckDB has none.
+_CRC_BYTE = "list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)::bigint)), lambda a, b: {_CRC_BYTE}), 4294967295)"
+
+TRIE_SQL = rf"""
+with whole as (
+    select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first) as turns
+    from conversations where conv_id is not null group by conv_id
+), h as (
+    select conv_id, turns, ({_CRC} % {prefix_trie.HEADS})::bigint as h from whole
+), full_ as (
+    select h.conv_id, coalesce(b.turns, [])[1:h.h] || h.turns[h.h + 1:] as path
+    from h left join whole as b on b.conv_id = h.conv_id - h.conv_id % {prefix_trie.GROUP}
+), steps as (
+    select conv_id, len(path) as n, d, path[1:d] as node
+    from (select conv_id, path, unnest(range(0, len(path) + 1)) as d from full_)
+), nodes as (
+    select d, node, min(conv_id) as conv_id, count(*) as n_convs,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '')) as ends_sha256,
+        len(list_filter(regexp_split_to_array(coalesce(node[d].text, ''), '[ 	-]+'), lambda w: w <> '')) as words
+    from steps group by d, node
+), kids as (
+    select d - 1 as d, node[1:d - 1] as node, count(*) as n from nodes where d > 0 group by all
+), known as (
+    select nodes.*, coalesce(kids.n, 0) as n_children from nodes left join kids using (d, node)
+), up as (
+    select d, node, sum(leaf) as n_leaves, sum(saved) as saved_tokens from (
+        select unnest(range(0, d + 1)) as d, node as deep, (n_children = 0)::bigint as leaf, (n_convs - 1) * words as saved from known
+    ) as k, lateral (select deep[1:k.d] as node) group by d, node
+)
+select known.conv_id, known.d as depth, parent.conv_id as parent_conv_id, known.n_convs, known.n_children,
+    up.n_leaves::bigint as n_leaves, up.saved_tokens::bigint as saved_tokens, known.ends_sha256
+from known join up using (d, node) left join nodes as parent on parent.d = known.d - 1 and parent.node = known.node[1:known.d - 1]
+"""
+
 # Exact neighbours: equal to the tree's where its search is exact, so not the query's own check.
-ORACLES: dict[str, str] = {"op6_quality_rules": QUALITY_SQL, "op4_substring_dedup": SUBSTRING_SQL}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": QUALITY_SQL,
+    "op4_substring_dedup": SUBSTRING_SQL,
+    "op11_embedding_near_dedup": LINKS_SQL,
+    "op12_hard_negatives": NEGATIVES_SQL,
+    "op13_prefix_trie": TRIE_SQL,
+}
