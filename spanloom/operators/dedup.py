@@ -7,10 +7,14 @@ newcomer is kept. A replaced span changes later comparisons, so this is a fold,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.binding import let
 from ..functions.intervals import tiou
@@ -59,8 +63,8 @@ def dedup_activities(
 
     Input: ``group, pos, start, end, description``; ``pos``, a number or a struct, orders equal starts. Videos up to
     ``limit`` rows are folded inside one row each. A row without both bounds takes no part; a null
-    text counts as an empty one. Larger ones are cut into chunks that are scanned
-    in parallel (``_dedup_hot``). ``limit=None`` skips the size check.
+    text counts as an empty one. Larger ones are first cut where nothing overlaps (``_dedup_hot``),
+    and what is still too large is scanned in chunks (``_scan_long``). ``limit=None`` skips the size check.
     """
     if threshold < 0:
         raise ValueError("the threshold must not be negative")
@@ -78,10 +82,62 @@ def dedup_activities(
         "key", F.col("kept_no").cast("bigint").alias("kept_no"), "k.*"
     )
     if hot is not None:
-        out = out.unionByName(_dedup_hot(hot, threshold, n_hot, chunk_rows))
+        out = out.unionByName(_dedup_hot(hot, threshold, limit, n_hot, chunk_rows))
     return out.withColumnRenamed("key", group)
 
 
+def _stretches(pieces: DataFrame) -> DataFrame:
+    """Add ``stretch``: a new one begins where all activities before it have ended.
+
+    Nothing before such a place overlaps anything after it, so stretches are scanned independently.
+    Ends run on from chunk to chunk through one row a chunk.
+    """
+    order = W.partitionBy("key", "chunk").orderBy("start", "pos")
+    earlier = W.partitionBy("key").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    ends = pieces.groupBy("key", "chunk").agg(F.max("end").alias("last_end"))
+    carried = ends.select("key", "chunk", F.max("last_end").over(earlier).alias("carried"))
+    before = F.greatest(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("carried"))
+    marked = pieces.join(carried, ["key", "chunk"]).withColumn("begins", (before.isNull() | (F.col("start") >= before)).cast("bigint"))
+    counts = marked.groupBy("key", "chunk").agg(F.sum("begins").alias("n"))
+    offsets = counts.select("key", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    inside = F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return marked.withColumn("inside", inside).join(offsets, ["key", "chunk"]).select(
+        "key", "pos", "start", "end", "description", "chunk", (F.col("offset") + F.col("inside")).alias("stretch")
+    )
+
+
+def _dedup_hot(rows: DataFrame, threshold: float, limit: int, n_rows: int, chunk_rows: int) -> DataFrame:
+    """Exact scan of videos too large for one task: their stretches one by one, numbered in order."""
+    stretches = stash(_stretches(cut_chunks(rows, "key", [F.col("start"), F.col("pos")], n_rows, chunk_rows)), "stretches")
+    sizes = stretches.groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("at"))
+    long = stash(sizes.filter(F.col("n") > limit).withColumn("line", F.monotonically_increasing_id()), "long-stretches")
+    n_long = long.agg(F.sum("n")).first()[0]
+    item = F.struct("start", "pos", "end", "description")
+    short = stretches.join(long, ["key", "stretch"], "left_anti") if n_long else stretches
+    folded = short.groupBy("key", "stretch").agg(F.min("chunk").alias("at"), F.array_sort(F.collect_list(item)).alias("items"))
+    kept = folded.select("key", "stretch", "at", F.posexplode(_fold(F.col("items"), threshold)).alias("no", "k")).select(
+        "key", "stretch", "at", F.col("no").cast("bigint").alias("no"), "k.*"
+    )
+    if n_long:
+        lines = stretches.join(long.select("key", "stretch", "line"), ["key", "stretch"]).select(
+            F.col("line").alias("key"), "pos", "start", "end", "description"
+        )
+        scanned = _scan_long(lines, threshold, n_long, chunk_rows).withColumnRenamed("key", "line")
+        kept = kept.unionByName(
+            scanned.join(long, "line").select("key", "stretch", "at", F.col("kept_no").alias("no"), "start", "end", "description")
+        )
+    kept = stash(kept, "kept")
+    # Kept activities before each stretch: within the chunk in which it begins, and in earlier chunks.
+    counts = kept.groupBy("key", "at", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    chunks = counts.groupBy("key", "at").agg(F.sum("n").alias("n"))
+    over_chunks = W.partitionBy("key").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    over_stretches = W.partitionBy("key", "at").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.select("key", "at", F.coalesce(F.sum("n").over(over_chunks), F.lit(0)).alias("earlier"))
+    counts = counts.select("key", "at", "stretch", F.coalesce(F.sum("n").over(over_stretches), F.lit(0)).alias("before"))
+    offsets = counts.join(chunks, ["key", "at"]).select("key", "stretch", (F.col("earlier") + F.col("before")).alias("offset"))
+    return kept.join(offsets, ["key", "stretch"]).select("key", (F.col("offset") + F.col("no")).alias("kept_no"), "start", "end", "description")
+
+
 _FIELDS = ["slot", "inherited", "start", "end", "description"]
 _SCANNED = "leg int, out_no int, slot bigint, inherited boolean, start double, end double, description string"
 _OPENING = "array<struct<out_no: int, start: double, end: double, description: string>>"
@@ -113,14 +169,68 @@ def _scan_leg(threshold: float):
     return run
 
 
-def _dedup_hot(rows: DataFrame, threshold: float, n_rows: int, chunk_rows: int) -> DataFrame:
-    """Exact scan of videos too large for one task.
+def _scan_on(threshold: float, key_type: pa.DataType):
+    """Scan the rest of a video as a stream, over all borders of its chunks.
+
+    Rows come in order: what is open at the start (``role`` 0), then activities by chunk. Returns the
+    same rows as ``_scan_leg`` would for each chunk; memory holds what is open.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, leg, slot, scan = None, None, 0, None
+        out: list[tuple] = []
+
+        def tell(done: list[Kept], numbers: list[int | None]) -> None:
+            out.extend((key, leg, no, *(getattr(k, f) for f in _FIELDS)) for no, k in zip(numbers, done))
+
+        def border() -> None:
+            """End of a chunk: what is open is handed on under new numbers."""
+            nonlocal slot
+            tell(scan.live, list(range(len(scan.live))))
+            scan.live = [Kept(no, True, k.start, k.end, k.description) for no, k in enumerate(scan.live)]
+            slot = 0
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = [key_type, pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.string()]
+            names = ["key", "leg", "out_no", *_FIELDS]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("key", "role", "chunk", "out_no", "start", "end", "description"))
+            for own, role, chunk, no, start, end, description in zip(*columns):
+                if own != key:
+                    if scan is not None and leg is not None:
+                        border()
+                    key, leg, slot, scan = own, None, 0, OverlapScan(threshold)
+                if role == 0:
+                    scan.live.append(Kept(no, True, start, end, description))
+                    continue
+                if leg is not None and chunk != leg:
+                    border()
+                leg = chunk
+                done = scan.settle(start)
+                tell(done, [None] * len(done))
+                slot += scan.push(Kept(slot, False, start, end, description))
+            if out:
+                yield batch_of()
+                out.clear()
+        if scan is not None and leg is not None:
+            border()
+        if out:
+            yield batch_of()
+
+    return run
+
+
+def _scan_long(rows: DataFrame, threshold: float, n_rows: int, chunk_rows: int) -> DataFrame:
+    """Exact scan of long stretches that never pause.
 
     Chunks follow the scan order. All are scanned at once, first as if nothing was open before
     them; then the spans and texts each leaves open are handed to the next chunk, and only chunks
     whose opening state turned out different are scanned again. Once nothing changes, every chunk
     has been scanned from the true state of its predecessor, so the result is that of the one long
-    scan. Work per task is one chunk, and a state is only what overlaps the border.
+    scan. Where that takes more rounds than the chunks can be halved, a difference is running through
+    the whole stretch; the rest is then scanned in order by a stream (``_scan_on``).
     """
     pieces = cut_chunks(rows, "key", [F.col("start"), F.col("pos")], n_rows, chunk_rows)
     order = W.partitionBy("key").orderBy("leg")
@@ -133,7 +243,12 @@ def _dedup_hot(rows: DataFrame, threshold: float, n_rows: int, chunk_rows: int)
     nothing = F.array().cast(_OPENING)
     opening = legs.select("key", "leg", nothing.alias("state"))
     todo, current = opening, None
+    rounds = 1 + (-(-n_rows // chunk_rows)).bit_length()
     while current is None or not todo.isEmpty():
+        if not rounds:
+            current = _finish_in_order(pieces, current, opening, todo, threshold, schema)
+            break
+        rounds -= 1
         due = todo.select("key", F.col("leg").alias("chunk"))
         work = pieces if current is None else pieces.join(due, ["key", "chunk"], "left_semi")
         states = todo.select("key", F.col("leg").alias("chunk"), F.explode("state").alias("s"))
@@ -166,6 +281,23 @@ def _dedup_hot(rows: DataFrame, threshold: float, n_rows: int, chunk_rows: int)
     return _number_kept(current.join(legs, ["key", "leg"]), legs)
 
 
+def _finish_in_order(pieces: DataFrame, current: DataFrame, opening: DataFrame, todo: DataFrame, threshold: float, schema: str) -> DataFrame:
+    """Scanned rows with all from each key's first unsettled chunk on made anew, in order."""
+    # Chunks before the first one with another opening state were scanned from true states.
+    first = stash(todo.groupBy("key").agg(F.min("leg").alias("first")), "unsettled")
+    pos = pieces.schema["pos"].dataType
+    columns = ["key", "role", "chunk", "out_no", "pos", "start", "end", "description"]
+    state = opening.join(first, "key").filter("leg = first").select("key", F.col("leg").alias("chunk"), F.explode("state").alias("s"))
+    state = state.select("key", "chunk", "s.*").withColumns({"role": F.lit(0), "pos": F.lit(None).cast(pos)})
+    work = pieces.join(first, "key").filter("chunk >= first").withColumns({"role": F.lit(1), "out_no": F.lit(None).cast("int")})
+    ordered = state.select(*columns).unionByName(work.select(*columns)).repartition("key")
+    ordered = ordered.sortWithinPartitions("key", "role", "chunk", "out_no", "start", "pos")
+    key_type = to_arrow_type(pieces.schema["key"].dataType)
+    rest = ordered.drop("pos").mapInArrow(_scan_on(threshold, key_type), schema)
+    settled = current.join(first, "key", "left").filter("first is null or leg < first").drop("first")
+    return stash(settled.unionByName(rest), "scan")
+
+
 def _number_kept(scanned: DataFrame, legs: DataFrame) -> DataFrame:
     """Final activities with their place in kept order.
 

@@ -1,6 +1,6 @@
 """Where tables come from and go to."""
 
-from .annotations import parse_annotations, read_annotations, read_raw_annotations, to_json_lines
+from .annotations import parse_annotations, read_annotations, read_raw_annotations, to_json_lines, to_json_objects
 from .inventory import find_video_inventory, read_video_inventory
 from .sinks import write_results, write_samples, write_tables
 from .tables import read_table
@@ -13,6 +13,7 @@ __all__ = [
     "read_table",
     "read_video_inventory",
     "to_json_lines",
+    "to_json_objects",
     "write_results",
     "write_samples",
     "write_tables",

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,10 +15,10 @@ from spanloom.sources import (
     read_raw_annotations,
     read_video_inventory,
     to_json_lines,
+    to_json_objects,
     write_results,
     write_samples,
 )
-from spanloom.sources import annotations as annotations_module
 
 OBJECT = """{
  "Abuse001_x264": {"duration": 30, "timestamps": [[0, 5.3], ["4", 8.5]], "sentences": ["A", "B } ,"]},
@@ -65,10 +66,85 @@ def test_annotation_lines(spark, folder, tmp_path):
         read_raw_annotations(spark, "x", "Train", layout="other")
 
 
-def test_oversized_object_is_refused(spark, folder, monkeypatch):
-    monkeypatch.setattr(annotations_module, "MAX_OBJECT_BYTES", 10)
-    with pytest.raises(Exception, match="too large"):
-        read_annotations(spark, str(folder / "Train.json"), "Train").collect()
+@pytest.fixture
+def tiny_blocks(spark):
+    """Sessions settings that cut files into blocks of so many bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+
+    def cut(size):
+        for name, value in zip(names, (size, 1)):
+            spark.conf.set(name, value)
+
+    yield cut
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def hostile(seed, n):
+    """JSON text of an object whose keys and values are full of what JSON is made of."""
+    rng = random.Random(seed)
+
+    def text():
+        return "".join(rng.choice('a"\\{}[],:\n\té\u2028 ') for _ in range(rng.randrange(25)))
+
+    def value(depth):
+        kind = rng.randrange(6)
+        if kind == 0 and depth < 3:
+            return {text(): value(depth + 1) for _ in range(rng.randrange(3))}
+        if kind == 1 and depth < 3:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        return rng.choice([1, 2.5, None, True]) if kind == 2 else text()
+
+    items = [(text(), value(0)) for _ in range(n)]
+    items += [(items[3][0], "again"), (items[4][0], {"x": [{}]})]
+    parts = [json.dumps(k, ensure_ascii=rng.random() < 0.5) + rng.choice([":", " : "]) + json.dumps(v, ensure_ascii=False, indent=rng.choice([None, 1])) for k, v in items]
+    return "{" + rng.choice(["", "\n "]) + rng.choice([",", " ,\r\n"]).join(parts) + " }\n"
+
+
+@pytest.mark.parametrize("size", [150, 1000, 1 << 20])
+def test_objects_are_read_block_by_block(spark, tmp_path, tiny_blocks, size):
+    texts = {f"f{i}.json": hostile(i, 60) for i in range(2)}
+    for name, body in texts.items():
+        (tmp_path / name).write_text(body)
+    tiny_blocks(size)
+    for name, body in texts.items():
+        rows = read_raw_annotations(spark, str(tmp_path / name), "Train").orderBy("pos").collect()
+        data = json.loads(body)
+        assert [r["video_id"] for r in rows] == list(data)
+        for r in rows:
+            want = data[r["video_id"]]
+            assert r["raw"] == want if isinstance(want, str) else (None if r["raw"] is None else json.loads(r["raw"])) == want
+    both = read_raw_annotations(spark, str(tmp_path), "Train")
+    assert both.count() == sum(len(json.loads(b)) for b in texts.values())
+    if size == 150:
+        assert spark.read.option("lineSep", '"').text(str(tmp_path)).rdd.getNumPartitions() > 10
+
+
+def test_places_go_on_over_blocks(spark, tmp_path, tiny_blocks):
+    data = {f"v{i}": {"duration": i, "timestamps": [[0, i]], "sentences": ["x" * (i % 50)]} for i in range(400)}
+    (tmp_path / "a.json").write_text(json.dumps(data))
+    tiny_blocks(300)
+    rows = read_annotations(spark, str(tmp_path / "a.json"), "Train").orderBy("pos").collect()
+    assert [r["pos"] for r in rows] == list(range(400))
+    assert [(r["video_id"], r["duration"], r["sentences"]) for r in rows] == [(k, float(v["duration"]), v["sentences"]) for k, v in data.items()]
+
+
+def test_objects_and_what_is_none(spark, tmp_path):
+    for text, n in (("{}", 0), (" { } \n", 0), ('{"a": 1}', 1), ('{"": {}}', 1), ('{"a":{"b":"c"}, "d": "e, \\"f\\": {"}', 2)):
+        (tmp_path / "one.json").write_text(text)
+        assert read_raw_annotations(spark, str(tmp_path / "one.json"), "Train").count() == n
+    for text in ('{"a": 1', '{"a": "b}', '{"a": [1}}}'):
+        (tmp_path / "one.json").write_text(text)
+        with pytest.raises(ValueError, match="not one whole JSON object"):
+            read_raw_annotations(spark, str(tmp_path / "one.json"), "Train")
+
+
+def test_objects_written_by_spark(spark, tmp_path):
+    data = spark.createDataFrame([(f"v{i}", float(i), [[0.0, 1.0]], [f"s {i}"]) for i in range(30)], "video_id string, duration double, timestamps array<array<double>>, sentences array<string>")
+    to_json_objects(data.repartition(3)).write.text(str(tmp_path / "out"))
+    again = read_annotations(spark, str(tmp_path / "out"), "Train").select(*data.columns)
+    assert sorted(map(str, again.collect())) == sorted(map(str, data.collect()))
 
 
 def test_inventory(spark, folder):

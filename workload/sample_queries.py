@@ -24,7 +24,7 @@ from spanloom.operators.samples import (
 from spanloom.operators.windows import video_windows
 from spanloom.plans.loading import clip_samples, dense_samples
 from spanloom.shared import new_folder
-from spanloom.sources import read_annotations, to_json_lines, write_samples
+from spanloom.sources import read_annotations, to_json_lines, to_json_objects, write_samples
 
 from .registry import query
 from .views import (
@@ -40,22 +40,24 @@ from .views import (
 )
 
 
-@query(
-    "read_annotations",
+_READ_SQL = (
     ctes("rec")
     + """
 SELECT 'all' AS split, video_id, duration, CAST(len(ts) AS BIGINT) AS n_spans,
        CAST(coalesce(len(sents), -1) AS BIGINT) AS n_sentences, round(list_sum(list_transform(ts, lambda t: t[2])), 6) AS ends_total,
        md5(array_to_string(sents, chr(10))) AS sentences_md5
-FROM rec""",
+FROM rec"""
 )
-def q_read_annotations(spark, sf):
-    path = new_folder(spark, "annotation-lines")
-    # Every key comes twice; the later line holds.
+
+
+def _repeated_records(spark, sf):
+    """Every key twice; the later record holds."""
     now = records(spark, sf)
     old = now.withColumn("duration", F.lit(-1.0)).withColumn("sentences", F.array(F.lit("old")))
-    to_json_lines(old.unionByName(now)).write.text(path)
-    read = read_annotations(spark, path, "all", layout="lines")
+    return old, now
+
+
+def _shown_records(read):
     ends = F.aggregate("timestamps", F.lit(0.0), lambda acc, t: acc + t[1])
     return read.select(
         "split",
@@ -68,6 +70,28 @@ def q_read_annotations(spark, sf):
     )
 
 
+@query("read_annotations", _READ_SQL)
+def q_read_annotations(spark, sf):
+    path = new_folder(spark, "annotation-lines")
+    old, now = _repeated_records(spark, sf)
+    to_json_lines(old.unionByName(now)).write.text(path)
+    return _shown_records(read_annotations(spark, path, "all", layout="lines"))
+
+
+@query("read_annotation_objects", _READ_SQL)
+def q_read_annotation_objects(spark, sf):
+    """Files of one object each, cut into blocks that are far smaller than a file."""
+    path = new_folder(spark, "annotation-objects")
+    old, now = _repeated_records(spark, sf)
+    # A file holds all of its keys' records, the old ones first.
+    both = old.withColumn("turn", F.lit(0)).unionByName(now.withColumn("turn", F.lit(1)))
+    to_json_objects(both.repartition(2, "video_id").sortWithinPartitions("turn")).write.text(path)
+    blocks = spark.newSession()
+    blocks.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    blocks.conf.set("spark.sql.files.openCostInBytes", "1k")
+    return _shown_records(read_annotations(blocks, path, "all"))
+
+
 @query(
     "write_samples",
     ctes("rec", "recpair")
@@ -447,3 +471,28 @@ def q_dedup(spark, sf):
             "video_id", F.col("ann_pos").alias("pos"), "start", "end", F.col("sentence").alias("description")
         )
     )
+
+
+# Spans two hundred seconds longer never pause: a video is one stretch from its first to its last.
+_LONG = """, longer AS (SELECT video_id, ann_pos, start, "end" + 200 AS "end", sentence FROM valid)
+"""
+
+
+@query("dedup_without_pauses", ctes("ann", "valid") + _LONG + fold_sql("longer", "ann_pos", "sentence") + "SELECT * FROM kept")
+def q_dedup_without_pauses(spark, sf):
+    """Chunks of a few activities: open ones are handed from chunk to chunk, the last ones in order."""
+    rows = valid_annotations(spark, sf).select(
+        "video_id", F.col("ann_pos").alias("pos"), "start", (F.col("end") + 200.0).alias("end"), F.col("sentence").alias("description")
+    )
+    n = rows.count()
+    return dedup_activities(rows, limit=5, chunk_rows=max(20, n // 64))
+
+
+@query("dedup_with_pauses", DEDUP_SQL)
+def q_dedup_with_pauses(spark, sf):
+    """Every video counts as hot and is cut where nothing overlaps."""
+    rows = valid_annotations(spark, sf).select(
+        "video_id", F.col("ann_pos").alias("pos"), "start", "end", F.col("sentence").alias("description")
+    )
+    n = rows.count()
+    return dedup_activities(rows, limit=1, chunk_rows=max(20, n // 16))
