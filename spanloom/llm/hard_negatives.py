@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ MOST_REGIONS = 1024
 SAMPLE_ROWS = 4096
 LEAF = 32
 GREEDY_BLOCK = 256
+QUERY_BLOCK = 128
 _NORM_LIMIT = float(1 << 62) * (1 - 1e-9)
 _EXACT = float(1 << 53)
 
@@ -76,6 +78,20 @@ def spread(x: np.ndarray, rest: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
     return np.sqrt(np.maximum(square, 0.0))
 
 
+@dataclass
+class Node:
+    """Points to verify, and the children's centres with the radii they cover."""
+
+    rows: np.ndarray
+    ids: np.ndarray
+    labels: np.ndarray
+    points: np.ndarray
+    centres: np.ndarray
+    middles: np.ndarray
+    radii: np.ndarray
+    children: list[int]
+
+
 class CoverTree:
     """Cover tree over candidates of a shard; ``most`` is the largest squared norm of the table."""
 
@@ -85,14 +101,13 @@ class CoverTree:
         self.x, self.most = self.whole.astype(np.float64), most
         self.norm = float(np.sqrt(np.einsum("ij,ij->i", self.x, self.x).max()))
         self.rest = lift(self.x, most)
-        # A node: rows to verify, its children's centres, their covering radii, their nodes.
-        self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]] = []
+        self.nodes: list[Node] = []
         todo = [(0, np.arange(len(ids)))]
         self.nodes.append(None)
         while todo:
             at, members = todo.pop()
             if len(members) <= LEAF:
-                self.nodes[at] = (members, members[:0], np.zeros(0), [])
+                self.nodes[at] = self._node(members, [], [], [])
                 continue
             points, centres, radii, children = [], [], [], []
             groups = self._level(members)
@@ -108,8 +123,11 @@ class CoverTree:
                     children.append(len(self.nodes))
                     self.nodes.append(None)
                     todo.append((children[-1], group))
-            rows = np.concatenate(points) if points else members[:0]
-            self.nodes[at] = (rows, np.array(centres, np.int64), np.array(radii), children)
+            self.nodes[at] = self._node(np.concatenate(points) if points else members[:0], centres, radii, children)
+
+    def _node(self, rows: np.ndarray, centres: list[int], radii: list[float], children: list[int]) -> Node:
+        rows, centres = np.sort(rows), np.array(centres, np.int64)
+        return Node(rows, self.ids[rows], self.labels[rows], self.x[rows], centres, self.x[centres], np.array(radii, float), children)
 
     def _level(self, members: np.ndarray) -> list[tuple[np.ndarray, float]]:
         """Groups (centre first) of a node's members at the first level that splits them, with radii."""
@@ -147,43 +165,58 @@ class CoverTree:
             free = free[~near]
         return out
 
-    def search(self, q: np.ndarray, windows: list[tuple[int, int]], k: int, label: int, same: bool, own: int) -> list[list[tuple[int, int]]]:
-        """For each window of scores its best ``k`` (-score, id), among rows of the same or another label."""
-        qf = q.astype(np.float64)
-        q2 = float(qf @ qf)
+    def search(self, queries: np.ndarray, asked: list[tuple[list[tuple[int, int]], int, int]], k: int, same: bool) -> Iterator[list[list[tuple[int, int]]]]:
+        """For each query, and each of its windows of scores, the best ``k`` as (-score, id).
+
+        ``asked`` has a query's windows, its label and its own id; rows of the same label count, or
+        all others.
+        """
+        root = self.nodes[0]
+        for begin in range(0, len(queries), QUERY_BLOCK):
+            block = queries[begin : begin + QUERY_BLOCK].astype(np.float64)
+            # All queries open the root; from there on each takes its own way.
+            points, middles = block @ root.points.T, block @ root.middles.T
+            for n, q in enumerate(block):
+                windows, label, own = asked[begin + n]
+                yield self._descend(queries[begin + n], q, (points[n], middles[n]), windows, k, label, same, own)
+
+    def _descend(self, whole, q, first, windows, k, label, same, own) -> list[list[tuple[int, int]]]:
+        q2 = float(q @ q)
         fits = np.sqrt(q2) * self.norm < _EXACT
         margin = 1e-9 * (self.most + q2) + 1e-6
-        low = np.array([w[0] for w in windows], float)
-        high = np.array([w[1] for w in windows], float)
-        found: list[list[tuple[int, int]]] = [[] for _ in windows]
+        low, high = (np.array([w[side] for w in windows], float) for side in (0, 1))
         floor = low.copy()
+        found: list[list[tuple[int, int]]] = [[] for _ in windows]
         heap: list[tuple[float, int]] = [(-np.inf, 0)]
         while heap:
             bound, at = heapq.heappop(heap)
             if (-bound < floor - margin).all():
                 break  # no node still waiting may do better
-            rows, centres, radii, children = self.nodes[at]
-            if len(rows):
-                scores = (self.x[rows] @ qf).astype(np.int64) if fits else self.whole[rows] @ q
-                allowed = ((self.labels[rows] == label) == same) & (self.ids[rows] != own)
+            node = self.nodes[at]
+            if len(node.rows):
+                if fits:
+                    scores = first[0] if at == 0 else node.points @ q
+                else:
+                    scores = self.whole[node.rows] @ whole
+                hit = np.flatnonzero((scores >= floor.min() - margin) & (scores <= high.max() + margin))
+                hit = hit[((node.labels[hit] == label) == same) & (node.ids[hit] != own)]
+                hit = hit[np.lexsort((node.ids[hit], -scores[hit]))]
+                best, ids = -scores[hit].astype(np.int64), node.ids[hit]
                 for n, (a, b) in enumerate(windows):
-                    least = -found[n][-1][0] if len(found[n]) == k else a
-                    hit = np.flatnonzero(allowed & (scores >= max(a, least)) & (scores <= b))
-                    if len(hit) > k:
-                        best = np.lexsort((self.ids[rows[hit]], -scores[hit]))[:k]
-                        hit = hit[best]
-                    if len(hit):
-                        both = found[n] + list(zip((-scores[hit]).tolist(), self.ids[rows[hit]].tolist()))
-                        found[n] = sorted(both)[:k]
+                    at_most = int(np.searchsorted(best, -b))
+                    took = [(s, i) for s, i in zip(best[at_most : at_most + k].tolist(), ids[at_most : at_most + k].tolist()) if -s >= a]
+                    if took:
+                        found[n] = sorted(found[n] + took)[:k]
                         if len(found[n]) == k:
                             floor[n] = max(low[n], -found[n][-1][0])
-            if len(children):
-                gap = np.sqrt(np.maximum(self.most + q2 - 2 * (self.x[centres] @ qf), 0.0))
-                most = (self.most + q2 - np.maximum(gap - radii, 0.0) ** 2) / 2
-                least = (self.most + q2 - (gap + radii) ** 2) / 2
+            if len(node.children):
+                product = first[1] if at == 0 else node.middles @ q
+                gap = np.sqrt(np.maximum(self.most + q2 - 2 * product, 0.0))
+                most = (self.most + q2 - np.maximum(gap - node.radii, 0.0) ** 2) / 2
+                least = (self.most + q2 - (gap + node.radii) ** 2) / 2
                 live = ((most[:, None] >= floor - margin) & (least[:, None] <= high + margin)).any(axis=1)
                 for i in np.flatnonzero(live):
-                    heapq.heappush(heap, (-float(most[i]), children[i]))
+                    heapq.heappush(heap, (-float(most[i]), node.children[i]))
         return found
 
 
@@ -316,15 +349,17 @@ def _searched(most: dict[int, float], k: int, same: bool):
                     held = []
                 asked = batch.column("windows").slice(a, b - a).to_pylist()
                 rows: list[tuple] = []
-                for q, own, label, said in zip(v, columns["vec_id"][a:b].tolist(), columns["label"][a:b].tolist(), asked):
-                    if same:
-                        ((found),) = tree.search(q, everything, k, label, True, own)
-                        rows += [(own, None, None, -s, i) for s, i in found]
-                        continue
-                    said = [(w["positive_id"], w["positive_score"], *_window(w["positive_score"])) for w in said]
-                    said = [w for w in said if w[2] <= w[3]]
-                    for w, found in zip(said, tree.search(q, [w[2:] for w in said], k, label, False, own)):
-                        rows += [(own, w[0], w[1], -s, i) for s, i in found]
+                own, labels = (columns[c][a:b].tolist() for c in ("vec_id", "label"))
+                if same:
+                    wanted = [(everything, label, i) for label, i in zip(labels, own)]
+                    for anchor, (found,) in zip(own, tree.search(v, wanted, k, True)):
+                        rows += [(anchor, None, None, -s, i) for s, i in found]
+                else:
+                    spans = [[(w["positive_id"], w["positive_score"], *_window(w["positive_score"])) for w in said] for said in asked]
+                    spans = [[w for w in said if w[2] <= w[3]] for said in spans]
+                    wanted = [([w[2:] for w in said], label, i) for said, label, i in zip(spans, labels, own)]
+                    for anchor, said, found in zip(own, spans, tree.search(v, wanted, k, False)):
+                        rows += [(anchor, w[0], w[1], -s, i) for w, best in zip(said, found) for s, i in best]
                 if rows:
                     names = ["anchor_id", "positive_id", "positive_score", "score", "vec_id"]
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names)

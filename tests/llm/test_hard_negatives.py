@@ -92,18 +92,18 @@ def test_tree_covers_and_parts():
     tree = hn.CoverTree(np.arange(500), np.zeros(500, int), x, most)
 
     def rows_below(at):
-        rows, _, _, children = tree.nodes[at]
-        return [*rows.tolist(), *[r for c in children for r in rows_below(c)]]
+        node = tree.nodes[at]
+        return [*node.rows.tolist(), *[r for c in node.children for r in rows_below(c)]]
 
     assert sorted(rows_below(0)) == list(range(500))
     nested = 0
-    for rows, centres, radii, children in tree.nodes:
-        for centre, radius, child in zip(centres, radii, children):
+    for node in tree.nodes:
+        centres, radii = node.centres, node.radii
+        for centre, radius, child in zip(centres, radii, node.children):
             below = np.array(rows_below(child))
             assert hn.spread(tree.x, tree.rest, np.array([centre]), below).max() <= radius + 1e-6
             nested += 1
-        level = [np.array([c]) for c in centres]
-        if len(level) > 1:  # centres of one level are farther apart than any of them covers
+        if len(centres) > 1:  # centres of one level are farther apart than any of them covers
             gaps = hn.spread(tree.x, tree.rest, centres, centres) + np.eye(len(centres)) * 1e9
             assert gaps.min() >= radii.max() - 1e-6
     assert nested > 10
@@ -123,7 +123,7 @@ def test_far_nodes_are_left_out():
             return nodes[at]
 
     tree.nodes = Watched(nodes)
-    (found,) = tree.search(x[0], [(-(1 << 62), 1 << 62)], 5, 0, True, 0)
+    ((found,),) = tree.search(x[:1], [([(-(1 << 62), 1 << 62)], 0, 0)], 5, True)
     scores = x @ x[0]
     want = sorted((-int(s), i) for i, s in enumerate(scores) if i % 2 == 0 and i)[:5]
     assert found == want and len(opened) < len(nodes) / 4
