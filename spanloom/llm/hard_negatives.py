@@ -42,7 +42,7 @@ SCALE = 256
 SHARD_ROWS = 8192
 MOST_REGIONS = 1024
 SAMPLE_ROWS = 4096
-LEAF = 32
+LEAF = 64
 GREEDY_BLOCK = 256
 QUERY_BLOCK = 128
 _NORM_LIMIT = float(1 << 62) * (1 - 1e-9)
@@ -80,16 +80,21 @@ def spread(x: np.ndarray, rest: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
 
 @dataclass
 class Node:
-    """Points to verify, and the children's centres with the radii they cover."""
+    """Children's centres with the radii they cover, and the points of those that are leaves.
+
+    ``leaf`` is the child of each point; points that stand alone have the number after the last one.
+    ``children`` is -1 for a leaf.
+    """
 
     rows: np.ndarray
+    leaf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     points: np.ndarray
     centres: np.ndarray
     middles: np.ndarray
     radii: np.ndarray
-    children: list[int]
+    children: np.ndarray
 
 
 class CoverTree:
@@ -106,28 +111,30 @@ class CoverTree:
         self.nodes.append(None)
         while todo:
             at, members = todo.pop()
-            if len(members) <= LEAF:
-                self.nodes[at] = self._node(members, [], [], [])
-                continue
-            points, centres, radii, children = [], [], [], []
-            groups = self._level(members)
-            if len(groups) == 1:  # all at one place
-                points = [members]
-            else:
-                for group, radius in groups:
-                    if len(group) == 1 or radius == 0.0:
-                        points.append(group)
-                        continue
-                    centres.append(group[0])
-                    radii.append(radius)
-                    children.append(len(self.nodes))
+            alone, leaves, centres, radii, children = [], [], [], [], []
+            groups = self._level(members) if len(members) > LEAF else []
+            if len(groups) < 2:  # a leaf, or all at one place
+                alone = [members]
+            for group, radius in groups if len(groups) > 1 else []:
+                if len(group) == 1:
+                    alone.append(group)
+                    continue
+                children.append(-1)
+                if len(group) > LEAF and radius > 0.0:
+                    children[-1] = len(self.nodes)
                     self.nodes.append(None)
                     todo.append((children[-1], group))
-            self.nodes[at] = self._node(np.concatenate(points) if points else members[:0], centres, radii, children)
-
-    def _node(self, rows: np.ndarray, centres: list[int], radii: list[float], children: list[int]) -> Node:
-        rows, centres = np.sort(rows), np.array(centres, np.int64)
-        return Node(rows, self.ids[rows], self.labels[rows], self.x[rows], centres, self.x[centres], np.array(radii, float), children)
+                else:
+                    leaves.append((group, len(centres)))
+                centres.append(group[0])
+                radii.append(radius)
+            leaves += [(group, len(centres)) for group in alone]
+            rows = np.concatenate([group for group, _ in leaves]) if leaves else members[:0]
+            leaf = np.repeat(np.array([n for _, n in leaves], int), [len(group) for group, _ in leaves])
+            centres = np.array(centres, np.int64)
+            self.nodes[at] = Node(
+                rows, leaf, self.ids[rows], self.labels[rows], self.x[rows], centres, self.x[centres], np.array(radii, float), np.array(children, int)
+            )
 
     def _level(self, members: np.ndarray) -> list[tuple[np.ndarray, float]]:
         """Groups (centre first) of a node's members at the first level that splits them, with radii."""
@@ -193,12 +200,21 @@ class CoverTree:
             if (-bound < floor - margin).all():
                 break  # no node still waiting may do better
             node = self.nodes[at]
+            live = np.ones(len(node.centres) + 1, bool)
+            if len(node.centres):
+                product = first[1] if at == 0 else node.middles @ q
+                gap = np.sqrt(np.maximum(self.most + q2 - 2 * product, 0.0))
+                most = (self.most + q2 - np.maximum(gap - node.radii, 0.0) ** 2) / 2
+                least = (self.most + q2 - (gap + node.radii) ** 2) / 2
+                live[:-1] = ((most[:, None] >= floor - margin) & (least[:, None] <= high + margin)).any(axis=1)
+                for i in np.flatnonzero(live[:-1] & (node.children >= 0)):
+                    heapq.heappush(heap, (-float(most[i]), int(node.children[i])))
             if len(node.rows):
                 if fits:
                     scores = first[0] if at == 0 else node.points @ q
                 else:
                     scores = self.whole[node.rows] @ whole
-                hit = np.flatnonzero((scores >= floor.min() - margin) & (scores <= high.max() + margin))
+                hit = np.flatnonzero((scores >= floor.min() - margin) & (scores <= high.max() + margin) & live[node.leaf])
                 hit = hit[((node.labels[hit] == label) == same) & (node.ids[hit] != own)]
                 hit = hit[np.lexsort((node.ids[hit], -scores[hit]))]
                 best, ids = -scores[hit].astype(np.int64), node.ids[hit]
@@ -209,14 +225,6 @@ class CoverTree:
                         found[n] = sorted(found[n] + took)[:k]
                         if len(found[n]) == k:
                             floor[n] = max(low[n], -found[n][-1][0])
-            if len(node.children):
-                product = first[1] if at == 0 else node.middles @ q
-                gap = np.sqrt(np.maximum(self.most + q2 - 2 * product, 0.0))
-                most = (self.most + q2 - np.maximum(gap - node.radii, 0.0) ** 2) / 2
-                least = (self.most + q2 - (gap + node.radii) ** 2) / 2
-                live = ((most[:, None] >= floor - margin) & (least[:, None] <= high + margin)).any(axis=1)
-                for i in np.flatnonzero(live):
-                    heapq.heappush(heap, (-float(most[i]), node.children[i]))
         return found
 
 
