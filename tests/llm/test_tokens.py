@@ -14,12 +14,12 @@ from spanloom.llm import packing, token_store, tokens
 from spanloom.llm.queries import QUERIES
 
 WORD, BYTE = tokens.vocabulary_path(packing.VOCABULARY), tokens.vocabulary_path(token_store.VOCABULARY)
-ODD = ["", " ", "\n", "  ", "a ", "a\n", "\na", " a", "a.\nb", "it's we'll. don't,", "a  b", "xİ, y", "ΣΣ. é", "!!! a", "<|endoftext|>", "\r\n\tz", "日本 語."]
+ODD = ["", " ", "\n", "  ", "a ", "a\n", "\na", " a", "a.\nb", "it's we'll. don't,", "a  b", "xİ, y", "ΣΣ. é", "!!! a", "<|endoftext|>", "\r\n\tz", "日本 語.",
+       "x<|endoftext|>", "a <|startoftext|> b", "<|endoftext|", "a©b © c. ©", "w" * 70 + ". " + "w" * 70, "\n", "a \n", "\n.", "q. r, s.. t.,"]
 
 
 def library(path, texts, end):
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     return [own.encode(t or "", add_special_tokens=False).ids + [end] for t in texts]
 
 
@@ -36,7 +36,6 @@ def texts_for(seed, n):
 @pytest.mark.parametrize("memory", [5, 400_000])
 def test_ids_are_the_librarys(monkeypatch, memory):
     monkeypatch.setattr(tokens, "MEMORY_WORDS", memory)
-    monkeypatch.setattr(tokens, "BYTE_MEMORY_WORDS", memory)
     texts = texts_for(1, 3000)
     for _ in range(2):
         for kind, path, given in ((tokens.ByteWords, BYTE, texts), (tokens.SpacedWords, WORD, [t.encode() for t in texts])):
@@ -45,6 +44,17 @@ def test_ids_are_the_librarys(monkeypatch, memory):
             assert got == [i[:-1] for i in library(path, texts, 0)]
 
 
+def test_words_that_share_a_hash_keep_their_ids(monkeypatch):
+    """With few first hashes the second one tells words apart."""
+    whole = tokens.hash_spans
+    monkeypatch.setattr(tokens, "hash_spans", lambda *given: (whole(*given)[0] % np.uint64(7), whole(*given)[1]))
+    texts = texts_for(5, 500)
+    own = tokens.SpacedWords(WORD)
+    for _ in range(2):
+        got = [i.tolist() for a in range(0, len(texts), 50) for i in own.ids([t.encode() for t in texts[a : a + 50]])]
+        assert got == [i[:-1] for i in library(WORD, texts, 0)]
+
+
 def check_packing(rows, room):
     places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
     filled = {}
