@@ -4,6 +4,9 @@ The index has one row per frame: ``video_id, pts, is_keyframe, frame_ref``. A cl
 per slot. Instead of joining a clip with every frame in its range, each slot looks up the first
 frame at or after its lower border (an as-of join), so the work is clips x slots + frames however
 many clips overlap.
+
+Where the index is a ``FrameIndex``, clips are dealt to its buckets and the frames stay in place: only
+videos too large for one task are moved.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from ..sources.frame_index import FRAME_COLUMNS, FrameIndex
 from .hotkeys import ROW_LIMIT, chunked
 
 TAIL_SECONDS = 1.0
@@ -90,16 +94,17 @@ def _needed(clips: DataFrame, frames: DataFrame) -> DataFrame:
     """
     reach = clips.groupBy("video_id").agg((F.max("t_end") + F.lit(TAIL_SECONDS)).alias("reach"))
     return (
-        frames.select("video_id", "pts", "is_keyframe", "frame_ref")
+        frames.select(*FRAME_COLUMNS)
         .join(reach, "video_id")
         .filter(F.col("pts") <= F.col("reach"))
         .drop("reach")
     )
 
 
-def _as_of(clips: DataFrame, frames: DataFrame, n: int, limit: int | None, chunk_rows: int) -> DataFrame:
+def _as_of(clips: DataFrame, frames: DataFrame | FrameIndex, n: int, limit: int | None, chunk_rows: int) -> DataFrame:
     """Each probe with the frame it finds: the last keyframe at or before, or the next frame."""
-    frames = _needed(clips, frames)
+    stored = frames if isinstance(frames, FrameIndex) else None
+    frames = _needed(clips, stored.frames if stored else frames)
     index = frames.select(
         "video_id",
         F.col("pts").alias("t"),
@@ -107,10 +112,14 @@ def _as_of(clips: DataFrame, frames: DataFrame, n: int, limit: int | None, chunk
         F.col("is_keyframe").alias("is_key"),
         F.col("frame_ref"),
     )
-    both = _probes(clips, n).unionByName(index, allowMissingColumns=True)
-    weights = frames.select("video_id", F.lit(1).alias("w")).unionByName(
-        clips.select("video_id", F.lit(n + 1).alias("w"))
-    )
+    probes = _probes(clips, n)
+    if stored:
+        probes = probes.repartition(stored.buckets, "video_id")
+        own = stored.bounds.select("video_id", F.col("n_frames").alias("w")).join(clips.select("video_id"), "video_id", "left_semi")
+    else:
+        own = frames.select("video_id", F.lit(1).alias("w"))
+    both = probes.unionByName(index, allowMissingColumns=True)
+    weights = own.unionByName(clips.select("video_id", F.lit(n + 1).alias("w")))
     counts = weights.groupBy("video_id").agg(F.sum("w").alias("n_rows"))
     order = [F.col("t"), F.col("side"), F.col("clip_id")]
     rows, hot = chunked(both, "video_id", order, limit, chunk_rows, counts)
@@ -172,7 +181,7 @@ def source_slots(filled: Column, n: int) -> Column:
 
 def shown_frames(
     clips: DataFrame,
-    frames: DataFrame,
+    frames: DataFrame | FrameIndex,
     n_frames: int,
     limit: int | None = ROW_LIMIT,
     chunk_rows: int = ROW_LIMIT,
@@ -215,7 +224,7 @@ def shown_frames(
 
 def clip_frames(
     clips: DataFrame,
-    frames: DataFrame,
+    frames: DataFrame | FrameIndex,
     n_frames: int,
     limit: int | None = ROW_LIMIT,
     chunk_rows: int = ROW_LIMIT,
@@ -234,13 +243,16 @@ def clip_frames(
     )
 
 
-def frame_refs(clips: DataFrame, frames: DataFrame, n_frames: int) -> DataFrame:
+def frame_refs(clips: DataFrame, frames: DataFrame | FrameIndex, n_frames: int) -> DataFrame:
     """``clip_id`` with the references of its ``n_frames`` slots in one array."""
     refs = F.transform("shown", lambda s: s["frame_ref"])
     return shown_frames(clips, frames, n_frames).select("clip_id", refs.alias("frame_refs"))
 
 
-def video_durations(videos: DataFrame, frames: DataFrame) -> DataFrame:
+def video_durations(videos: DataFrame, frames: DataFrame | FrameIndex) -> DataFrame:
     """Duration of every video by its last frame; 0 where the index has none."""
-    last = frames.groupBy("video_id").agg(F.max("pts").alias("duration"))
+    if isinstance(frames, FrameIndex):
+        last = frames.bounds.select("video_id", F.col("last_pts").alias("duration"))
+    else:
+        last = frames.groupBy("video_id").agg(F.max("pts").alias("duration"))
     return videos.join(last, "video_id", "left").withColumn("duration", F.coalesce("duration", F.lit(0.0)))

@@ -23,6 +23,7 @@ from spanloom.operators.samples import (
     with_duration,
 )
 from spanloom.operators.windows import video_windows
+from spanloom.sources import open_frame_index, write_frame_index
 
 RECORD = "video_id string, duration double, timestamps array<array<double>>, sentences array<string>"
 
@@ -357,3 +358,52 @@ def test_frames_of_other_videos_stay_out(spark):
     needed = frames_module._needed(clamp_clips(clips), frames)
     assert {r["video_id"] for r in needed.select("video_id").distinct().collect()} == {"v3"}
     assert needed.agg(F.max("pts")).first()[0] == 13.0
+
+
+# --- frame index on disk -----------------------------------------------------------------------
+
+
+def above(plan, mark):
+    """For each node of a plan text that holds ``mark``: the names of the nodes above it, nearest first."""
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for n, line in enumerate(lines):
+        if mark in line:
+            names, at = [], depth[n]
+            for m in range(n - 1, -1, -1):
+                if depth[m] < at:
+                    names.append(lines[m].lstrip(" :+-"))
+                    at = depth[m]
+            yield names
+
+
+def test_clips_on_a_written_index_leave_the_frames_in_place(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"v{v}", round(rng.uniform(0, 90), 3), rng.random() < 0.2, f"{v}-{i}") for v in range(12) for i in range(80)]
+    frames = spark.createDataFrame(rows, "video_id string, pts double, is_keyframe boolean, frame_ref string")
+    clips = [(n, f"v{n % 14}", s := rng.uniform(0, 90), s + rng.uniform(0, 20)) for n in range(150)]
+    clips = spark.createDataFrame(clips, "clip_id long, video_id string, start double, end double")
+    write_frame_index(frames, str(tmp_path / "index"), buckets=8)
+    index = open_frame_index(spark, str(tmp_path / "index"))
+    again = open_frame_index(spark, str(tmp_path / "index"))
+    assert sorted(map(tuple, again.frames.collect())) == sorted(rows)
+
+    lengths = video_durations(clips, index)
+    want = video_durations(clips, frames)
+    assert sorted(map(tuple, lengths.collect())) == sorted(map(tuple, want.collect()))
+    assert "is_keyframe" not in lengths._jdf.queryExecution().executedPlan().toString()
+
+    shown = clip_frames(lengths, index, 4)
+    assert sorted(map(str, shown.collect())) == sorted(map(str, clip_frames(want, frames, 4).collect()))
+    assert sorted(map(str, clip_frames(lengths, index, 4, limit=100, chunk_rows=90).collect())) == sorted(map(str, shown.collect()))
+    # As for tables too large to be sent around.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ancestors = list(above(plan_of(clip_frames(lengths, index, 4)), "Bucketed: true"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ancestors
+    for names in ancestors:
+        inside = names[: next(n for n, name in enumerate(names) if name.startswith("Window"))]
+        assert not [name for name in inside if "Exchange" in name]

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.frames import clamp_clips, clip_frames, video_durations
 from spanloom.operators.samples import sample_n
+from spanloom.shared import new_folder
+from spanloom.sources import open_frame_index, write_frame_index
 
 from .registry import query
 from .views import ctes, frames, table, valid_annotations, video_name
@@ -53,6 +55,20 @@ SELECT src.clip_id, CAST(i AS BIGINT) AS slot, pts, frame_ref, pts IS NULL AS is
 FROM src LEFT JOIN filled f ON f.clip_id = src.clip_id AND f.slot = src.s"""
 
 
+def _index(spark, sf):
+    path = new_folder(spark, "frame-index")
+    write_frame_index(frames(spark, sf), path, buckets=16)
+    return open_frame_index(spark, path)
+
+
+@query("clip_frames_by_index", _frames_sql(4))
+def q_clip_frames_by_index(spark, sf):
+    """Lengths from the bounds of a written index, frames from its buckets."""
+    index = _index(spark, sf)
+    clips = valid_annotations(spark, sf).select(F.col("ann_pos").alias("clip_id"), "video_id", "start", "end")
+    return clip_frames(video_durations(clips, index), index, 4).withColumn("slot", F.col("slot").cast("bigint"))
+
+
 @query("clip_frames", _frames_sql(4))
 def q_clip_frames(spark, sf):
     shown = clip_frames(_clips(spark, sf), frames(spark, sf), 4)
