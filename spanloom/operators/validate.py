@@ -36,6 +36,7 @@ def _fields(records: DataFrame) -> DataFrame:
             ),
         )
         .withColumn("spans", F.from_json(F.col("fields")["timestamps"], "array<string>"))
+        .withColumn("pairs", F.from_json(F.col("fields")["timestamps"], "array<array<string>>"))
         .withColumn("texts", F.from_json(F.col("fields")["sentences"], "array<string>"))
     )
 
@@ -55,11 +56,20 @@ def examine(records: DataFrame) -> DataFrame:
     numbers (or numeric strings). JSON text held in a string counts as what it holds. Lengths are
     compared where both fields are lists.
     """
-    # A span may be anything, so each is parsed from its own text.
+    # Spans are parsed all at once; where one of them is no list, each from its own text.
+    fields = _fields(records).withColumn(
+        "all_lists",
+        F.coalesce((F.size("pairs") == F.size("spans")) & ~F.exists("pairs", lambda p: p.isNull()), F.lit(False)),
+    )
     item = F.transform(
-        "spans", lambda s, i: F.struct(s.alias("text"), F.from_json(s, "array<string>").alias("pair"), i.alias("i"))
+        "spans",
+        lambda s, i: F.struct(
+            s.alias("text"),
+            F.when(F.col("all_lists"), F.get(F.col("pairs"), i)).otherwise(F.from_json(s, "array<string>")).alias("pair"),
+            i.alias("i"),
+        ),
     )
-    parsed = _fields(records).withColumn("items", item)
+    parsed = fields.withColumn("items", item)
 
     def issue(kind: str, no: int, item: Column, message: Column) -> Column:
         return F.struct(
@@ -131,8 +141,13 @@ def split_counts(records: DataFrame) -> DataFrame:
     return counts_of(examine(records))
 
 
-def category_counts(inventory: DataFrame) -> DataFrame:
-    return inventory.groupBy("category").agg(F.count(F.lit(1)).alias("videos"))
+def category_counts(inventory: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """Videos per category; a listing of ``categories`` adds those that have none."""
+    found = inventory.groupBy("category").agg(F.count(F.lit(1)).alias("videos"))
+    if categories is None:
+        return found
+    every = categories.select("category").distinct().join(found, "category", "full")
+    return every.select("category", F.coalesce("videos", F.lit(0)).cast("bigint").alias("videos"))
 
 
 def expected_counts(df: DataFrame, expected: Mapping[str, Mapping[str, int]] = EXPECTED_COUNTS) -> DataFrame:
@@ -169,7 +184,11 @@ def issue_report(issues: DataFrame, k: int = ISSUES_SHOWN) -> DataFrame:
 
 def split_status(checked: DataFrame, issues: DataFrame) -> DataFrame:
     """Status of each split: ``OK``, ``WARN`` or ``MISSING``."""
-    totals = issues.groupBy("split").agg(F.count(F.lit(1)).alias("n_issues"))
+    return status_of(checked, issues.groupBy("split").agg(F.count(F.lit(1)).alias("n_issues")))
+
+
+def status_of(checked: DataFrame, totals: DataFrame) -> DataFrame:
+    """``split_status`` for issues that were counted before: ``split, n_issues``."""
     fine = F.col("videos_ok") & F.col("annotations_ok") & (F.col("n_issues") == 0)
     return (
         checked.join(totals, "split", "left")

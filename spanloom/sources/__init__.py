@@ -2,7 +2,7 @@
 
 from .annotations import parse_annotations, read_annotations, read_raw_annotations, to_json_lines, to_json_objects
 from .frame_index import FrameIndex, open_frame_index, write_frame_index
-from .inventory import find_video_inventory, read_video_inventory
+from .inventory import find_video_inventory, read_video_categories, read_video_inventory
 from .sinks import write_results, write_samples, write_tables
 from .tables import read_table
 
@@ -14,6 +14,7 @@ __all__ = [
     "read_annotations",
     "read_raw_annotations",
     "read_table",
+    "read_video_categories",
     "read_video_inventory",
     "to_json_lines",
     "to_json_objects",

@@ -13,6 +13,7 @@ from spanloom.sources import (
     find_video_inventory,
     read_annotations,
     read_raw_annotations,
+    read_video_categories,
     read_video_inventory,
     to_json_lines,
     to_json_objects,
@@ -224,3 +225,48 @@ def test_malformed_fields_are_reported(spark):
         "v2: invalid timestamp [2, 1]",
         "v3: missing required fields",
     ]
+
+
+def test_results_are_published_together_or_not_at_all(spark, tmp_path):
+    rows = spark.range(3)
+    bad = rows.select(F.raise_error(F.lit("broken summary")).cast("int").alias("n"))
+    out = tmp_path / "results"
+    with pytest.raises(Exception, match="broken summary"):
+        write_results(rows, bad, str(out))
+    assert list(tmp_path.iterdir()) == []
+    write_results(rows, rows.limit(1), str(out))
+    assert sorted(p.name for p in out.iterdir()) == ["rows", "summary"]
+    with pytest.raises(FileExistsError):
+        write_results(rows, rows.limit(1), str(out))
+    with pytest.raises(Exception, match="broken summary"):
+        write_results(spark.range(9), bad, str(out), "overwrite")
+    assert spark.read.json(str(out / "rows")).count() == 3  # the older result is still whole
+    write_results(spark.range(9), rows.limit(1), str(out), "overwrite")
+    assert spark.read.json(str(out / "rows")).count() == 9
+    assert [p.name for p in tmp_path.iterdir()] == ["results"]
+    with pytest.raises(ValueError):
+        write_results(rows, rows, str(out), "append")
+
+
+def test_totals_are_counted_on_the_way(spark, tmp_path):
+    samples = spark.createDataFrame([("a", [1, 2]), ("b", []), ("b", [3])], "split string, annotations array<int>")
+    totals = write_samples(samples, str(tmp_path / "s"), array="annotations")
+    assert [tuple(r) for r in totals.collect()] == [(3, 3)]
+    assert [tuple(r) for r in write_samples(samples.limit(0), str(tmp_path / "none"), array="annotations").collect()] == [(0, 0)]
+
+
+def test_empty_category_folders_are_seen(spark, folder):
+    (folder / "videos" / "Vandalism").mkdir()
+    found = verify_folder(spark, {"Train": str(folder / "Train.json")}, str(folder / "videos"))
+    assert {r["category"]: r["videos"] for r in found.categories.collect()} == {"Abuse": 2, "Arson": 1, "Vandalism": 0}
+    names = read_video_categories(spark, str(folder / "videos"))
+    assert [r["category"] for r in names.orderBy("category").collect()] == ["Abuse", "Arson", "Vandalism"]
+
+
+def test_verification_reads_records_once(spark, folder):
+    found = verify_folder(spark, {"Train": str(folder / "Train.json"), "Val": str(folder / "none.json")}, str(folder / "videos"))
+    status = {r["split"]: r for r in found.status.collect()}
+    assert status["Train"]["n_issues"] == found.issues.count() == 4
+    assert (status["Train"]["videos"], status["Train"]["annotations"]) == (4, 5)
+    assert [status[s]["status"] for s in ("Train", "Val", "Test")] == ["WARN", "MISSING", "MISSING"]
+    assert "FileScan" not in found.status._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.chat import dense_response
 from spanloom.operators.evaluate import score_spans, side_by_side, summarize
 from spanloom.operators.generate import generate, generate_models, generate_side_by_side, resolve_model
-from spanloom.operators.runlog import metric_points
+from spanloom.operators.runlog import append_new_points, metric_points
 from spanloom.operators.samples import group_by_video
 from spanloom.operators.textmetrics import bleu4, hashed_embedder, rouge_l
 from spanloom.plans.detection import (
@@ -390,14 +390,14 @@ def q_union_windows(spark, sf):
     )
 
 
-@query(
-    "metric_points",
-    r"""
+_POINTS_SQL = r"""
 SELECT user_id AS run_id, event_id AS step, 'value' AS key, value FROM events
-UNION ALL SELECT user_id, event_id, 'k', CAST(regexp_extract(props, '(\d+)', 1) AS DOUBLE) FROM events""",
-)
-def q_metric_points(spark, sf):
-    logs = table(spark, sf, "events").select(
+UNION ALL SELECT user_id, event_id, 'k', CAST(regexp_extract(props, '(\d+)', 1) AS DOUBLE) FROM events"""
+
+
+def run_logs(spark, sf):
+    """Events as training logs: numbers and a word."""
+    return table(spark, sf, "events").select(
         F.col("user_id").alias("run_id"),
         F.col("event_id").alias("step"),
         F.create_map(
@@ -408,5 +408,20 @@ def q_metric_points(spark, sf):
             F.lit("k"),
             F.regexp_extract("props", r"(\d+)", 1),
         ).alias("logs"),
+        F.col("ts").cast("timestamp").alias("at"),
     )
-    return metric_points(logs)
+
+
+@query("metric_points", _POINTS_SQL)
+def q_metric_points(spark, sf):
+    return metric_points(run_logs(spark, sf))
+
+
+@query("append_new_points", _POINTS_SQL)
+def q_append_new_points(spark, sf):
+    """Half of the log, then all of it."""
+    path = new_folder(spark, "points")
+    points = metric_points(run_logs(spark, sf))
+    append_new_points(points.filter("step % 2 = 0"), path)
+    append_new_points(points, path)
+    return spark.read.parquet(path)

@@ -252,6 +252,17 @@ def q_sample_totals(spark, sf):
     return sample_totals(video_samples(complete_records(spark, sf)))
 
 
+@query(
+    "sample_totals_on_write",
+    VIDEO_SAMPLE_SQL
+    + """
+SELECT CAST(count(DISTINCT video_id) AS BIGINT) AS n_videos, CAST(count(*) AS BIGINT) AS n_annotations FROM kept""",
+)
+def q_sample_totals_on_write(spark, sf):
+    """Totals that are counted while the samples are written."""
+    return write_samples(video_samples(complete_records(spark, sf)), new_folder(spark, "samples"), array="annotations")
+
+
 @query(
     "tiou_with_next_clip",
     ctes("ann", "valid")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanloom.operators.runlog import stream_points
 from spanloom.shared import new_folder
 from spanloom.streaming.dedup import dedup_stream
 from spanloom.streaming.scoring import append_scores, publish_summary, read_predictions, read_summary
 
-from .evaluation_queries import _SUMMARY, _shown
+from .evaluation_queries import _POINTS_SQL, _SUMMARY, _shown, run_logs
 from .registry import query
 from .sample_queries import DEDUP_SQL
 from .views import ctes, predictions, valid_annotations
@@ -82,3 +83,15 @@ def q_stream_dedup(spark, sf):
         .option("checkpointLocation", new_folder(spark, "progress"))
     )
     return spark.read.parquet(out)
+
+
+@query("stream_metric_points", _POINTS_SQL)
+def q_stream_metric_points(spark, sf):
+    """A log of which every file is delivered twice."""
+    feed, out = new_folder(spark, "logs"), new_folder(spark, "points")
+    logs = run_logs(spark, sf)
+    for _ in range(2):
+        logs.repartition(4, "step").write.mode("append").parquet(feed)
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 3).parquet(feed)
+    _finish(stream_points(stream, out, new_folder(spark, "progress"), "at", "1000 days"))
+    return spark.read.parquet(out).drop("at")

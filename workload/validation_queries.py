@@ -15,8 +15,12 @@ from spanloom.operators.validate import (
     verdict,
 )
 
+from spanloom.plans.verification import verify_records
+from spanloom.shared import new_folder
+from spanloom.sources import read_video_categories, read_video_inventory
+
 from .registry import query
-from .views import ctes, dirty_records, inventory, raw_records
+from .views import ctes, dirty_records, inventory, raw_records, table
 
 # Two real splits with a right and a wrong expectation are made from the data; one split is not there.
 _ISSUES = ctes("rec") + """
@@ -131,3 +135,40 @@ def q_verdict(spark, sf):
 )
 def q_categories(spark, sf):
     return category_counts(inventory(spark, sf))
+
+
+@query(
+    "category_folders",
+    """
+SELECT n_name AS category, CAST(count(s_suppkey) AS BIGINT) AS videos FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1
+UNION ALL SELECT r_name, CAST(0 AS BIGINT) FROM region""",
+)
+def q_category_folders(spark, sf):
+    """A tree of folders: suppliers are videos in their nation's folder, regions are folders without any."""
+    root = new_folder(spark, "videos")
+    suppliers = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").cast("string").alias("video"))
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    files = nations.join(suppliers, "n_nationkey", "left").select(F.concat_ws("/", "n_name", F.concat("video", F.lit("_x264.mp4"))).alias("path"))
+    folders = table(spark, sf, "region").select(F.col("r_name").alias("path"))
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    store = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in files.union(folders).toLocalIterator():
+        if r["path"].endswith(".mp4"):
+            with_bytes = store.create(at(f"{root}/{r['path']}"))
+            with_bytes.write(1)  # Spark's listing passes over empty files
+            with_bytes.close()
+        else:
+            store.mkdirs(at(f"{root}/{r['path']}"))
+    return category_counts(read_video_inventory(spark, root), read_video_categories(spark, root))
+
+
+@query(
+    "verify_records",
+    _CHECK_SQL + "SELECT split, videos, annotations, n_issues, status, (SELECT bool_and(status = 'OK') FROM status) AS is_valid FROM status",
+)
+def q_verify_records(spark, sf):
+    """The whole verification: one pass over the records."""
+    found = verify_records(raw_records(spark, sf), inventory(spark, sf), _EXPECTED)
+    return found.status.crossJoin(F.broadcast(found.verdict.select("is_valid"))).select(
+        "split", "videos", "annotations", "n_issues", "status", "is_valid"
+    )
