@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.binding import let
+from ..functions.binding import each, let
 from ..functions.intervals import tiou
 from ..functions.overlap import Kept, OverlapScan
 from ..shared import stash
@@ -78,7 +78,7 @@ def dedup_activities(
     cool, hot, n_hot = split_hot(rows, "key", limit)
     item = F.struct("start", "pos", "end", "description")
     folded = cool.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    out = folded.select("key", F.posexplode(_fold(F.col("items"), threshold)).alias("kept_no", "k")).select(
+    out = each(folded, _fold(F.col("items"), threshold), "k", "kept_no").select(
         "key", F.col("kept_no").cast("bigint").alias("kept_no"), "k.*"
     )
     if hot is not None:
@@ -115,7 +115,7 @@ def _dedup_hot(rows: DataFrame, threshold: float, limit: int, n_rows: int, chunk
     item = F.struct("start", "pos", "end", "description")
     short = stretches.join(long, ["key", "stretch"], "left_anti") if n_long else stretches
     folded = short.groupBy("key", "stretch").agg(F.min("chunk").alias("at"), F.array_sort(F.collect_list(item)).alias("items"))
-    kept = folded.select("key", "stretch", "at", F.posexplode(_fold(F.col("items"), threshold)).alias("no", "k")).select(
+    kept = each(folded, _fold(F.col("items"), threshold), "k", "no").select(
         "key", "stretch", "at", F.col("no").cast("bigint").alias("no"), "k.*"
     )
     if n_long:

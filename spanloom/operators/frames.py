@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
+from ..functions.binding import each, let
 from ..sources.frame_index import FRAME_COLUMNS, FrameIndex
 from .hotkeys import ROW_LIMIT, chunked
 
@@ -231,14 +231,13 @@ def clip_frames(
 ) -> DataFrame:
     """``shown_frames`` as ``n_frames`` rows per clip."""
     return (
-        shown_frames(clips, frames, n_frames, limit, chunk_rows)
-        .select("clip_id", F.posexplode("shown").alias("slot", "shown"))
+        each(shown_frames(clips, frames, n_frames, limit, chunk_rows), F.col("shown"), "frame", "slot")
         .select(
             "clip_id",
             "slot",
-            F.col("shown.pts").alias("pts"),
-            F.col("shown.frame_ref").alias("frame_ref"),
-            F.col("shown.pts").isNull().alias("is_blank"),
+            F.col("frame.pts").alias("pts"),
+            F.col("frame.frame_ref").alias("frame_ref"),
+            F.col("frame.pts").isNull().alias("is_blank"),
         )
     )
 

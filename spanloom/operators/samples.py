@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binding import each
 from ..functions.intervals import (
     DEFAULT_DURATION,
     DURATION_CAP,
@@ -43,7 +44,7 @@ def explode_annotations(records: DataFrame) -> DataFrame:
     """One row per (span, sentence) pair of a record; a span without a sentence is left out."""
     pairs = pair_annotations(F.col("timestamps"), F.col("sentences"))
     rest = [c for c in records.columns if c not in ("timestamps", "sentences")]
-    return records.select(*rest, F.explode(pairs).alias("p")).select(
+    return each(records, pairs, "p").select(
         *rest,
         F.col("p.pos").alias("ann_pos"),
         F.col("p.start").alias("start"),

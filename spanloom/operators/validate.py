@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binding import each
 from ..functions.text import to_double
 
 REQUIRED_FIELDS = ("duration", "timestamps", "sentences")
@@ -57,19 +58,11 @@ def examine(records: DataFrame) -> DataFrame:
     compared where both fields are lists.
     """
     # Spans are parsed all at once; where one of them is no list, each from its own text.
-    fields = _fields(records).withColumn(
-        "all_lists",
-        F.coalesce((F.size("pairs") == F.size("spans")) & ~F.exists("pairs", lambda p: p.isNull()), F.lit(False)),
-    )
-    item = F.transform(
-        "spans",
-        lambda s, i: F.struct(
-            s.alias("text"),
-            F.when(F.col("all_lists"), F.get(F.col("pairs"), i)).otherwise(F.from_json(s, "array<string>")).alias("pair"),
-            i.alias("i"),
-        ),
-    )
-    parsed = fields.withColumn("items", item)
+    alone = F.transform("spans", lambda s: F.struct(s.alias("spans"), F.from_json(s, "array<string>").alias("pairs")))
+    all_lists = F.coalesce((F.size("pairs") == F.size("spans")) & ~F.exists("pairs", lambda p: p.isNull()), F.lit(False))
+    paired = F.when(all_lists, F.arrays_zip("spans", "pairs")).otherwise(alone)
+    item = F.transform(paired, lambda s, i: F.struct(s["spans"].alias("text"), s["pairs"].alias("pair"), i.alias("i")))
+    parsed = _fields(records).withColumn("items", item)
 
     def issue(kind: str, no: int, item: Column, message: Column) -> Column:
         return F.struct(
@@ -120,9 +113,7 @@ def examine(records: DataFrame) -> DataFrame:
 
 def issues_of(examined: DataFrame) -> DataFrame:
     """One row per issue: ``split, pos, video_id, kind, kind_no, item, message``."""
-    return examined.select("split", "pos", "video_id", F.explode("issues").alias("issue")).select(
-        "split", "pos", "video_id", "issue.*"
-    )
+    return each(examined, F.col("issues"), "issue").select("split", "pos", "video_id", "issue.*")
 
 
 def counts_of(examined: DataFrame) -> DataFrame:

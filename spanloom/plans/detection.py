@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import each
 from ..functions.chat import dense_prompt, messages, render_chat, video_metadata, window_prompt
 from ..functions.intervals import DURATION_CAP, effective_end
 from ..functions.parse import parse_activities, shift_activities
@@ -90,16 +91,14 @@ def detect_single_pass(
         dense_prompt().alias("prompt_text"),
     )
     texts = _captioned(spans, frames, captioner, n_frames)
-    parsed = texts.select("video_id", F.posexplode(parse_activities(F.col("raw_output"))).alias("kept_no", "a"))
+    parsed = each(texts.select("video_id", "raw_output"), parse_activities(F.col("raw_output")), "a", "kept_no")
     activities = parsed.select("video_id", F.col("kept_no").cast("bigint").alias("kept_no"), "a.*")
     return Detection(activities, texts.select("video_id", "duration", "raw_output"))
 
 
 def union_windows(records: DataFrame) -> DataFrame:
     """Activities of all windows of a video in long form, ``pos`` giving window and line order."""
-    return records.select(
-        "video_id", "window_idx", F.posexplode("activities").alias("line", "a")
-    ).select(
+    return each(records.select("video_id", "window_idx", "activities"), F.col("activities"), "a", "line").select(
         "video_id",
         F.struct(F.col("window_idx").cast("bigint").alias("window_idx"), F.col("line").cast("bigint").alias("line")).alias("pos"),
         "a.start",

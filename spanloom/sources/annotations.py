@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binding import each
 from ..functions.text import to_double
 from ..shared import stash
 
@@ -47,13 +48,12 @@ def _entries(text: Column) -> Column:
 
 def _read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Records of objects of a few keys a line; repeated keys are settled over all files by path."""
-    entries = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.explode(_entries(F.col("value"))).alias("e"),
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
+    entries = each(lines, _entries(F.col("value")), "e")
     # The numbers grow along a file's block; blocks and files are put in order by their own names.
-    numbered = stash(entries.withColumn("pos", F.monotonically_increasing_id()), "annotation-lines")
+    numbered = stash(entries.drop("value").withColumn("pos", F.monotonically_increasing_id()), "annotation-lines")
     at = F.struct("source", "block", "pos").alias("at")
     settled = _settled(numbered.select(at, F.col("e.key").alias("video_id"), F.col("e.value").alias("raw")), ["video_id"])
     return settled.select(F.col("at.pos").alias("pos"), "video_id", "raw")
@@ -240,7 +240,7 @@ def _read_objects(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # Between the quote before the key and the one of the next key: key, value and a comma, or the last bracket.
     body = F.rtrim(F.expr("left(text, length(text) - 1)"), F.lit(_BLANK))
     entry = F.concat(F.lit('{"'), F.left(body, F.length(body) - 1), F.lit("}"))
-    parsed = whole.select("file", "at", F.explode(_entries(entry)).alias("e"))
+    parsed = each(whole, _entries(entry), "e")
     entries = parsed.select("file", "at", F.col("e.key").alias("video_id"), F.col("e.value").alias("raw"))
     settled = _settled(entries, ["file", "video_id"])
     return settled.select(F.col("at").cast("bigint").alias("pos"), "video_id", "raw")
