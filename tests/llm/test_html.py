@@ -112,3 +112,51 @@ def test_query_against_the_articles(spark, small_dir):
 )
 def test_names_do_not_cut_the_article(source, text):
     assert hx.Page(source).text() == text
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<article><p>a</p><p class='social'>b</p><h2 id='search'>c</h2></article>", "a\nb\nc"),
+        ("<article><p>a</p><section id='comments-on-war'><p>b</p></section><div class='notice-of-sale'>c</div></article>", "a\nb\nc"),
+        ("<article><p>a</p><p class='ad'>b</p><p class='comment'>c</p><div class='social'>d</div></article>", "a"),
+        ("<div><p>the long text of this page</p><p>and more of it</p></div><article>one</article><article>two</article>", "the long text of this page\nand more of it"),
+        ("<p>short</p><article>the first long article</article><article>the second long article</article>", "the first long article\nthe second long article"),
+    ],
+)
+def test_names_and_articles_by_their_text(source, text):
+    assert hx.Page(source).text() == text
+
+
+@pytest.mark.parametrize(
+    "piece", ["<a ", "<p '", "</b ", "<b '>'", "<b><div>", "<div></p>", "<i></b>", "<li><div></ul>", "<div><li></li>", "<!", "</script ", "<p class=a", "&", "<p a='\">"]
+)
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    half, whole = ("<script>" if "script" in piece else "") + piece * (400_000 // len(piece)), piece * (2_000_000 // len(piece))
+    begin = time.process_time()
+    hx.Page(half, styles=True).text()
+    one = time.process_time() - begin
+    begin = time.process_time()
+    hx.Page(whole, styles=True).text()
+    assert time.process_time() - begin < max(20 * one, 30)
+
+
+def test_deep_pages_keep_apart_what_is_deep_down(spark):
+    """Entropy sees branches at any depth."""
+    rows = []
+    for i in range(12):
+        inner = f"<div class='s{i}'><p>Story {i} of the day</p></div><div class='zone'><p>Same words</p></div>"
+        rows.append(page(i, "<div>" * 60 + inner + "</div>" * 60, "deep.example"))
+    got = hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Story {i} of the day" for i in range(12)}
+
+
+def test_small_hosts_lose_what_all_their_pages_share(spark):
+    rows = [page(i, f"<div class='a{i}'><p>A story of some length, number {i}</p></div><div class='zone'><p>Same words</p></div>", "three.example") for i in range(3)]
+    copies = "<div class='top'><p>A story that stands on two pages of its host</p></div>"
+    rows += [page(10 + i, copies + f"<p>printed as {i}</p>", "two.example") for i in range(2)]
+    got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == [f"A story of some length, number {i}" for i in range(3)]
+    assert [got[10 + i] for i in range(2)] == [f"A story that stands on two pages of its host\nprinted as {i}" for i in range(2)]
