@@ -40,7 +40,7 @@ ROUNDS = 3
 LEAST_COUNT = 24
 BLOCK_IDS = 1 << 21
 SHARD_BYTES = 16 << 20
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 3 << 20
 _CELL_BITS = 19
 _MAGIC = b"SLRP"
 _HEAD = struct.Struct("<4sIII")

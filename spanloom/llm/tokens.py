@@ -11,7 +11,6 @@ looks for these before anything else.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,12 +25,17 @@ LONGEST = 64
 JOINED = 64
 
 _encoders: dict[str, "_Encoder"] = {}
-# White space that is not one single space or line feed between words.
-_UNEVEN = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]|[ \n][ \n]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
+# White space other than space and line feed: single bytes, and longer ones by their first bytes and the range of the last.
+_CONTROL = np.zeros(256, bool)
+_CONTROL[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_WIDE = (
+    (b"\xc2", 0x85, 0x85), (b"\xc2", 0xA0, 0xA0), (b"\xe1\x9a", 0x80, 0x80), (b"\xe2\x80", 0x80, 0x8A), (b"\xe2\x80", 0xA8, 0xA9),
+    (b"\xe2\x80", 0xAF, 0xAF), (b"\xe2\x81", 0x9F, 0x9F), (b"\xe3\x80", 0x80, 0x80),
+)
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -167,7 +171,9 @@ class _Encoder:
         sizes = ends - starts
         # Letters and the mark after them are cut apart by both vocabularies.
         last = buffer[ends - 1]
-        marked = (sizes > 1) & (self.marks[last] > 0) & _LETTER[buffer[ends - 2]]
+        before = buffer[ends - 2]
+        latin = (buffer[ends - 3] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (sizes > 2)
+        marked = (sizes > 1) & (self.marks[last] > 0) & (_LETTER[before] | latin)
         sizes = sizes - marked
         short = sizes <= LONGEST
         a, b = hash_spans(buffer, starts, np.minimum(sizes, LONGEST), spaced.astype(np.uint64))
@@ -212,6 +218,26 @@ def _spans(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return buffer, starts, ends, np.searchsorted(np.cumsum(sizes), starts, side="right")
 
 
+def _uneven(buffer: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the joined texts with white space that is not one space or line feed between words."""
+    plain = (buffer == 32) | (buffer == 10)
+    pair = plain[:-1] & plain[1:]
+    ends = np.cumsum(sizes) - 1  # of the line feeds that join the texts
+    joints = ends[:-1]
+    pair[joints[joints < len(pair)]] = False
+    pair[joints[joints > 0] - 1] = False
+    found = [np.flatnonzero(_CONTROL[buffer]), np.flatnonzero(pair)]
+    high = np.flatnonzero(buffer >= 0xC2)
+    for lead, low, most in _WIDE:
+        at = high[buffer[high] == lead[0]]
+        at = at[at + len(lead) < len(buffer)]
+        for n, byte in enumerate(lead[1:], 1):
+            at = at[buffer[at + n] == byte]
+        tail = buffer[at + len(lead)]
+        found.append(at[(tail >= low) & (tail <= most)])
+    return np.unique(np.searchsorted(ends, np.concatenate(found)))
+
+
 def _cut(ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
     """Ids of each of ``n`` texts out of those of their words."""
     ends = np.cumsum(np.bincount(owner, sizes, n).astype(np.int64))
@@ -263,7 +289,7 @@ class ByteWords(_Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.tails = {" ": self.one(" "), "\n": self.one("\n")}
+        self.tails = {b" ": self.one(" "), b"\n": self.one("\n")}
 
     def joined(self, words: list[str]) -> str:
         return "\n" + "\n".join(words)
@@ -271,16 +297,17 @@ class ByteWords(_Encoder):
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
-        whole = [n for n, t in enumerate(texts) if _UNEVEN.search(t) or ("<|" in t and self.has_added(t))]
-        given = list(texts)
+        given = [t.encode() for t in texts]
+        size = np.fromiter(map(len, given), np.int64, len(given)) + 1
+        whole = _uneven(np.frombuffer(b"\n".join(given), np.uint8), size).tolist()
+        whole += [n for n, t in enumerate(texts) if "<|" in t and self.has_added(t) and n not in set(whole)]
         for n in whole:
-            given[n] = ""
-        buffer, starts, ends, owner = _spans([t.encode() for t in given])
+            given[n], size[n] = b"", 1
+        buffer, starts, ends, owner = _spans(given)
         if len(starts):
             before = buffer[np.maximum(starts - 1, 0)]
-            head = np.diff(owner, prepend=-1) != 0  # the first word of a text may have nothing before it
-            size = np.fromiter((len(t.encode()) for t in given), np.int64, len(given)) + 1
-            head &= starts == (np.cumsum(size) - size)[owner]
+            # The first word of a text may have nothing before it.
+            head = starts == (np.cumsum(size) - size)[owner]
             spaced = (before == 32) & ~head
             fed = (before == 10) & ~head
             ids, sizes = self.words(buffer, starts, ends, spaced)
@@ -293,7 +320,7 @@ class ByteWords(_Encoder):
             ids, sizes = np.zeros(0, self.kind), np.zeros(0, np.int64)
         out = _cut(ids, sizes, owner, len(texts))
         for n, t in enumerate(given):
-            if t[-1:] in self.tails:
+            if t[-1:] in self.tails:  # white space that no word follows
                 out[n] = np.concatenate([out[n], self.tails[t[-1:]]])
         for n, own in zip(whole, self.whole([texts[n] for n in whole])):
             out[n] = own

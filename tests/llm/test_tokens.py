@@ -29,8 +29,9 @@ def crc(ids):
 
 def texts_for(seed, n):
     rng = random.Random(seed)
-    letters = list("ab,.'!é ß\n\t  12  \x1c\x85ÉİΣ日<|>́\r\x0b")
-    return ODD + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(n)]
+    letters = list("ab,.'!é ß\n\t  12  \x1c\x85ÉİΣ日<|>́\r\x0b×÷ÿ\u2003\u2028\u3000\u1680\u202f\u205f’")
+    plain = [" ".join(rng.choice(["é.", "ß,", "×.", "a.", "÷,", "ç", "b’,", "nö..", "\nz"]) for _ in range(rng.randrange(9))).replace(" \n", "\n") for _ in range(n)]
+    return ODD + plain + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(n)]
 
 
 @pytest.mark.parametrize("memory", [5, 400_000])
