@@ -9,11 +9,14 @@ rounds until one is left per source, which is drawn.
 
 Nulls: a null text has size 0, a null source is one source (the last), a null id is kept. Documents
 without words are settled among themselves, each counting one. Empty tables give empty results,
-repeated rows are documents of their own, and equal seeds give equal results.
+repeated rows are documents of their own, and equal seeds give equal results. Texts of any length count
+by their words; columns of clashing names are carried along by the mixed documents, else not read.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -119,8 +122,8 @@ def _rounding(seed: int, level: int):
         # Large documents first: what stays open is small. Equal rows may change places.
         rows = rows.sort_values(["size", "row_hash", "doc_id"], ascending=[False, True, True], kind="stable")
         first = rows.iloc[0]
-        name = -1 if first["source"] is None else sum(c * 31**i for i, c in enumerate(str(first["source"]).encode()[:64]))
-        entropy = [seed, level, name % 2**63 + 1 if name >= 0 else 0, int(first["block"]), int(first["empty"])]
+        name = 0 if first["source"] is None else 1 + int.from_bytes(hashlib.blake2b(str(first["source"]).encode(), digest_size=16).digest())
+        entropy = [seed, level, name, int(first["block"]), int(first["empty"])]
         draws = np.random.Generator(np.random.PCG64(entropy)).random(len(rows) + 1)
         x = rows["fraction"].to_numpy(dtype=np.float64, copy=True)
         left = _settle(x, np.maximum(rows["size"].to_numpy(np.float64), 1.0), draws)
