@@ -15,8 +15,8 @@ corpus, so a count-min sketch goes first:
 What crosses the network is about two bytes per window, and full fingerprints for repeated ones
 only; a window that a third of all documents share arrives once per chunk.
 
-Nulls: a null text has no words; a null id counts as larger than all others. Rows with equal ids do
-not remove words from each other. Texts under ``size`` words are kept whole. Other columns, whatever
+Nulls: a null text has no words; a null id counts as the largest number. Rows with equal ids do
+not remove words from each other. An empty table stays empty; very long texts are read whole. Texts under ``size`` words are kept whole. Other columns, whatever
 their names, are carried along.
 """
 
@@ -294,7 +294,7 @@ def deduplicate(docs: DataFrame, size: int = SIZE, chunk_bytes: int = CHUNK_BYTE
         return pa.table(
             {
                 "row": table.column("row"),
-                "doc_id": pc.if_else(pc.equal(table.column("doc_id"), _NO_ID), pa.scalar(None, pa.int64()), table.column("doc_id")),
+                "doc_id": table.column("doc_id"),
                 "n_words": pa.array(per_text, pa.int64()),
                 "n_removed": pa.array(gone),
                 "kept": pa.array(kept, pa.binary()).cast(pa.string()),
@@ -303,7 +303,10 @@ def deduplicate(docs: DataFrame, size: int = SIZE, chunk_bytes: int = CHUNK_BYTE
         )
 
     both = first.unionByName(second)
-    return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(removed, kept_type)
+    done = by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(removed, kept_type)
+    # The id as it came: inside, null stands as the largest number.
+    own = F.col("row")["doc_id"].cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    return done.withColumn("doc_id", own)
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
