@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spanloom.functions.chat import dense_response
@@ -26,7 +27,7 @@ from .frame_queries import decoded_sql
 from .registry import query
 from .sample_queries import fold_sql
 from .text_queries import _LCS_SQL, _bleu_sql
-from .views import annotations, ctes, frames, predictions, table, valid_annotations
+from .views import SQL, annotations, ctes, frames, predictions, table, valid_annotations
 
 
 @query(
@@ -46,7 +47,7 @@ _SUMMARY = """
 
 
 def _shown(summary, *keys):
-    texts = [m for m in ("mean_rouge_l", "mean_bleu4") if m in summary.columns]
+    texts = [m for m in ("mean_rouge_l", "mean_bleu4", "mean_bertscore_f1") if m in summary.columns]
     return summary.select(
         *keys,
         "n_samples",
@@ -176,6 +177,71 @@ def q_evaluate(spark, sf):
     )
 
 
+def _careless():
+    """Stand-in captioner that drops words, adds some, shifts spans and leaves them out."""
+
+    def caption(batch, max_new_tokens):
+        texts = []
+        for n, gt, start, end in zip(batch["sample_id"], batch["gt"], batch["start"], batch["end"]):
+            if n % 3 == 0:
+                texts.append(f"{gt.split(' ', 1)[1]} Timestamps: [{start + 1.0:.1f}, {end:.1f}]")
+            elif n % 3 == 1:
+                texts.append(f"a {gt}")
+            else:
+                texts.append(f"{gt} Timestamps: [{start * 0.75:.1f}, {end + 2.0:.1f}]")
+        return texts
+
+    return caption
+
+
+def _word_axes():
+    """Stand-in embedder: every word is an axis of its own, so that only equal words match."""
+
+    def embed(texts):
+        axes = np.eye(256, dtype="float32")
+        words = ["a", '{"k":', "view", "signup", "click", "error", "purchase"]
+        return [np.asarray([axes[words.index(w) if w in words else len(words) + int(w.strip("}"))] for w in t.split()]) for t in texts]
+
+    return embed
+
+
+_CARELESS_SQL = (
+    "WITH "
+    + ",\n".join(
+        (
+            SQL["ann"],
+            SQL["valid"],
+            """pred AS (
+  SELECT ann_pos AS sample_id, video_id, event_type, start, "end", sentence AS gt,
+         CASE ann_pos % 3 WHEN 0 THEN sentence[length(event_type) + 2:] || ' Timestamps: [' || printf('%.1f', start + 1) || ', ' || printf('%.1f', "end") || ']'
+           WHEN 1 THEN 'a ' || sentence
+           ELSE sentence || ' Timestamps: [' || printf('%.1f', start * CAST(0.75 AS DOUBLE)) || ', ' || printf('%.1f', "end" + 2) || ']' END AS pred
+  FROM valid)""",
+            SQL["scored"],
+        )
+    )
+    + _LCS_SQL
+    + ", texts AS (SELECT sample_id, pred_text AS pred, gt AS ref FROM scored)"
+    + _bleu_sql("texts", "sample_id")
+    + """
+, own AS (SELECT sample_id, string_split(pred_text, ' ') AS p, string_split(gt, ' ') AS r FROM scored)
+, share AS (SELECT sample_id, len(list_filter(p, lambda w: list_contains(r, w))) / CAST(len(p) AS DOUBLE) AS x,
+    len(list_filter(r, lambda w: list_contains(p, w))) / CAST(len(r) AS DOUBLE) AS y FROM own)
+, matched AS (SELECT sample_id, CASE WHEN x + y > 0 THEN 2 * x * y / (x + y) ELSE 0 END AS f1 FROM share)
+, metrics AS (SELECT scored.*, rouge_l, bleu4, f1 FROM scored JOIN rouge USING (sample_id) JOIN bleu ON bleu.id = sample_id JOIN matched USING (sample_id))
+"""
+    + f"SELECT {_SUMMARY}, round(avg(rouge_l), 6) AS mean_rouge_l, round(avg(bleu4), 6) AS mean_bleu4, round(avg(f1), 6) AS mean_bertscore_f1 FROM metrics"
+)
+
+
+@query("evaluate_careless_clips", _CARELESS_SQL)
+def q_evaluate_careless(spark, sf):
+    """All ten numbers of an evaluation whose captions and spans are partly wrong."""
+    samples = predictions(spark, sf).select(*_CLIPS)
+    done = evaluate(samples, frames(spark, sf), _careless, _word_axes)
+    return _shown(done.summary)
+
+
 def _lister():
     """Stand-in for dense captions: reports the frames it was shown, as two activities per text."""
 

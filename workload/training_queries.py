@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.chat import CLIP_PROMPT, DENSE_PROMPT, messages, render_chat
 from spanloom.operators.batching import assign_batches, hashed_tokenizer, pad_batch, tokenize, training_rows
-from spanloom.operators.samples import video_samples
-from spanloom.plans.training import DENSE_MAX_LENGTH, clip_frames_of, clip_texts, token_table, video_texts
+from spanloom.operators.frames import video_durations
+from spanloom.operators.samples import video_samples, with_duration
+from spanloom.plans.training import DENSE_MAX_LENGTH, clip_frames_of, clip_texts, token_table, video_frames_of, video_texts
 
 from .frame_queries import _CLIPS_SQL, _clips, _frames_sql
 from .registry import query
@@ -189,3 +190,22 @@ def q_video_training(spark, sf):
         F.array_join("labels", ",").alias("labels"),
         "is_masked_out",
     )
+
+
+_VIDEO_SPANS_SQL = ctes("ann", "valid", "fr") + """
+, dur AS (SELECT video_id, max(pts) AS duration FROM fr GROUP BY 1)
+, span AS (SELECT video_id AS clip_id, video_id, CAST(0 AS DOUBLE) AS start, least(duration, CAST(120 AS DOUBLE)) AS "end", duration
+  FROM (SELECT DISTINCT video_id FROM valid) JOIN dur USING (video_id))
+"""
+
+
+@query(
+    "video_training_frames",
+    f"SELECT clip_id AS video_id, string_agg(coalesce(frame_ref, '-'), ',' ORDER BY slot) AS refs FROM ({_frames_sql(16, _VIDEO_SPANS_SQL)}) GROUP BY clip_id",
+)
+def q_video_training_frames(spark, sf):
+    """Frames of the first two minutes of every annotated video."""
+    index = frames(spark, sf)
+    videos = video_durations(valid_annotations(spark, sf).select("video_id").distinct(), index)
+    samples = video_frames_of(with_duration(videos), index)
+    return samples.select("video_id", F.array_join("frame_refs", ",", "-").alias("refs"))
