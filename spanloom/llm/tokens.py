@@ -18,11 +18,11 @@ import pandas as pd
 
 from .common import hold_memory, mix
 
-# So many words are held at most, about 100 bytes each; then the memory starts anew.
-MEMORY_WORDS = 1_500_000
+# so many words are held at most, about 70 bytes each; then the memory starts anew.
+MEMORY_WORDS = 2_500_000
 # Longer words are encoded each time.
 LONGEST = 64
-JOINED = 64
+JOINED = 16
 
 _encoders: dict[str, "_Encoder"] = {}
 _SPACE = np.zeros(256, bool)
