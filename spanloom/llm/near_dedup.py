@@ -2,19 +2,20 @@
 
 A fingerprint bit is the majority of that bit over the hashes of all shingles. Distinct fingerprints
 are searched, so copies cost nothing. Fingerprints that differ in at most ``radius`` bits agree in
-``blocks - radius`` of ``blocks`` pieces of 64 / blocks bits; every choice of so many pieces is a
-shard key, and a shard holds the fingerprints with one key. Its tree (children keyed by the integer
-distance to their parent) is sent to the task that asks it and only edges within the radius of a
-query's distance are followed. Trees travel by shuffle, not by broadcast: together they hold all
-fingerprints and have no size bound. Queries of a large shard are dealt over several tasks that each
-get the tree.
+``pieces - radius`` of ``pieces`` pieces of 64 / pieces bits (one of three pieces of 21 bits for radius
+2); every choice of so many pieces is a shard key, and a shard holds the fingerprints with one key.
+Its tree (children keyed by the integer distance to their parent) is sent to the task that asks it
+and only edges within the radius of a query's distance are followed. Trees travel by shuffle, not by
+broadcast: together they hold all fingerprints and have no size bound. A shard above ``shard_rows``
+members is cut into parts that meet in pairs, so no task holds more than two parts.
 
 A shard reports a forest, never all pairs. Components are then found by rounds of joins in which
 every fingerprint hands on the smallest one it knows.
 
 Nulls: a null text is like an empty one and has fingerprint zero, which links like any other. Rows
 without an id take part; a component's id is the smallest id that is not null (null if there is
-none). Repeated ids and rows are documents of their own. Empty tables give empty results.
+none). Repeated ids and rows are documents of their own. Very long texts are hashed in blocks.
+Other columns play no part. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .common import column_or_null, hold_memory
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
-PIECES = 4
-SHARD_QUERIES = 30_000
+PIECES = 3
+SHARD_ROWS = 30_000
 QUERY_BLOCK = 4096
 _HASH_BLOCK = 1 << 16
 
@@ -71,7 +72,7 @@ def fingerprint_of(text: Column | str) -> Column:
 class Tree:
     """Burkhard-Keller tree over distinct 64-bit values, asked with many values at once."""
 
-    LEAF = 8
+    LEAF = 1
 
     def __init__(self, values: np.ndarray):
         self.values = values
@@ -124,13 +125,12 @@ class Tree:
         return np.concatenate(found_q), np.concatenate(found_m)
 
 
-def forest(values: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
-    """For each member its smallest member known to hang together with it, by the queries' links."""
+def forest(values: np.ndarray, radius: int) -> np.ndarray:
+    """For each member the smallest one that it hangs together with."""
     tree, label = Tree(values), np.arange(len(values))
-    for begin in range(0, len(queries), QUERY_BLOCK):
-        asked = queries[begin : begin + QUERY_BLOCK]
-        q, m = tree.within(values[asked], radius)
-        q = asked[q]
+    for begin in range(0, len(values), QUERY_BLOCK):
+        q, m = tree.within(values[begin : begin + QUERY_BLOCK], radius)
+        q = q + begin
         while True:
             low = np.minimum(label[q], label[m])
             before = label.copy()
@@ -155,30 +155,31 @@ def shard_keys(fp: Column, radius: int = RADIUS, pieces: int = PIECES) -> Column
     return F.array(*keys)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, pieces: int = PIECES, shard_queries: int = SHARD_QUERIES) -> DataFrame:
+def dealt(fps: DataFrame, radius: int = RADIUS, pieces: int = PIECES, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(key, low, high, fp): members of the shards, or of pairs of parts of large ones."""
+    keyed = fps.select("fp", F.explode(shard_keys(F.col("fp"), radius, pieces)).alias("key"))
+    # Single members ask nobody.
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / F.lit(shard_rows)).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, pieces: int = PIECES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (a, b), a > b as signed numbers, that connect all fingerprints within the radius.
 
     A shard key is hashed; two keys that fall together only share a larger shard.
     """
-    keyed = fps.select("fp", F.explode(shard_keys(F.col("fp"), radius, pieces)).alias("key"))
-    # Single members ask nobody; large shards are asked by several tasks.
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    spread = (
-        keyed.join(sizes, "key")
-        .withColumn("parts", F.ceil(F.col("n") / F.lit(shard_queries)).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "part", "parts", "fp")
-    )
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = spread.repartition(n, "key", "part").sortWithinPartitions("key", "part", "fp")
+    spread = dealt(fps, radius, pieces, shard_rows).repartition(n, "key", "low", "high")
+    sorted_rows = spread.sortWithinPartitions("key", "low", "high", "fp")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Trees of one shard after the other; a shard may go over several batches."""
 
         def shard(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            values = rows["fp"].view(np.uint64)
-            queries = np.flatnonzero(np.arange(len(values)) % rows["parts"][0] == rows["part"][0])
-            root = forest(values, queries, radius)
+            root = forest(rows["fp"].view(np.uint64), radius)
             moved = np.flatnonzero(root != np.arange(len(root)))
             return rows["fp"][moved], rows["fp"][root[moved]]
 
@@ -187,17 +188,18 @@ def links(fps: DataFrame, radius: int = RADIUS, pieces: int = PIECES, shard_quer
             if len(a):
                 yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-        kind = np.dtype([("key", "<i8"), ("part", "<i4"), ("parts", "<i4"), ("fp", "<i8")])
+        kind = np.dtype([("key", "<i8"), ("low", "<i4"), ("high", "<i4"), ("fp", "<i8")])
+        names = ("key", "low", "high")
         held = [np.zeros(0, kind)]
         for batch in batches:
             rows = np.zeros(batch.num_rows, kind)
             for name in kind.names:
                 rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
-            change = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["part"]) != 0)) + 1
+            change = np.flatnonzero(np.logical_or.reduce([np.diff(rows[c]) != 0 for c in names])) + 1
             pieces_ = np.split(rows, change)
             found = []
             for piece in pieces_:
-                if len(held[0]) and (held[0]["key"][0], held[0]["part"][0]) != (piece["key"][0], piece["part"][0]):
+                if len(held[0]) and any(held[0][c][0] != piece[c][0] for c in names):
                     found.append(shard(np.concatenate(held)))
                     held = [np.zeros(0, kind)]
                 held = [piece] if not len(held[0]) else [*held, piece]

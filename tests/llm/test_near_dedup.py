@@ -76,7 +76,7 @@ def test_components_of_chains_and_clusters(spark):
     rows = [(i, v) for i, v in enumerate(sorted(values))]
     fps = spark.createDataFrame([(v,) for _, v in rows], "fp long")
     for shard in (7, 30_000):  # large shards are asked by several tasks
-        roots = dict(map(tuple, nd.components(nd.links(fps, shard_queries=shard)).collect()))
+        roots = dict(map(tuple, nd.components(nd.links(fps, shard_rows=shard)).collect()))
         mine = [roots.get(v, v) for _, v in rows]
         want = slow_components([(i, v % 2**64) for i, v in rows])
         pairs = set(zip(mine, want))
@@ -105,3 +105,25 @@ def test_nulls_copies_and_clashing_columns(spark, documents):
     )
     empty = docs.filter(F.lit(False))
     assert nd.near_duplicates(empty).count() == 0 and nd.one_per_group(empty).count() == 0
+
+
+def test_hot_shards_are_cut_into_parts_that_meet(spark):
+    """200,000 fingerprints that share a piece: no task gets more than two parts, every pair meets."""
+    fps = spark.range(200_000).select(F.expr("id * 8388608 + 12345").alias("fp"))
+    sent = nd.dealt(fps, shard_rows=30_000).groupBy("key", "low", "high").count()
+    assert sent.agg(F.max("count")).first()[0] < 2 * 30_000 * 1.1
+    few = spark.range(300).select(F.expr("id * 8388608 + 12345").alias("fp"))
+    met = nd.dealt(few, shard_rows=40).withColumn("place", F.struct("key", "low", "high"))
+    both = met.alias("a").join(met.alias("b"), "place").select(F.col("a.fp").alias("x"), F.col("b.fp").alias("y")).distinct()
+    assert both.count() == 300 * 300
+
+
+def test_trees_have_edges():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 62, 500, dtype=np.uint64)
+    values[250:] = values[:250] ^ np.uint64(5)
+    tree = nd.Tree(values)
+    assert sum(len(n[1]) for n in tree.nodes if not isinstance(n, np.ndarray)) > 400
+    q, m = tree.within(values, 2)
+    want = np.argwhere(np.bitwise_count(values[:, None] ^ values[None, :]) <= 2)
+    assert sorted(zip(q.tolist(), m.tolist())) == sorted(map(tuple, want.tolist()))
