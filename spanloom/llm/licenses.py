@@ -12,7 +12,8 @@ handled one after the other; nothing is shuffled.
 
 Nulls: a null or empty text has no matches; a null id is kept. Of matches that overlap, also of
 several templates, the best is reported (ties: the template listed first). Repeated rows are reported
-once each. Empty tables give empty results.
+once each. Very long texts are read whole; other columns, whatever their names, play no part. Empty
+tables give empty results.
 """
 
 from __future__ import annotations

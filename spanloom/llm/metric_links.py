@@ -1,6 +1,6 @@
 """Exact range join of vectors by angle: pivots, boundary copies, cells that join by themselves.
 
-Equal vectors become one with a count. A bounded sample gives pivots, dense places first, and every
+Equal vectors (told apart by two 64-bit hashes) become one with a count. A bounded sample gives pivots, dense places first, and every
 vector belongs to the cell of its nearest pivot. If x and y are at most t apart, then x is no farther
 from y's pivot than from its own by more than 2 t, and lies within t of the span of distances in
 y's cell; x is copied to just such cells, and only towards the cell that holds more, so that a hot

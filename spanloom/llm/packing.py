@@ -7,7 +7,8 @@ patterns are bounded by the sequence length, whatever the corpus. Pieces then fi
 their rank among the pieces of their length.
 
 A null or empty text is the end id alone. Repeated ids and rows are documents of their own, and
-rows equal in all but further columns may change places. An empty table has no pieces.
+rows equal in all but further columns may change places. Very long texts are encoded whole and cut.
+Other columns play no part. An empty table has no pieces.
 """
 
 from __future__ import annotations

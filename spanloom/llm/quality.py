@@ -5,7 +5,9 @@ Everything is a built-in column function; nothing is shuffled and no Python runs
 A document fails its base rules with fewer than 50 words, or if over half of its words lie in
 three-word windows that occur more than once. It is kept if no base rule and no threshold fails. A
 ratio over nothing is null and fails no threshold. A null or empty text has no words and fails; a
-null id is kept as it is; repeated rows are judged alike; further columns do not matter. Empty
+null id is kept as it is; repeated rows are judged alike; further columns do not matter, whatever
+their names. Very long texts are one row like any other, and their windows one array of it. The least
+share of stop words is that of the four languages listed, so texts in others are not kept. Empty
 tables give empty results.
 """
 

@@ -14,7 +14,8 @@ and is one row of a Parquet table, so that any store Spark writes to can hold it
 make places inside a document addressable without expanding what comes before.
 
 A null or empty text is the end id alone; a null id comes first; rows with equal ids are ordered by
-text. An empty table gives no rows.
+text. Very long texts are one document of a block of its own size. Other columns play no part. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -19,8 +19,8 @@ the models learn from all four folds, and the likelihoods of the strongest stret
 the classes' shares instead. The curve's rows are sampled
 by class and weighted back, so a rare class is not lost. Nulls: a null id is held out and never matches a label; a null or empty text has no words
 and gets the curve's value at zero evidence; a null label is not learnt from. With no labelled
-training rows of one class every document scores 0. If labels repeat an id, any toxic one counts. Empty tables
-give empty results.
+training rows of one class every document scores 0. If labels repeat an id, any toxic one counts. Very long
+texts are scored whole, repeated rows alike; other columns play no part. Empty tables give empty results.
 """
 
 from __future__ import annotations
