@@ -83,11 +83,18 @@ def _segments(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     text = spark.read.option("lineSep", '"').text(path)
     tail = F.right(F.rtrim(F.col("value"), F.lit(_BLANK)), F.lit(1))
+    # Most segments hold no bracket and no backslash, which plain searches find out soonest.
+    slashes = F.length(F.regexp_extract("value", r"(\\*)\z", 1)) % 2
+    escaped = F.when(F.endswith(F.col("value"), F.lit("\\")), slashes).otherwise(F.lit(0))
+
+    def count(mark: str) -> Column:
+        return F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit(mark), F.lit("")))
+
     return text.select(
         F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        (F.length(F.regexp_extract("value", r"(\\*)\z", 1)) % 2).cast("int").alias("escaped"),
-        (F.regexp_count("value", F.lit(r"[\{\[]")) - F.regexp_count("value", F.lit(r"[\}\]]"))).cast("long").alias("deeper"),
+        escaped.cast("int").alias("escaped"),
+        (count("{") + count("[") - count("}") - count("]")).cast("long").alias("deeper"),
         tail.isin("{", ",").alias("opens"),
         F.col("value").alias("text"),
     )
@@ -237,13 +244,15 @@ def _read_objects(spark: SparkSession, path: str | list[str]) -> DataFrame:
     whole = placed.filter("not border").select("file", "at", "text").unionByName(
         border.select("file", "at", F.array_join(F.col("parts.text"), "").alias("text"))
     )
+    # Repeated keys are settled by the keys alone, so that the records are parsed once.
+    key = F.regexp_extract("text", r'\A([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)
+    keyed = whole.withColumn("video_id", F.get(F.from_json(F.concat(F.lit('["'), key, F.lit('"]')), "array<string>"), F.lit(0)))
+    settled = _settled(keyed, ["file", "video_id"])
     # Between the quote before the key and the one of the next key: key, value and a comma, or the last bracket.
     body = F.rtrim(F.expr("left(text, length(text) - 1)"), F.lit(_BLANK))
     entry = F.concat(F.lit('{"'), F.left(body, F.length(body) - 1), F.lit("}"))
-    parsed = each(whole, _entries(entry), "e")
-    entries = parsed.select("file", "at", F.col("e.key").alias("video_id"), F.col("e.value").alias("raw"))
-    settled = _settled(entries, ["file", "video_id"])
-    return settled.select(F.col("at").cast("bigint").alias("pos"), "video_id", "raw")
+    parsed = each(settled.select("at", "text"), _entries(entry), "e")
+    return parsed.select(F.col("at").cast("bigint").alias("pos"), F.col("e.key").alias("video_id"), F.col("e.value").alias("raw"))
 
 
 def parse_annotations(raw_records: DataFrame) -> DataFrame:
