@@ -80,15 +80,22 @@ def q_read_annotations(spark, sf):
 
 @query("read_annotation_objects", _READ_SQL)
 def q_read_annotation_objects(spark, sf):
-    """Files of one object each, cut into blocks that are far smaller than a file."""
+    """Files of one object each, cut into some hundred blocks."""
     path = new_folder(spark, "annotation-objects")
-    old, now = _repeated_records(spark, sf)
-    # A file holds all of its keys' records, the old ones first.
-    both = old.withColumn("turn", F.lit(0)).unionByName(now.withColumn("turn", F.lit(1)))
-    to_json_objects(both.repartition(2, "video_id").sortWithinPartitions("turn")).write.text(path)
+    # Both records of a key stand in one file, the old one first.
+    both = records(spark, sf).withColumn("now", F.explode(F.array(F.lit(False), F.lit(True))))
+    both = both.withColumns(
+        {
+            "duration": F.when(F.col("now"), F.col("duration")).otherwise(F.lit(-1.0)),
+            "sentences": F.when(F.col("now"), F.col("sentences")).otherwise(F.array(F.lit("old"))),
+        }
+    )
+    to_json_objects(both).write.text(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
     blocks = spark.newSession()
-    blocks.conf.set("spark.sql.files.maxPartitionBytes", "256k")
-    blocks.conf.set("spark.sql.files.openCostInBytes", "1k")
+    blocks.conf.set("spark.sql.files.maxPartitionBytes", max(1024, size // 128))
+    blocks.conf.set("spark.sql.files.openCostInBytes", 1024)
     return _shown_records(read_annotations(blocks, path, "all"))
 
 
