@@ -62,10 +62,11 @@ def _read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def _settled(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Entries with each key once: its last value, at its first place.
 
-    Places are compared first; the texts are only touched where a key is repeated.
+    Places are compared first. The repeated keys are written, so that the planner knows how few they
+    are and sends them to the texts; only where they are many are the texts shuffled to them.
     """
     places = entries.groupBy(*keys).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
-    repeated = places.filter("n > 1").drop("n")
+    repeated = stash(places.filter("n > 1").drop("n"), "repeated-keys")
     rest = [c for c in entries.columns if c != "at"]
     return (
         entries.join(repeated, keys, "left")
