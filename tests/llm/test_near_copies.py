@@ -70,6 +70,36 @@ def test_odd_rows(spark, documents):
     assert nc.one_per_group(documents(rows).filter(F.lit(False))).count() == 0
 
 
+def test_pairs_that_the_trees_miss_are_found(spark, documents, monkeypatch):
+    """Every pair at the threshold is linked, also where the trees find nothing and a passage is common."""
+    rng = random.Random(5)
+    passage, rows, near = text(rng, 40), [], []
+    for n in range(150):
+        source = text(rng, rng.randrange(1, 8) if n % 10 == 0 else rng.randrange(60, 300))
+        near.append(changed(rng, source, rng.uniform(0.002, 0.05)))
+        rows += [(2 * n, f"{passage} {source}"), (2 * n + 1, f"{passage} {near[-1]}")]
+    # Exactly at the threshold: 4 of 5 shingles in common, 8 words against 9.
+    at = text(rng, 9).split()
+    rows += [(9000, " ".join(at[:8])), (9001, " ".join(at))]
+    assert jaccard(rows[-1][1], rows[-2][1]) == 0.8
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and jaccard(a, b) >= 0.8:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    monkeypatch.setattr(nc, "links", lambda fps, *_: fps.selectExpr("node a", "node b").limit(0))
+    for common, pairs in ((32, 1000), (1 << 30, 0)):  # common ones by cells; by groups
+        monkeypatch.setattr(nc, "COMMON", common)
+        monkeypatch.setattr(nc, "PAIRS", pairs)
+        monkeypatch.setattr(nc, "GROUP", 4)
+        kept = sorted(r.doc_id for r in nc.one_per_group(documents(rows)).collect())
+        assert kept == sorted(i for i in root if root[i] == i) and 9001 not in kept
+
+
 def test_trees_find_all_within_the_radius():
     rng = np.random.default_rng(4)
     base = rng.integers(-(2**63), 2**63, (30, 4), dtype=np.int64).view(np.uint64)
