@@ -270,3 +270,16 @@ def test_verification_reads_records_once(spark, folder):
     assert (status["Train"]["videos"], status["Train"]["annotations"]) == (4, 5)
     assert [status[s]["status"] for s in ("Train", "Val", "Test")] == ["WARN", "MISSING", "MISSING"]
     assert "FileScan" not in found.status._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folders_and_videos_are_made_by_tasks(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from workload.validation_queries import make_files
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)  # paths do not pass through the driver
+    paths = [f"P{n % 3}/{n}_x264.mp4" for n in range(200)] + ["P 4", "P5"]
+    make_files(spark.createDataFrame([(p,) for p in paths], "path string"), f"{tmp_path}/videos")
+    root = Path(tmp_path, "videos")
+    assert sorted(str(p.relative_to(root)) for p in root.rglob("*.mp4")) == sorted(paths[:200])
+    assert {p.name for p in root.iterdir()} == {"P0", "P1", "P2", "P 4", "P5"} and all(p.stat().st_size == 1 for p in root.rglob("*.mp4"))

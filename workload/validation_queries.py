@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.validate import (
@@ -137,6 +141,36 @@ def q_categories(spark, sf):
     return category_counts(inventory(spark, sf))
 
 
+def make_files(paths: DataFrame, root: str) -> None:
+    """A video of one byte for each ``path`` that ends in .mp4, a folder for each other one; made in the tasks."""
+    spark = paths.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = store.makeQualified(folder).toUri()
+    # Spark names local folders file:/x, Arrow file:///x.
+    at = f"{base.getScheme()}://{base.getAuthority() or ''}{base.getPath()}"
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        store, below = FileSystem.from_uri(at)
+        there = set()
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                own = f"{below}/{path}"
+                parent = own.rpartition("/")[0] if path.endswith(".mp4") else own
+                if parent not in there:
+                    store.create_dir(parent, recursive=True)
+                    there.add(parent)
+                if parent != own:
+                    with store.open_output_stream(own) as file:
+                        file.write(b"\1")  # Spark's listing passes over empty files
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    dealt = paths.select("path").repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    dealt.mapInArrow(make, "n long").agg(F.sum("n")).collect()
+
+
 @query(
     "category_folders",
     """
@@ -150,15 +184,7 @@ def q_category_folders(spark, sf):
     nations = table(spark, sf, "nation").select("n_nationkey", "n_name")
     files = nations.join(suppliers, "n_nationkey", "left").select(F.concat_ws("/", "n_name", F.concat("video", F.lit("_x264.mp4"))).alias("path"))
     folders = table(spark, sf, "region").select(F.col("r_name").alias("path"))
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    store = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in files.union(folders).toLocalIterator():
-        if r["path"].endswith(".mp4"):
-            with_bytes = store.create(at(f"{root}/{r['path']}"))
-            with_bytes.write(1)  # Spark's listing passes over empty files
-            with_bytes.close()
-        else:
-            store.mkdirs(at(f"{root}/{r['path']}"))
+    make_files(files.union(folders), root)
     return category_counts(read_video_inventory(spark, root), read_video_categories(spark, root))
 
 
