@@ -17,8 +17,9 @@ from .stemming import porter_stem
 from .text import SPACES
 
 MAX_ORDER = 4
-WORDS_PER_PACK = 1_000_000
+CHARS_PER_PACK = 1_000_000
 COSINE_ROWS = 2_048
+MOST_COSINES = 1 << 20  # of rows that are matched together
 
 _COUNT = T.LongType()
 _LCS = T.StructType([T.StructField(n, _COUNT) for n in ("lcs", "n_pred", "n_ref")])
@@ -159,16 +160,17 @@ def ngram_overlaps(preds: list[list[str]], refs: list[list[str]]) -> tuple[np.nd
 
 @F.pandas_udf(_OVERLAP)
 def _overlap_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    # str.split() cuts at any Unicode white space.
-    left, right = ([(t or "").split() for t in side] for side in (pred, ref))
-    n_pred, n_ref = [len(t) for t in left], [len(t) for t in right]
-    # Texts are counted together up to some number of words, so memory does not follow the batch.
-    pack = np.cumsum(np.add(n_pred, n_ref)) // WORDS_PER_PACK
-    matches, totals = [], []
-    for rows in np.split(np.arange(len(left)), np.flatnonzero(np.diff(pack)) + 1):
-        hit, total = ngram_overlaps([left[i] for i in rows], [right[i] for i in rows])
-        matches += list(hit)
-        totals += list(total)
+    # Texts are split and counted together up to some number of characters, so memory does not follow the batch.
+    pack = np.cumsum([len(p or "") + len(r or "") for p, r in zip(pred, ref)]) // CHARS_PER_PACK
+    matches, totals, n_pred, n_ref = [], [], [], []
+    for rows in np.split(np.arange(len(pred)), np.flatnonzero(np.diff(pack)) + 1):
+        # str.split() cuts at any Unicode white space.
+        left, right = ([(t or "").split() for t in side.iloc[rows]] for side in (pred, ref))
+        n_pred += map(len, left)
+        n_ref += map(len, right)
+        hit, total = ngram_overlaps(left, right)
+        matches += hit.tolist()
+        totals += total.tolist()
     return pd.DataFrame({"matches": matches, "totals": totals, "n_pred": n_pred, "n_ref": n_ref})
 
 
@@ -224,9 +226,59 @@ def _matrix(rows) -> np.ndarray:
     return np.asarray([np.asarray(r, dtype="float64") for r in rows])
 
 
+def _stacked(rows) -> tuple[np.ndarray, np.ndarray]:
+    """All vectors of the rows below each other, and how many each row has."""
+    sizes = np.array([0 if r is None else len(r) for r in rows], dtype="int64")
+    full = [r for r, n in zip(rows, sizes) if n]
+    if all(isinstance(r, np.ndarray) and r.ndim == 2 for r in full):
+        return np.concatenate(full).astype("float64"), sizes
+    return np.array([v for r in full for v in r], dtype="float64"), sizes
+
+
 def match_rows(cand, ref) -> list[tuple[float, float, float]]:
-    """``greedy_match`` of each row's two lists of vectors."""
-    return [greedy_match(_matrix(c), _matrix(r)) for c, r in zip(cand, ref)]
+    """``greedy_match`` of each row's two lists of vectors.
+
+    Rows of like sizes are matched together: shorter lists repeat their last vector, which moves no
+    maximum and is left out of the means.
+    """
+    cand, ref = list(cand), list(ref)
+    out = np.zeros((len(cand), 3))
+    full = [i for i, (c, r) in enumerate(zip(cand, ref)) if c is not None and r is not None and len(c) and len(r)]
+    if not full:
+        return list(map(tuple, out.tolist()))
+    try:
+        (left, n_left), (right, n_right) = (_stacked([side[i] for i in full]) for side in (cand, ref))
+        alike = left.ndim == right.ndim == 2 and left.shape[1] == right.shape[1]
+    except ValueError:  # widths differ from row to row
+        alike = False
+    if not alike:
+        return [greedy_match(_matrix(c), _matrix(r)) for c, r in zip(cand, ref)]
+    left, right = _unit(left), _unit(right)
+    from_left, from_right = np.cumsum(n_left) - n_left, np.cumsum(n_right) - n_right
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for at, (n, m) in enumerate(zip(n_left.tolist(), n_right.tolist())):
+        kinds.setdefault(((n - 1).bit_length(), (m - 1).bit_length()), []).append(at)
+    for members in kinds.values():
+        wide, high = int(n_left[members].max()), int(n_right[members].max())
+        step = MOST_COSINES // (wide * high)
+        if not step:
+            for at in members:
+                own = left[from_left[at] : from_left[at] + n_left[at]], right[from_right[at] : from_right[at] + n_right[at]]
+                out[full[at]] = greedy_match(*own)
+            continue
+        for begin in range(0, len(members), step):
+            some = np.array(members[begin : begin + step])
+            n, m = n_left[some][:, None], n_right[some][:, None]
+            i, j = np.arange(wide)[None], np.arange(high)[None]
+            rows = left[from_left[some][:, None] + np.minimum(i, n - 1)]
+            columns = right[from_right[some][:, None] + np.minimum(j, m - 1)]
+            cosines = rows @ columns.transpose(0, 2, 1)
+            precision = np.where(i < n, cosines.max(axis=2), 0.0).sum(axis=1) / n[:, 0]
+            recall = np.where(j < m, cosines.max(axis=1), 0.0).sum(axis=1) / m[:, 0]
+            both = precision + recall
+            f1 = np.where(both == 0, 0.0, 2 * precision * recall / np.where(both == 0, 1.0, both))
+            out[np.array(full)[some]] = np.stack([precision, recall, f1], axis=1)
+    return list(map(tuple, out.tolist()))
 
 
 @F.pandas_udf(_MATCH)

@@ -20,17 +20,25 @@ DENSE_NEW_TOKENS = 512
 
 
 def generate(
-    df: DataFrame, captioner_factory: CaptionerFactory, max_new_tokens: int = CLIP_NEW_TOKENS, out: str = "pred"
+    df: DataFrame,
+    captioner_factory: CaptionerFactory,
+    max_new_tokens: int = CLIP_NEW_TOKENS,
+    out: str = "pred",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add one generated text per row, stripped. The model is loaded once per worker."""
+    """Add one generated text per row, stripped. The model is loaded once per worker.
+
+    The captioner gets whole rows; ``keep`` names the columns that are returned, if not all.
+    """
     load = once_per_worker(captioner_factory)
+    kept = list(df.columns if keep is None else keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         caption = load()
         for batch in batches:
-            yield batch.assign(**{out: [t.strip() for t in caption(batch, max_new_tokens)]})
+            yield batch[kept].assign(**{out: [t.strip() for t in caption(batch, max_new_tokens)]})
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return df.mapInPandas(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.StringType())]))
 
 
 def generate_models(

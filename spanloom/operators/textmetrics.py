@@ -83,10 +83,11 @@ def embed_and_match(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = load()
         for batch in batches:
+            texts, rows = [batch[c].fillna("").tolist() for c in (cand, ref)], []
             for at in range(0, len(batch), EMBED_ROWS):
-                part = batch.iloc[at : at + EMBED_ROWS]
-                rows = match_rows(*(embed(part[c].fillna("").tolist()) for c in (cand, ref)))
-                yield part.assign(**dict(zip(names, map(list, zip(*rows)))))
+                rows += match_rows(*(embed(side[at : at + EMBED_ROWS]) for side in texts))
+            if rows:
+                yield batch.assign(**dict(zip(names, map(list, zip(*rows)))))
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 

@@ -62,7 +62,7 @@ def evaluate(
 
     Scored rows are written once: rows and summary must not each run the model.
     """
-    predicted = generate(clip_inputs(samples, frames, n_frames), captioner, max_new_tokens)
+    predicted = generate(clip_inputs(samples, frames, n_frames), captioner, max_new_tokens, keep=samples.columns)
     scored = score_predictions(predicted, embedder).select(
         *[c for c in samples.columns if c not in ("start", "end", "gt")],
         F.col("start").alias("gt_start"),

@@ -210,3 +210,9 @@ def test_a_published_summary_is_the_last_whole_one(spark, tmp_path):
         spark.range(number, number + 2).write.parquet(f"{path}/batch={number}")
     (tmp_path / "sum" / "batch=11" / "_temporary").mkdir(parents=True)
     assert sorted(r["id"] for r in read_summary(spark, path).collect()) == [10, 11]
+
+
+def test_texts_are_scored_without_what_only_the_captioner_needs(spark):
+    df = spark.createDataFrame([(1, "x", ["a"])], "k int, prompt string, refs array<string>")
+    got = generate(df, lambda: lambda batch, n: [f"{p} {len(r)}" for p, r in zip(batch["prompt"], batch["refs"])], keep=["k"])
+    assert got.columns == ["k", "pred"] and got.first()["pred"] == "x 1"

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from spanloom.functions.pairs import common_length, greedy_match, ngram_overlaps
@@ -142,3 +143,37 @@ def test_greedy_match(spark):
     rows = greedy_match_score(embed_tokens(df, hashed_embedder(), ["x", "y"]), "x_emb", "y_emb").collect()
     assert rows[0]["bertscore_f1"] == pytest.approx(1.0, abs=1e-6)
     assert rows[1]["bertscore_f1"] == 0.0
+
+
+def test_rows_matched_together_equal_single_ones():
+    from spanloom.functions import pairs
+
+    rng = np.random.default_rng(3)
+    side = lambda n: [None if k < 0 else rng.standard_normal((k, 4)).tolist() for k in rng.integers(-1, 40, n)]
+    cand, ref = side(200), side(200)
+    cand[0], ref[0] = rng.standard_normal((3, 4)), np.zeros((2, 4))
+    want = [pairs.greedy_match(pairs._matrix(c), pairs._matrix(r)) for c, r in zip(cand, ref)]
+    calls = []
+    unit, pairs._unit = pairs._unit, lambda rows: calls.append(1) or unit(rows)
+    try:
+        for most in (1 << 20, 500):
+            pairs.MOST_COSINES, calls[:] = most, []
+            np.testing.assert_allclose(pairs.match_rows(cand, ref), want, atol=1e-12)
+            assert most == 500 or len(calls) == 2  # once a side, not once a row
+    finally:
+        pairs._unit, pairs.MOST_COSINES = unit, 1 << 20
+
+
+def test_overlap_memory_does_not_follow_the_batch():
+    import tracemalloc
+
+    from spanloom.functions import pairs
+
+    rng = random.Random(4)
+    texts = pd.Series([" ".join(str(rng.randrange(10**6)) for _ in range(400)) for _ in range(3000)])
+    tracemalloc.start()
+    got = pairs._overlap_udf.func(texts, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["matches"].tolist() == [[400, 399, 398, 397]] * 3000
+    assert peak < 80e6  # 2,400,000 words as strings take 150 MB
