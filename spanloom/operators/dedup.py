@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -143,41 +142,17 @@ _SCANNED = "leg int, out_no int, slot bigint, inherited boolean, start double, e
 _OPENING = "array<struct<out_no: int, start: double, end: double, description: string>>"
 
 
-def _scan_leg(threshold: float):
-    """Scan one chunk of one video, starting from what the chunk before left open.
+def _scan(threshold: float, key_type: pa.DataType, apart: bool):
+    """Scan chunks of videos as a stream, one after the other in a task.
 
-    Returns what it settled (``out_no`` null) and what it leaves open, numbered in kept order.
-    """
-
-    def run(leg: pd.DataFrame, opening: pd.DataFrame) -> pd.DataFrame:
-        leg = leg.assign(pos=leg["pos"].map(lambda p: tuple(p.values()) if isinstance(p, dict) else p))
-        leg = leg.sort_values(["start", "pos"], kind="stable")
-        opening = opening.sort_values("out_no")[["out_no", "start", "end", "description"]]
-        scan = OverlapScan(threshold, [Kept(no, True, *span) for no, *span in opening.itertuples(index=False)])
-        done: list[Kept] = []
-        slot = 0
-        for start, end, description in leg[["start", "end", "description"]].itertuples(index=False):
-            done += scan.settle(start)
-            slot += scan.push(Kept(slot, False, start, end, description))
-        rows = [(None, *(getattr(k, f) for f in _FIELDS)) for k in done]
-        rows += [(no, *(getattr(k, f) for f in _FIELDS)) for no, k in enumerate(scan.live)]
-        out = pd.DataFrame(rows, columns=["out_no", *_FIELDS]).astype({"out_no": "Int32"})
-        out.insert(0, "leg", leg["chunk"].iloc[0])
-        out.insert(0, "key", leg["key"].iloc[0])
-        return out
-
-    return run
-
-
-def _scan_on(threshold: float, key_type: pa.DataType):
-    """Scan the rest of a video as a stream, over all borders of its chunks.
-
-    Rows come in order: what is open at the start (``role`` 0), then activities by chunk. Returns the
-    same rows as ``_scan_leg`` would for each chunk; memory holds what is open.
+    Where chunks are scanned ``apart``, each starts from its own open activities: rows come by chunk, first
+    what is open (``role`` 0), then its activities. Otherwise a video is scanned over all borders: rows come
+    with what is open at its start, then activities by chunk. Returns for each chunk what it settled
+    (``out_no`` null) and what it leaves open, numbered in kept order; memory holds what is open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leg, slot, scan = None, None, 0, None
+        begun, key, leg, slot, scan = None, None, None, 0, None
         out: list[tuple] = []
 
         def tell(done: list[Kept], numbers: list[int | None]) -> None:
@@ -198,9 +173,10 @@ def _scan_on(threshold: float, key_type: pa.DataType):
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("key", "role", "chunk", "out_no", "start", "end", "description"))
             for own, role, chunk, no, start, end, description in zip(*columns):
-                if own != key:
+                if begun is None or begun != (own, chunk if apart else None):
                     if scan is not None and leg is not None:
                         border()
+                    begun = (own, chunk if apart else None)
                     key, leg, slot, scan = own, None, 0, OverlapScan(threshold)
                 if role == 0:
                     scan.live.append(Kept(no, True, start, end, description))
@@ -230,7 +206,7 @@ def _scan_long(rows: DataFrame, threshold: float, n_rows: int, chunk_rows: int)
     whose opening state turned out different are scanned again. Once nothing changes, every chunk
     has been scanned from the true state of its predecessor, so the result is that of the one long
     scan. Where that takes more rounds than the chunks can be halved, a difference is running through
-    the whole stretch; the rest is then scanned in order by a stream (``_scan_on``).
+    the whole stretch; the rest is then scanned in order (``_finish_in_order``).
     """
     pieces = cut_chunks(rows, "key", [F.col("start"), F.col("pos")], n_rows, chunk_rows)
     order = W.partitionBy("key").orderBy("leg")
@@ -240,6 +216,7 @@ def _scan_long(rows: DataFrame, threshold: float, n_rows: int, chunk_rows: int)
         "legs",
     )
     schema = f"key {rows.schema['key'].dataType.simpleString()}, {_SCANNED}"
+    key_type = to_arrow_type(rows.schema["key"].dataType)
     nothing = F.array().cast(_OPENING)
     opening = legs.select("key", "leg", nothing.alias("state"))
     todo, current = opening, None
@@ -252,12 +229,9 @@ def _scan_long(rows: DataFrame, threshold: float, n_rows: int, chunk_rows: int)
         due = todo.select("key", F.col("leg").alias("chunk"))
         work = pieces if current is None else pieces.join(due, ["key", "chunk"], "left_semi")
         states = todo.select("key", F.col("leg").alias("chunk"), F.explode("state").alias("s"))
-        scanned = (
-            work.groupBy("key", "chunk")
-            .cogroup(states.select("key", "chunk", "s.*").groupBy("key", "chunk"))
-            .applyInPandas(_scan_leg(threshold), schema)
-        )
-        scanned = stash(scanned, "scan")
+        dealt = _with_open(work, states).repartition("key", "chunk")
+        dealt = dealt.sortWithinPartitions("key", "chunk", "role", "out_no", "start", "pos").drop("pos")
+        scanned = stash(dealt.mapInArrow(_scan(threshold, key_type, True), schema), "scan")
         redone = todo.select("key", "leg")
         if current is None:
             current = scanned
@@ -281,19 +255,24 @@ def _scan_long(rows: DataFrame, threshold: float, n_rows: int, chunk_rows: int)
     return _number_kept(current.join(legs, ["key", "leg"]), legs)
 
 
+def _with_open(work: DataFrame, states: DataFrame) -> DataFrame:
+    """Activities (``role`` 1) and the open ones ``s`` (``role`` 0) of chunks in one table."""
+    pos = work.schema["pos"].dataType
+    columns = ["key", "role", "chunk", "out_no", "pos", "start", "end", "description"]
+    state = states.select("key", "chunk", "s.*").withColumns({"role": F.lit(0), "pos": F.lit(None).cast(pos)})
+    work = work.withColumns({"role": F.lit(1), "out_no": F.lit(None).cast("int")})
+    return state.select(*columns).unionByName(work.select(*columns))
+
+
 def _finish_in_order(pieces: DataFrame, current: DataFrame, opening: DataFrame, todo: DataFrame, threshold: float, schema: str) -> DataFrame:
     """Scanned rows with all from each key's first unsettled chunk on made anew, in order."""
     # Chunks before the first one with another opening state were scanned from true states.
     first = stash(todo.groupBy("key").agg(F.min("leg").alias("first")), "unsettled")
-    pos = pieces.schema["pos"].dataType
-    columns = ["key", "role", "chunk", "out_no", "pos", "start", "end", "description"]
     state = opening.join(first, "key").filter("leg = first").select("key", F.col("leg").alias("chunk"), F.explode("state").alias("s"))
-    state = state.select("key", "chunk", "s.*").withColumns({"role": F.lit(0), "pos": F.lit(None).cast(pos)})
-    work = pieces.join(first, "key").filter("chunk >= first").withColumns({"role": F.lit(1), "out_no": F.lit(None).cast("int")})
-    ordered = state.select(*columns).unionByName(work.select(*columns)).repartition("key")
+    ordered = _with_open(pieces.join(first, "key").filter("chunk >= first"), state).repartition("key")
     ordered = ordered.sortWithinPartitions("key", "role", "chunk", "out_no", "start", "pos")
     key_type = to_arrow_type(pieces.schema["key"].dataType)
-    rest = ordered.drop("pos").mapInArrow(_scan_on(threshold, key_type), schema)
+    rest = ordered.drop("pos").mapInArrow(_scan(threshold, key_type, False), schema)
     settled = current.join(first, "key", "left").filter("first is null or leg < first").drop("first")
     return stash(settled.unionByName(rest), "scan")
 

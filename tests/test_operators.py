@@ -407,3 +407,31 @@ def test_clips_on_a_written_index_leave_the_frames_in_place(spark, tmp_path):
     for names in ancestors:
         inside = names[: next(n for n, name in enumerate(names) if name.startswith("Window"))]
         assert not [name for name in inside if "Exchange" in name]
+
+
+def test_chunks_of_many_videos_are_scanned_in_one_stream():
+    """Each starts from its own open activities; none needs a call of its own."""
+    import pyarrow as pa
+
+    from spanloom.operators.dedup import _scan
+
+    rows = [  # key, role, chunk, out_no, start, end, description
+        (1, 0, 1, 0, 0.0, 10.0, "open"),
+        (1, 1, 1, None, 1.0, 10.0, "within"),
+        (1, 1, 2, None, 1.0, 10.0, "first of its chunk"),
+        (2, 1, 1, None, 1.0, 10.0, "other video"),
+    ]
+    names = ["key", "role", "chunk", "out_no", "start", "end", "description"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
+    batch = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    out = [r for b in _scan(0.5, pa.int64(), True)(iter([batch])) for r in b.to_pylist()]
+    got = [(r["key"], r["leg"], r["out_no"], r["inherited"], r["description"]) for r in out]
+    assert got == [(1, 1, 0, True, "within"), (1, 2, 0, False, "first of its chunk"), (2, 1, 0, False, "other video")]
+
+
+def test_tasks_follow_the_rows(spark):
+    from spanloom.operators.hotkeys import dealt
+
+    df = spark.range(1000)
+    assert dealt(df, 1000, "id", task_rows=20).rdd.getNumPartitions() == max(50, spark.sparkContext.defaultParallelism)
+    assert dealt(df, 1000, "id", task_rows=1000) is df
