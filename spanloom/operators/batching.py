@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 
 from ..functions.labels import attention_mask, mask_labels, pad_ids, truncate_ids
 from ..shared import stash
+from .hotkeys import dealt
 from .workers import once_per_worker
 
 # Rows that one task ranks, about; bins are cut finer above.
-BIN_ROWS = 200_000
+BIN_ROWS = 50_000
 
 Tokenizer = Callable[[list[str]], list[list[int]]]
 
@@ -62,6 +63,7 @@ def assign_batches(df: DataFrame, size: int, seed: int, key: Sequence[str], bin_
     count (one more pass) unless given; bin offsets come from counts that are combined map-side. The
     only unpartitioned window is over the bin counts. Every batch but the last is full.
     """
+    rows = 0
     if bin_digits is None:
         bin_digits, rows = 1, df.count()
         while rows > BIN_ROWS * 16**bin_digits:
@@ -72,7 +74,8 @@ def assign_batches(df: DataFrame, size: int, seed: int, key: Sequence[str], bin_
     offsets = counts.select("bin", (F.sum("n_bin").over(W.orderBy("bin")) - F.col("n_bin")).alias("offset"))
     rank = F.row_number().over(W.partitionBy("bin").orderBy("batch_hash", *key))
     return (
-        hashed.withColumn("rank", rank - 1)
+        dealt(hashed, rows, "bin", task_rows=BIN_ROWS)
+        .withColumn("rank", rank - 1)
         .join(offsets, "bin")
         .withColumn("row_no", F.col("offset") + F.col("rank"))
         .withColumn("batch", F.floor(F.col("row_no") / F.lit(size)).cast("bigint"))
@@ -89,7 +92,8 @@ def pad_batch(df: DataFrame, batch: str, pad_id: int, side: str = "right", ids:
     df = stash(df, "unpadded")
     widths = df.groupBy(batch).agg(F.max(F.size(ids)).alias("batch_width"))
     return (
-        df.join(widths, batch)
+        dealt(df, df.count(), batch, task_rows=BIN_ROWS)
+        .join(widths, batch)
         .withColumn("attention_mask", attention_mask(F.col(ids), F.col("batch_width"), side))
         .withColumn(ids, pad_ids(F.col(ids), F.col("batch_width"), pad_id, side))
         .drop("batch_width")

@@ -16,8 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.binding import each, let
+from ..shared import stash
 from ..sources.frame_index import FRAME_COLUMNS, FrameIndex
-from .hotkeys import ROW_LIMIT, chunked
+from .hotkeys import ROW_LIMIT, chunked, dealt
 
 TAIL_SECONDS = 1.0
 MIN_SPAN = 0.1
@@ -120,8 +121,10 @@ def _as_of(clips: DataFrame, frames: DataFrame | FrameIndex, n: int, limit: int
         own = frames.select("video_id", F.lit(1).alias("w"))
     both = probes.unionByName(index, allowMissingColumns=True)
     weights = own.unionByName(clips.select("video_id", F.lit(n + 1).alias("w")))
-    counts = weights.groupBy("video_id").agg(F.sum("w").alias("n_rows"))
+    counts = stash(weights.groupBy("video_id").agg(F.sum("w").alias("n_rows")), "video-rows")
     order = [F.col("t"), F.col("side"), F.col("clip_id")]
+    if not stored:  # an index keeps its buckets
+        both = dealt(both, counts.agg(F.sum("n_rows")).first()[0] or 0, "video_id")
     rows, hot = chunked(both, "video_id", order, limit, chunk_rows, counts)
     is_frame = F.col("side") == _FRAME
     # Both lookups are running minima, so they carry over a chunk border as plain minima as well.

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..shared import stash
 
 ROW_LIMIT = 1_000_000
+# Rows that one task sorts, about.
+TASK_ROWS = 200_000
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
@@ -23,6 +25,16 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def dealt(df: DataFrame, n_rows: int, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` shuffled by ``keys`` into as many tasks as its ``n_rows`` need, so that a task's memory does not follow them.
+
+    Few rows are left to the planner.
+    """
+    if n_rows <= task_rows:
+        return df
+    return df.repartition(max(-(-n_rows // task_rows), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def split_hot(
     df: DataFrame, key: str, limit: int | None, counts: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None, int]:
