@@ -336,7 +336,10 @@ def missed_links(docs: DataFrame, rooted: DataFrame) -> DataFrame:
             break
         cell = F.shiftrightunsigned("shingle", 64 - CELL_BITS)
         large = large.select((cell / 64).cast("long").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int")).alias("bits"))
-        common = common | _bits(large)
+        more = _bits(large)
+        if not (more & ~common).any():
+            break
+        common = common | more
     held = held.drop("n")
     other = held.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("text_hash", "root", "size")])
     able = (F.col("size") * OF >= F.col("other_size") * AGREE) & (F.col("other_size") * OF >= F.col("size") * AGREE)
