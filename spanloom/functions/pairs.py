@@ -17,7 +17,7 @@ from .stemming import porter_stem
 from .text import SPACES
 
 MAX_ORDER = 4
-CHARS_PER_PACK = 1_000_000
+WORDS_PER_PACK = 200_000
 COSINE_ROWS = 2_048
 MOST_COSINES = 1 << 20  # of rows that are matched together
 
@@ -160,8 +160,9 @@ def ngram_overlaps(preds: list[list[str]], refs: list[list[str]]) -> tuple[np.nd
 
 @F.pandas_udf(_OVERLAP)
 def _overlap_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    # Texts are split and counted together up to some number of characters, so memory does not follow the batch.
-    pack = np.cumsum([len(p or "") + len(r or "") for p, r in zip(pred, ref)]) // CHARS_PER_PACK
+    # Texts are split and counted together up to some number of words, told from their characters (a
+    # word and its blank have two at least, five about), so memory does not follow the batch.
+    pack = np.cumsum([len(p or "") + len(r or "") for p, r in zip(pred, ref)]) // (5 * WORDS_PER_PACK)
     matches, totals, n_pred, n_ref = [], [], [], []
     for rows in np.split(np.arange(len(pred)), np.flatnonzero(np.diff(pack)) + 1):
         # str.split() cuts at any Unicode white space.
